@@ -19,6 +19,8 @@ GROUP, CACHE = 50_000, 200_000
 #: The id that ends a document.
 END = 1
 VOCABULARY = "word_bpe_49k.json"
+#: Marks that the tokenizer never joins with a letter before them.
+MARKS = b".,;:!?*#$%&()[]{}<>=+-_/@~^|"
 
 
 def tokenizer_file(name: str = VOCABULARY) -> str:
@@ -32,7 +34,8 @@ class CachedTokenizer:
     """Ids of texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks
-    between ASCII white space. Chunks are remembered in two generations of bounded size.
+    between ASCII white space. Nor does it join letters and marks: a chunk of a word and marks after it has the
+    ids of both. Chunks, words and marks are remembered in two generations of bounded size.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
@@ -50,20 +53,39 @@ class CachedTokenizer:
             raw = (text or "").encode("utf-8", "surrogatepass")
             # the tokenizer lower-cases, but knows its special tokens only as they are written
             chunks = (raw if b"<|" in raw else raw.lower()).split()
-            young, old = self.young, self.old
-            missing = []
-            for chunk in {c for c in chunks if c not in young}:
-                if (known := old.get(chunk)) is None:
-                    missing.append(chunk)
-                else:
-                    young[chunk] = known
-            if missing:
-                found = self.encode([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)
-                young.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(missing, found, strict=True))
+            young = self.young
+            new = {c for c in chunks if c not in young}
+            if new:
+                self._learn(new)
             yield b"".join(map(young.__getitem__, chunks))
             if len(young) > self.limit:
                 self.young, self.old = {}, young
 
+    def _learn(self, chunks: set[bytes]) -> None:
+        """Enter chunks that the young generation lacks."""
+        young, old = self.young, self.old
+        pairs, missing = [], set()
+        for chunk in chunks:
+            if (known := old.get(chunk)) is not None:
+                young[chunk] = known
+                continue
+            word = chunk.rstrip(MARKS)
+            if word and len(word) < len(chunk) and b"<|" not in chunk and word.decode("utf-8", "replace")[-1].isalpha():
+                pairs.append((chunk, word, marks := chunk[len(word) :]))
+                for part in (word, marks):
+                    if part not in young:
+                        if (known := old.get(part)) is not None:
+                            young[part] = known
+                        else:
+                            missing.add(part)
+            else:
+                missing.add(chunk)
+        if missing:
+            missing = list(missing)
+            found = self.encode([c.decode("utf-8", "replace") for c in missing], add_special_tokens=False)
+            young.update((c, np.array(e.ids, dtype="<u4").tobytes()) for c, e in zip(missing, found, strict=True))
+        young.update((chunk, young[word] + young[marks]) for chunk, word, marks in pairs)
+
 
 def bounds(sizes: np.ndarray, capacity: int) -> np.ndarray:
     """Sums of dual-feasible functions of the sizes, in bins; each is a lower bound on the bins needed.
