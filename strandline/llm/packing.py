@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import zlib
 from collections.abc import Iterator
@@ -15,7 +16,7 @@ from strandline.llm.common import cut, table
 
 CAPACITY = 4096
 #: Pieces that one task packs (in the mean), and words that a tokenizer cache generation holds.
-GROUP, CACHE = 50_000, 200_000
+GROUP, CACHE = 50_000, 400_000
 #: The id that ends a document.
 END = 1
 VOCABULARY = "word_bpe_49k.json"
@@ -130,6 +131,12 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], lis
     return bins, offsets, free
 
 
+@functools.lru_cache(maxsize=2)
+def tokenizer_of(path: str) -> CachedTokenizer:
+    """The tokenizer of this Python worker, kept with its cache from task to task."""
+    return CachedTokenizer(path)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -138,7 +145,7 @@ def cut_pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = C
     path = vocabulary or tokenizer_file()
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens = CachedTokenizer(path)
+        tokens = tokenizer_of(path)
         end, step = END.to_bytes(4, "little"), 4 * capacity
         for batch in batches:
             rows = []
