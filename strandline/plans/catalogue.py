@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from strandline.plans import interval_queries, kmer_queries, pileup_queries
+
+_MODULES = (kmer_queries, interval_queries, pileup_queries)
+QUERIES: dict = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLES: dict = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
