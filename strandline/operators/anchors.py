@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators.kmers import unique_kmers
+from strandline.operators.lineage import cut
 
 
 def positions(reads: DataFrame, kmers: DataFrame, k: int, key: str, keep: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
@@ -97,12 +98,12 @@ def backbone(nexts: DataFrame, start: str, rounds: int = 64) -> DataFrame:
     for _ in range(rounds):
         step = reached.join(jump, reached["name"] == jump["src"]).select(F.col("dst").alias("name"), (F.col("depth") + size).alias("depth"))
         grown = reached.union(step).groupBy("name").agg(F.min("depth").alias("depth"))
-        grown = grown.checkpoint()
+        grown = grown.transform(cut)
         if grown.count() == reached.count():
             return grown
         reached = grown
         hop = jump.select(F.col("src").alias("dst"), F.col("dst").alias("far"))
-        jump = jump.join(hop, "dst").select("src", F.col("far").alias("dst")).checkpoint()
+        jump = jump.join(hop, "dst").select("src", F.col("far").alias("dst")).transform(cut)
         size *= 2
     return reached
 
@@ -119,7 +120,7 @@ def supported_paths(edges: DataFrame, ends: DataFrame, depth: int = 12) -> DataF
     for _ in range(depth):
         grown = live.join(e, "at").where(~F.array_contains("path", F.col("dst")))
         grown = grown.select("start", "stop", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("seq", "piece").alias("seq"), F.when(F.col("reads").isNull(), F.col("more")).otherwise(F.array_intersect("reads", "more")).alias("reads"))
-        grown = grown.where(F.size("reads") > 0).checkpoint()
+        grown = grown.where(F.size("reads") > 0).transform(cut)
         arrived = grown.where("at = stop").drop("at")
         done = arrived if done is None else done.union(arrived)
         live = grown.where("at <> stop")
