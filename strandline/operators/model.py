@@ -42,7 +42,7 @@ def roc(rows: DataFrame, steps: int = 100) -> DataFrame:
     """
     # the number of thresholds below the score
     below = F.greatest(F.least(F.ceil(F.round(F.col("score") * steps, 9)), F.lit(steps)), F.lit(0)).cast("int")
-    bins = rows.groupBy(below.alias("bin")).agg(F.count_if("label > 0.5").alias("p"), F.count_if("label <= 0.5").alias("n"))
+    bins = rows.groupBy(below.alias("bin")).agg(F.count_if(F.expr("label > 0.5")).alias("p"), F.count_if(F.expr("label <= 0.5")).alias("n"))
     spark = rows.sparkSession
     grid = spark.range(0, steps + 1).select(F.col("id").cast("int").alias("bin"))
     full = grid.join(bins, "bin", "left").na.fill(0, ["p", "n"])

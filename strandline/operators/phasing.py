@@ -117,7 +117,7 @@ def windowed_cells(cells: DataFrame, length: int = SITES, stride: int = STRIDE)
 def best_reads(windowed: DataFrame, n: int = READS) -> DataFrame:
     """``locus, window, read, bad``: the ``n`` reads of each window with the fewest missing or zero-weight cells."""
     size = windowed.groupBy("locus", "window").agg(F.count_distinct("site").alias("sites"))
-    good = windowed.groupBy("locus", "window", "read").agg(F.count_if("allele is not null and weight > 0").alias("good"))
+    good = windowed.groupBy("locus", "window", "read").agg(F.count_if(F.expr("allele is not null and weight > 0")).alias("good"))
     bad = good.join(size, ["locus", "window"]).withColumn("bad", F.col("sites") - F.col("good"))
     w = Window.partitionBy("locus", "window").orderBy("bad", "read")
     return bad.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).select("locus", "window", "read", "bad")
@@ -163,7 +163,7 @@ def assign_reads(cells: DataFrame, haplotypes: DataFrame) -> DataFrame:
 def assign_by_sites(cells: DataFrame, haplotypes: DataFrame, least: int = 2) -> DataFrame:
     """``locus, read, haplotype, p1, p2`` of reads with ``least`` informative sites and more matches with one haplotype."""
     rows = cells.where("allele is not null").join(haplotypes.where("h1 <> h2"), ["locus", "site"])
-    counts = rows.groupBy("locus", "read").agg(F.count(F.lit(1)).alias("n"), F.count_if("allele = h1").alias("p1"), F.count_if("allele = h2").alias("p2"))
+    counts = rows.groupBy("locus", "read").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("allele = h1")).alias("p1"), F.count_if(F.expr("allele = h2")).alias("p2"))
     return counts.where((F.col("n") >= least) & (F.col("p1") != F.col("p2"))).select("locus", "read", F.when(F.col("p1") > F.col("p2"), 1).otherwise(2).alias("haplotype"), "p1", "p2")
 
 

@@ -28,7 +28,7 @@ def exact_pairs(records: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """(records of names with exactly two, one row with the number of records dropped)."""
     counts = records.groupBy(name).agg(F.count(F.lit(1)).alias("_n"))
     marked = records.join(counts, name)
-    return marked.where("_n = 2").drop("_n"), marked.agg(F.count_if("_n <> 2").alias("dropped"))
+    return marked.where("_n = 2").drop("_n"), marked.agg(F.count_if(F.expr("_n <> 2")).alias("dropped"))
 
 
 def chunk_names(rows: DataFrame, order: str, size: int, by: list[str]) -> DataFrame:
@@ -199,7 +199,7 @@ def concordance(assembled: DataFrame, called: DataFrame) -> DataFrame:
 def concordance_counts(rows: DataFrame) -> DataFrame:
     """One row: repeats confirmed and not, and the same for those of one haplotype."""
     single = F.col("n_haps") == 1
-    return rows.agg(F.count_if("confirmed").alias("confirmed"), F.count_if("not confirmed").alias("missed"), F.count_if(F.col("confirmed") & single).alias("confirmed_single"), F.count_if(~F.col("confirmed") & single).alias("missed_single"))
+    return rows.agg(F.count_if("confirmed").alias("confirmed"), F.count_if(F.expr("not confirmed")).alias("missed"), F.count_if(F.col("confirmed") & single).alias("confirmed_single"), F.count_if(~F.col("confirmed") & single).alias("missed_single"))
 
 
 def combine_haplotypes(records: DataFrame, prefix: str) -> DataFrame:

@@ -51,7 +51,8 @@ def q_color_merge(spark, d):
     return K.collapse_colors(t).select("cn_kmer", "cov", "cov_fw", F.array_join("sources", ",").alias("sources"))
 
 
-def _colors(spark, d):
+def colors(spark, d):
+    """K-mer tables of the colors long (English), short (other languages) and truth (good documents)."""
     r = V.reads(spark, d)
     truth = r.join(V.read(spark, d, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     parts = {"long": r.where("lang = 'en'"), "short": r.where("lang <> 'en'"), "truth": truth}
@@ -61,14 +62,14 @@ def _colors(spark, d):
 
 def q_features(spark, d):
     """The six features and the label of each k-mer."""
-    return K.features(K.color_table(_colors(spark, d), ("long", "short", "truth"))).select(
+    return K.features(K.color_table(colors(spark, d), ("long", "short", "truth"))).select(
         "cn_kmer", "in_long", "short_cov", F.round("strand_ratio", 6).alias("strand_ratio"), "hp_loss", F.round("entropy", 6).alias("entropy"), F.round("gc", 6).alias("gc"), "label"
     )
 
 
 def q_training_bag(spark, d):
     """How often each k-mer stands in the bag of long, short and truth keys."""
-    c = _colors(spark, d)
+    c = colors(spark, d)
     bag = K.union_bag([c.where(F.col("color") == x) for x in ("long", "short", "truth")])
     return bag.groupBy("cn_kmer").agg(F.count(F.lit(1)).alias("n"))
 
