@@ -108,8 +108,8 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[
     versions = with_blobs(docs.drop("secret_spans"), text)
     fresh = scan_blobs(versions, ledger, rules, text)
     found = fresh.where(F.size("spans") > 0).select("blob", "spans") if ledger is None else findings_of(ledger.select("blob", "rules", "spans").union(fresh), rules)
-    joined = versions.join(found, "blob", "left")
-    return joined.withColumn("secret_spans", F.coalesce("spans", F.array().cast(f"array<{SPAN}>"))).drop("spans")
+    joined = versions.join(found.withColumnRenamed("spans", "_found"), "blob", "left")
+    return joined.withColumn("secret_spans", F.coalesce("_found", F.array().cast(f"array<{SPAN}>"))).drop("_found")
 
 
 def digest(spans: Column) -> Column:

@@ -1,0 +1,122 @@
+"""Odd inputs: nulls, empty and long texts, ties, repeated rows, empty tables, clashing column names."""
+
+import hashlib
+
+import corpus_pipeline
+from strandline.llm import decontaminate, hilbert_ann, html_text, license_scan, line_crf, packing, secret_scan, simhash, suffix_dedup, url_filter
+
+
+def _by_id(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_license_scan(docs):
+    out = license_scan.scan_licenses(docs)
+    rows = _by_id(out)
+    assert out.count() == 9
+    assert rows[2].n_words == rows[3].n_words == 0 and rows[2].first_word is None and rows[2].labels == ""
+    assert rows[5].n_words == 20_000
+    assert rows[7].base_labels == "mit" and rows[7].score == 1.0
+    assert license_scan.scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_line_crf(spark, docs):
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (6, 0, 0), (7, 1, 0), (None, 1, 0), (3, None, 0)], "doc_id long, quality int, toxic int")
+    out = line_crf.score_quality(docs, line_crf.train(docs, labels))
+    assert out.count() == 9 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out.collect())
+    empty = line_crf.train(docs, labels.limit(0))
+    assert {r.score for r in line_crf.score_quality(docs, empty).collect()} == {0.5}
+    assert line_crf.score_quality(docs.limit(0), empty).count() == 0
+
+
+def test_decontaminate(spark, docs):
+    items = spark.createDataFrame([(1, "plain words make a line another line of words"), (2, None), (3, ""), (4, "one two")], "item_id long, text string")
+    hits = [(r.doc_id, r.item_id) for r in decontaminate.find_passages(docs, items).collect()]
+    assert hits == [(1, 1), (1, 1)]
+    kept = decontaminate.remove_contaminated(docs, items)
+    assert kept.count() == 7 and kept.columns == docs.columns
+    assert decontaminate.find_passages(docs, items.limit(0)).count() == 0
+    assert decontaminate.find_passages(docs.limit(0), items).count() == 0
+    assert decontaminate.remove_contaminated(docs, items.limit(0)).count() == 9
+
+
+def test_suffix_dedup(docs):
+    out = suffix_dedup.remove_repeats(docs).collect()
+    assert len(out) == 9
+    rows = {r.doc_id: r for r in out}
+    assert rows[2].n_bytes == rows[3].n_bytes == 0 and rows[2].kept_sha256 == hashlib.sha256(b"").hexdigest()
+    assert rows[5].n_removed == rows[5].n_bytes == 115_000 and rows[5].n_spans == 1
+    assert rows[1].n_removed == 0 and rows[None].n_removed == 0
+    assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_packing(docs):
+    out = packing.pack_documents(docs, capacity=64).collect()
+    assert sum(r.doc_id == 1 for r in out) == 2
+    assert [r.length for r in out if r.doc_id == 2] == [1]
+    places = {}
+    for r in out:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in places.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert packing.pack_documents(docs.limit(0)).count() == 0
+
+
+def test_secret_scan(docs):
+    out = secret_scan.scan_secrets(docs)
+    assert out.count() == 9 and sum(len(r.secret_spans) for r in out.collect()) == 1
+    assert secret_scan.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_simhash(docs):
+    out = simhash.near_duplicates(docs)
+    rows = _by_id(out)
+    assert out.count() == 9
+    assert rows[2].fingerprint == rows[3].fingerprint == "0" * 16 and rows[4].component_id == rows[2].component_id == 2
+    assert rows[6].component_id == 5
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_url_filter(spark):
+    rows = spark.createDataFrame([(1, None, 0), (2, "", 0), (3, "no scheme", 0), (4, "http://A.ORG", 0), (4, "http://A.ORG", 0), (5, "http://x.example.org/en/1" + "9" * 10_000, 0), (None, "https://a.com/de/?q#f", 0)], "page_id long, url string, host int")
+    got = [(r.page_id, r.host, r.rule, r.verdict) for r in url_filter.judge_urls(rows).orderBy("page_id", "url").collect()]
+    assert got[0] == (None, "a.com", "com/de/", "block")
+    assert got[1][1:] == ("", None, "allow") and got[4][1:] == ("a.org", None, "allow") and got[4] == got[5]
+    assert got[6][2:] == ("example.org/en/1", "block")
+    assert url_filter.judge_urls(rows.limit(0)).count() == 0
+
+
+def test_html_text(spark):
+    page = "<html><body><nav>menu</nav><p>one &amp; two</p><p>three</p></body></html>"
+    rows = spark.createDataFrame([(1, "http://a.com/x/1", page, 0), (1, "http://a.com/x/1", page, 0), (2, None, None, 0), (3, "http://a.com/x/2", "", 0), (None, "http://b.com/", "<p>" * 3_000 + "deep", 0)], "page_id long, url string, html string, text int")
+    out = html_text.extract_text(rows).collect()
+    assert sorted((r.page_id or 0, r.text) for r in out) == [(0, "deep"), (1, "one & two\nthree"), (1, "one & two\nthree"), (2, ""), (3, "")]
+    assert html_text.extract_text(rows.limit(0)).count() == 0
+
+
+def test_nearest_neighbours(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 1.0]), (7, [1.0]), (100, [0.9, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as rank", "1 as score")
+    got = [(r.query_id, r.rank, r.vec_id) for r in hilbert_ann.nearest_neighbours(df).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2), (0, 3, 100), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
+    assert hilbert_ann.nearest_neighbours(df.limit(0)).count() == 0
+
+
+def test_pipeline_stages(spark, docs, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "some other words that nobody wrote in here")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        if name != "packing":
+            assert out.columns == docs.columns
+        out.collect()
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, folder)
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 7]
+    clean = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, docs, folder).collect()}
+    assert "[secret]" in clean[7] and "abcdef123" not in clean[7] and clean[2] is None
