@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -172,10 +173,19 @@ def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str | None]]]:
         yield block
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the documents that hold a passage of an item; documents of null id stay."""
-    hits = find_passages(docs.where("doc_id is not null"), items).select("doc_id").distinct()
-    return docs.join(hits, "doc_id", "left_anti").select(*docs.columns)
+def remove_contaminated(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without those that hold a passage of an item (see find_passages), filtered where they lie, unshuffled."""
+    for block in _blocks(items):
+        docs = docs.where(_clean_test(docs.sparkSession.sparkContext.broadcast(SeedIndex(block)))(text))
+    return docs
+
+
+def _clean_test(index: Broadcast) -> Callable:
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([not index.value.search(t) for t in texts], dtype=bool)
+
+    return clean
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
