@@ -13,7 +13,7 @@ SIZE = 11
 
 def q_kmer_count(spark, d):
     """Canonical k-mer counts of all reads, by strand."""
-    return K.count_kmers(V.reads(spark, d), SIZE).select("cn_kmer", "cov", "cov_fw", "cov_rc")
+    return K.count_kmers(V.reads(spark, d), SIZE).select("cn_kmer", *[F.col(c).cast("long").alias(c) for c in ("cov", "cov_fw", "cov_rc")])
 
 
 def q_kmer_edges(spark, d):
@@ -33,14 +33,14 @@ def q_noise_repeats(spark, d):
     """K-mers that no read repeats."""
     r = V.reads(spark, d)
     noise = K.repeated_within(r, SIZE, "doc_id").select("cn_kmer").distinct()
-    return K.without(K.count_kmers(r, SIZE), noise).select("cn_kmer", "cov")
+    return K.without(K.count_kmers(r, SIZE), noise).select("cn_kmer", F.col("cov").cast("long").alias("cov"))
 
 
 def q_seq_stats(spark, d):
     """Length, compressed length, entropy, GC share and both ends of the other strand of each read."""
     r, rc = V.reads(spark, d), S.reverse_complement("seq")
     return r.select(
-        "doc_id", F.length("seq").alias("n"), F.length(S.homopolymer_compressed("seq")).alias("n_compressed"), F.round(S.shannon_entropy("seq"), 6).alias("entropy"),
+        "doc_id", F.length("seq").cast("long").alias("n"), F.length(S.homopolymer_compressed("seq")).cast("long").alias("n_compressed"), F.round(S.shannon_entropy("seq"), 6).alias("entropy"),
         F.round(S.gc_content("seq"), 6).alias("gc"), F.md5(rc).alias("rc_md5"),
     )
 
@@ -81,7 +81,7 @@ def _tiles(spark, d):
 
 def q_rescue(spark, d):
     """100-base tiles of documents that share over 70 percent with the benchmark's k-mers."""
-    return K.screen(_tiles(spark, d), V.bait(spark, d), SIZE, 70.0, "tile")
+    return K.screen(_tiles(spark, d), V.bait(spark, d), SIZE, 70.0, "tile").select("tile", "hits", F.col("length").cast("long").alias("length"))
 
 
 def q_recruit_distinct(spark, d):
