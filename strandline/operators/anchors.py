@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators.kmers import unique_kmers
+from strandline.operators.kmers import unique_kmers, windows_of
 from strandline.operators.lineage import cut
 
 
 def positions(reads: DataFrame, kmers: DataFrame, k: int, key: str, keep: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
     """``kmer, key, keep, pos``: where the given k-mers (``kmer``) stand in reads."""
-    rows = reads.select(key, *keep, F.posexplode(S.windows(seq, k)).alias("pos", "kmer"))
+    rows = windows_of(reads, k, [key, *keep], seq)
     return rows.join(kmers.select("kmer"), "kmer", "left_semi").select("kmer", key, *keep, "pos")
 
 

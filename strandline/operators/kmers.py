@@ -11,14 +11,31 @@ from strandline.functions import sequence as S
 SATURATED = 65_535
 
 
+def windows_of(seqs: DataFrame, k: int, keys: list[str], seq: str = "seq", piece: int = 64) -> DataFrame:
+    """``keys, n, pos, kmer, rc, before, after``: every k-mer of every sequence, its place, other strand, and neighbours.
+
+    ``n`` is the sequence's length. A substring costs its distance from the start of the text, so sequences are first cut
+    into overlapping pieces, and k-mers of both strands out of these; rows carry pieces, not whole sequences.
+    """
+    n = F.length(seq)
+    starts = F.when(n >= k, F.sequence(F.lit(0), n - k, F.lit(piece))).otherwise(F.array().cast("array<int>"))
+    rows = seqs.select(*keys, F.col(seq).alias("_s"), n.alias("n"), F.explode(starts).alias("_a"))
+    lead = F.when(F.col("_a") > 0, 1).otherwise(0)
+    rows = rows.select(*keys, "n", "_a", lead.alias("_o"), F.substring("_s", F.col("_a") + 1 - lead, F.lit(piece + k) + lead).alias("_p")).withColumn("_r", S.reverse_complement("_p"))
+    rows = rows.select(*keys, "n", "_a", "_o", "_p", "_r", F.explode(F.sequence(F.lit(0), F.least(F.lit(piece - 1), F.col("n") - k - F.col("_a")))).alias("_j"))
+    at = F.col("_o") + F.col("_j")
+    return rows.select(
+        *keys, "n", (F.col("_a") + F.col("_j")).alias("pos"), F.substring("_p", at + 1, F.lit(k)).alias("kmer"), F.substring("_r", F.length("_r") - at - k + 1, F.lit(k)).alias("rc"),
+        F.when(at > 0, F.substring("_p", at, F.lit(1))).otherwise("").alias("before"), F.substring("_p", at + k + 1, F.lit(1)).alias("after"),
+    )
+
+
 def occurrences(reads: DataFrame, k: int, keys: list[str], seq: str = "seq") -> DataFrame:
     """One row per k-mer of each valid read: ``keys, pos, kmer, cn_kmer, is_fw, before, after``.
 
     Reads with any letter that is not a base, or not longer than ``k``, give none.
     """
-    s = F.col(seq)
-    rows = reads.where(S.valid_for_graph(seq, k)).select(*keys, seq, F.posexplode(S.windows(seq, k)).alias("pos", "kmer"))
-    rows = rows.withColumns({"rc": S.reverse_complement("kmer"), "before": F.when(F.col("pos") > 0, F.substring(s, F.col("pos"), F.lit(1))).otherwise(""), "after": F.substring(s, F.col("pos") + k + 1, F.lit(1))})
+    rows = windows_of(reads.where(S.valid_for_graph(seq, k)), k, keys, seq)
     return rows.select(*keys, "pos", "kmer", F.least("kmer", "rc").alias("cn_kmer"), (F.col("kmer") < F.col("rc")).alias("is_fw"), "before", "after")
 
 
@@ -58,15 +75,13 @@ def without(kmers: DataFrame, noise: DataFrame, keys: tuple[str, ...] = ()) -> D
 
 def unique_kmers(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """``kmer`` that occur exactly once, as written, in all sequences together."""
-    rows = seqs.select(F.explode(S.windows(seq, k)).alias("kmer"))
-    return rows.groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("kmer")
+    return windows_of(seqs, k, [], seq).groupBy("kmer").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("kmer")
 
 
 def compressed_kmers(seqs: DataFrame, k: int, keys: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
     """``keys, length, cn_kmer``: canonical k-mers of the homopolymer-compressed sequences, one row an occurrence."""
     short = seqs.select(*keys, S.homopolymer_compressed(seq).alias("hp"))
-    rows = short.select(*keys, F.length("hp").alias("length"), F.explode(S.windows("hp", k)).alias("kmer"))
-    return rows.select(*keys, "length", S.canonical("kmer").alias("cn_kmer"))
+    return windows_of(short, k, list(keys), "hp").select(*keys, F.col("n").alias("length"), F.least("kmer", "rc").alias("cn_kmer"))
 
 
 def screen(reads: DataFrame, bait: DataFrame, k: int, percent: float, key: str, seq: str = "seq", keep: Column | None = None) -> DataFrame:
@@ -141,9 +156,9 @@ def union_set(tables: list[DataFrame]) -> DataFrame:
 
 def end_distance(seqs: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """``cn_kmer, distance``: the least distance of a k-mer to an end of a sequence that has it."""
-    rows = seqs.select(F.length(seq).alias("n"), F.posexplode(S.windows(seq, k)).alias("i", "kmer"))
-    near = F.least(F.col("i"), F.col("n") - F.col("i") - k)
-    return rows.groupBy(S.canonical("kmer").alias("cn_kmer")).agg(F.min(near).alias("distance"))
+    rows = windows_of(seqs, k, [], seq)
+    near = F.least(F.col("pos"), F.col("n") - F.col("pos") - k)
+    return rows.groupBy(F.least("kmer", "rc").alias("cn_kmer")).agg(F.min(near).alias("distance"))
 
 
 def shared_in_pairs(kmers: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
@@ -160,9 +175,8 @@ def low_complexity(seqs: DataFrame, key: str, window: int = 64, limit: float = 2
 
     A window's score is the sum of c(c-1)/2 over its triplets' counts c, over the number of triplets less one.
     """
-    n = F.length(seq)
-    starts = F.sequence(F.lit(0), F.greatest(n - window, F.lit(0)))
-    wins = seqs.where(n >= 3).select(key, F.explode(starts).alias("start"), F.col(seq).alias("_s")).withColumn("_w", F.substring("_s", F.col("start") + 1, F.lit(window)))
+    whole = seqs.where(F.length(seq).between(3, window - 1)).select(key, F.lit(0).alias("start"), F.col(seq).alias("_w"))
+    wins = windows_of(seqs, window, [key], seq).select(key, F.col("pos").alias("start"), F.col("kmer").alias("_w")).union(whole)
     rows = wins.select(key, "start", F.length("_w").alias("n"), F.explode(S.windows("_w", 3)).alias("t"))
     counts = rows.groupBy(key, "start", "n", "t").agg(F.count(F.lit(1)).alias("c"))
     score = counts.groupBy(key, "start", "n").agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) / F.greatest(F.col("n") - 3, F.lit(1))).alias("score"))
@@ -182,7 +196,7 @@ def links(reads: DataFrame, kmers: DataFrame, k: int, key: str, seq: str = "seq"
     """
     ok = reads.where(S.valid_for_graph(seq, k))
     both = ok.select(key, F.explode(F.array(F.struct(F.lit(True).alias("fw"), F.col(seq).alias("s")), F.struct(F.lit(False).alias("fw"), S.reverse_complement(seq).alias("s")))).alias("x")).select(key, "x.fw", "x.s")
-    rows = both.select(key, "fw", F.posexplode(S.windows("s", k)).alias("i", "kmer"), F.col("s").alias("_s")).withColumn("next", F.substring("_s", F.col("i") + k + 1, F.lit(1))).drop("_s")
+    rows = windows_of(both, k, [key, "fw"], "s").select(key, "fw", F.col("pos").alias("i"), "kmer", F.col("after").alias("next"))
     rows = rows.withColumn("cn_kmer", S.canonical("kmer")).join(kmers.select("cn_kmer", "edges"), "cn_kmer")
     straight = F.col("kmer") == F.col("cn_kmer")
     ahead = F.when(straight, S.out_degree("edges")).otherwise(S.in_degree("edges"))
