@@ -15,17 +15,35 @@ from pyspark.sql import functions as F
 from strandline.llm.common import cut, table
 from strandline.llm.url_filter import split_url
 
-#: Elements whose content is never text of the page.
-_RAW = "script|style|noscript|template|svg|iframe|textarea|select|object|canvas|math|title|head"
+#: Elements whose content is never text of the page; of the first ones, the page's end is the end if no end tag follows.
+_RAW_TEXT = frozenset("script style iframe textarea title".split())
+_RAW = _RAW_TEXT | frozenset("noscript template svg select object canvas math".split())
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>", re.I) for name in _RAW}
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
+    r"<!--.*?(?:-->|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(?P<end2>/?)(?P<name2>[a-z][^\s/>]*+)(?P<attrs2>[^>]*+)>|<[!?][^>]*+>",
     re.I | re.S,
 )
 _ATTR = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose end tags may be left out; they are kept off the stack.
+#: Elements whose end tags may be left out; they mark no article.
 _LOOSE = frozenset("p li dt dd tr td th thead tbody tfoot option optgroup colgroup rp rt".split())
+#: Elements that start a block of their own, and so end an open paragraph and a raw element without an end tag.
+_BLOCKS = frozenset(
+    "address article aside blockquote center details dialog dir div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search "
+    "section summary table ul body".split()
+)
+_BREAK = re.compile(rf"</?(?:{'|'.join(sorted(_BLOCKS | {'tr', 'td', 'th', 'html'}))})(?=[\s/>])", re.I)
+_CELLS, _TABLE = frozenset("td th caption".split()), frozenset(["table"])
+_PARTS = frozenset("tbody thead tfoot colgroup".split())
+_ITEM = _BLOCKS - {"li", "dt", "dd", "address", "div", "p"} | _CELLS
+#: What an element's start ends, if its end tag was left out, and the elements beyond which it ends nothing.
+_ENDS = dict.fromkeys(_BLOCKS, (frozenset(["p"]), _BLOCKS - {"p"} | _CELLS | {"button"}))
+_ENDS |= {"li": (frozenset(["li", "p"]), _ITEM)} | dict.fromkeys(("dt", "dd"), (frozenset(["dt", "dd", "p"]), _ITEM))
+_ENDS |= dict.fromkeys(("td", "th"), (_CELLS, _TABLE | {"tr"})) | {"tr": (_CELLS | {"tr", "colgroup"}, _TABLE)}
+_ENDS |= dict.fromkeys(("tbody", "thead", "tfoot"), (_CELLS | _PARTS | {"tr"}, _TABLE)) | dict.fromkeys(("rp", "rt"), (frozenset(["rp", "rt"]), frozenset(["ruby"])))
+#: Elements beyond which an end tag ends nothing: those of tables pass cells, others do not.
+_LIMITS = {"table": frozenset()} | dict.fromkeys(_CELLS | _PARTS | {"tr"}, _TABLE) | {"li": frozenset("ul ol menu dir table".split()) | _CELLS}
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _CHROME = frozenset("nav footer aside form button dialog menu".split())
 #: Words of a class or id that mark what is not the article.
@@ -87,35 +105,61 @@ def blocks_of(page: str | None) -> list[Block]:
                 out.append(Block(text, *state))
             parts.clear()
 
+    def close(names: frozenset[str], limit: frozenset[str], first: bool) -> None:
+        """End the innermost or outermost open element of ``names`` that lies inside all of ``limit``, with all in it."""
+        nonlocal state
+        last = None
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in names:
+                last = i
+                if first:
+                    break
+            elif stack[i][0] in limit:
+                break
+        if last is not None:
+            if stack[-1][1:] != (stack[last - 1][1:] if last else (False, 0)):
+                flush()
+            del stack[last:]
+            state = stack[-1][1:] if stack else (False, 0)
+
     at = 0
-    for token in _TOKEN.finditer(page):
+    endless: set[str] = set()
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             parts.append(page[at : token.start()])
         at = token.end()
         name = (token["name"] or token["name2"] or "").lower()
         if not name:
-            if token["raw"] and token["raw"].lower() not in ("svg", "math"):
+            continue
+        ending = token["end"] or token["end2"]
+        attrs = token["attrs"] or token["attrs2"] or ""
+        if name in _RAW:
+            if name not in ("svg", "math"):
                 flush()
+            elif attrs.endswith("/"):
+                continue
+            if not ending:
+                tail = None if name in endless else _RAW_END[name].search(page, at)
+                if tail:
+                    at = tail.end()
+                else:
+                    endless.add(name)
+                    halt = None if name in _RAW_TEXT else _BREAK.search(page, at)
+                    at = halt.start() if halt else len(page)
             continue
         block = name not in _INLINE
         if block:
             flush()
         elif name in ("br", "wbr"):
             parts.append(" " if name == "br" else "")
-        if token["end"] or token["end2"]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    if stack[-1][1:] != (stack[i - 1][1:] if i else (False, 0)):
-                        flush()
-                    del stack[i:]
-                    state = stack[-1][1:] if stack else (False, 0)
-                    break
-        elif name not in _VOID:
-            attrs = token["attrs"] or token["attrs2"] or ""
+        if ending:
+            close(frozenset([name]), _LIMITS.get(name, _CELLS | _TABLE), True)
+            continue
+        if name in _ENDS:
+            close(*_ENDS[name], False)
+        if name not in _VOID:
             chrome, mark = _judge(name, attrs, state[1] > 1)
-            if name in _LOOSE and not chrome:
-                continue
-            new = (state[0] or chrome, max(state[1], mark))
+            new = (state[0] or chrome, max(state[1], 0 if name in _LOOSE else mark))
             if new != state:
                 flush()
             if attrs.endswith("/") and name not in ("div", "span", "p", "a"):

@@ -120,3 +120,26 @@ def test_pipeline_stages(spark, docs, tmp_path):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 5, 7]
     clean = {r.doc_id: r.text for r in corpus_pipeline.redact_secrets(spark, docs, folder).collect()}
     assert "[secret]" in clean[7] and "abcdef123" not in clean[7] and clean[2] is None
+
+
+def test_html_markup_that_ends_late_or_never():
+    def text(page):
+        return html_text.settle(html_text.blocks_of(page), set())
+
+    assert text("<html><head><title>t</title><meta name=a><body><p>one</p><p>two</p></body></html>") == "one\ntwo"
+    assert text("<html><head><title>t</title><p>one</p><p>two</p>") == "one\ntwo"
+    assert text("<p>one <svg width='1'/> two</p><p>three</p>") == "one two\nthree"
+    assert text("<p>one <svg><path d='x'></svg> two <math/> three</p>") == "one two three"
+    for name in ("head-line", "svg-icon", "template-x", "object-x", "title-bar"):
+        assert text(f"<{name}>one</{name}><p>two</p>") == "one\ntwo"
+    for name in ("svg", "noscript", "template", "object", "canvas", "select", "math"):
+        assert text(f"<div>one</div><{name} id=x>inside<p>two</p><p>three</p>") == "one\ntwo\nthree"
+    assert text("<p>one<script>var a = '<p>no</p>'") == "one"
+    assert text("<p class='ad'>buy<p>one<p>two") == "one\ntwo"
+    assert text("<div><p class='ad'>buy<div>one</div></div><p>two</p>") == "one\ntwo"
+    assert text("<ul><li class='ad'>buy<li>one<li>two</ul>") == "one\ntwo"
+    assert text("<ul><li class='ad'>buy<ul><li>more</li></ul>more</li><li>one</ul>") == "one"
+    assert text("<dl><dt class='ad'>buy<dd>one</dl><p>two") == "one\ntwo"
+    assert text("<table><tr><td class='ad'>buy<td>one<tr class='ad'><td>buy<tr><td>two</table><p>three") == "one\ntwo\nthree"
+    assert text("<nav><table><tr><td>menu</nav>menu</table>menu</nav><p>one") == "one"
+    assert text("<svg>" * 2_000 + "<p>one") == "one"
