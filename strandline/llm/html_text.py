@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import zip_longest
 from typing import NamedTuple
 
 import pandas as pd
@@ -175,11 +176,11 @@ def blocks_of(page: str | None) -> list[Block]:
 def settle(blocks: list[Block], shared: set[int]) -> str:
     """The main text: blocks that structure allows, of the strongest mark on the page.
 
-    Where no element marks the article, blocks in ``shared`` (by number) are deleted.
+    Where no element marks the article, those in ``shared`` (numbers among the blocks that structure allows) are deleted.
     """
-    open_ = [(i, b) for i, b in enumerate(blocks) if not b.chrome]
-    top = max((b.mark for _, b in open_), default=0)
-    return "\n".join(b.text for i, b in open_ if (b.mark == top if top else i not in shared))
+    open_ = [b for b in blocks if not b.chrome]
+    top = max((b.mark for b in open_), default=0)
+    return "\n".join(b.text for i, b in enumerate(open_) if (b.mark == top if top else i not in shared))
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -228,15 +229,19 @@ def _row(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-#: A neighbour that shares more of a page's lines than this is a copy of the page, not another filling of its template.
-COPY = 0.8
+#: Where the nearest page shares more of a page's lines than this, it may be a version of the page: a second page decides.
+VERSION = 0.8
+#: Different pages before and after a page, in order of host and path, among which the nearest is sought.
+REACH = 2
 
 
 def shared_with(own: dict, others: list[dict | None]) -> list[int]:
     """Numbers of the lines that a page shares with the nearest of its neighbours by path.
 
     Nearness is the number of leading path segments in common; the first of equal ones counts. Neighbours of
-    another host, and copies, do not count.
+    another host, and those with the very same lines, do not count. If the nearest shares over VERSION of the lines,
+    only what the others as near (or else the next nearest, if there is one) have too is shared: template lines stand
+    on all, an article's only on its versions.
     """
     path = (own["path"] or "").split("/")
 
@@ -248,66 +253,91 @@ def shared_with(own: dict, others: list[dict | None]) -> list[int]:
             n += 1
         return n
 
-    mates = [o for o in others if o is not None and own["host"] and o["host"] == own["host"]]
     lines = list(own["lines"])
-    for mate in sorted(mates, key=near, reverse=True):
-        common = common_lines(lines, list(mate["lines"]))
-        if len(common) <= COPY * len(lines):
-            return sorted(common)
-    return []
+    mates = [o for o in others if o is not None and own["host"] and o["host"] == own["host"] and list(o["lines"]) != lines]
+    mates.sort(key=near, reverse=True)
+    common: set[int] = set(range(len(lines))) if mates else set()
+    for mate in mates[: max(2, sum(near(m) == near(mates[0]) for m in mates))]:
+        common &= common_lines(lines, list(mate["lines"]))
+        if len(common) <= VERSION * len(lines):
+            break
+    return sorted(common)
 
 
 def template_lines(pages: DataFrame) -> DataFrame:
     """``k, shared``: the line numbers that each page (``k, url, html``) has in common with its nearest page.
 
-    Pages are put in order of host and path over range partitions, so a host of any size spreads over tasks;
-    only hashes of lines move. The pages at the partitions' ends meet through one broadcast row of each end.
+    Lines are the blocks that structure allows. Copies, which are pages of one host with the same lines, are one page
+    under the smallest of their paths, and what it shares goes back to all of them; pages without lines take no part.
+    The different pages are put in order of host and path over range partitions, so a host of any size spreads over
+    tasks; only hashes of lines move. The pages at the partitions' ends meet through broadcast rows of each end.
     """
     host, path = split_url(F.col("url"))
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lines = [[xxhash.xxh64_intdigest(b.text) >> 1 for b in blocks_of(h)] for h in batch["html"]]
-            yield batch[["k", "host", "path"]].assign(lines=lines)
-
-    rows = pages.withColumns({"host": host, "path": path}).select("k", "host", "path", "html")
-    lined = rows.mapInPandas(hashes, "k string, host string, path string, lines array<long>")
-    ordered = lined.repartitionByRange("host", "path", "k").sortWithinPartitions("host", "path", "k")
+            lines = [[xxhash.xxh64_intdigest(b.text) >> 1 for b in blocks_of(h) if not b.chrome] for h in batch["html"]]
+            page = [xxhash.xxh128_hexdigest(b"".join(n.to_bytes(8, "little") for n in x)) for x in lines]
+            yield batch[["k", "host", "path"]].assign(page=page, lines=lines)
+
+    rows = pages.withColumns({"host": host, "path": path}).where("host <> ''").select("k", "host", "path", "html")
+    lined = cut(rows.mapInPandas(hashes, "k string, host string, path string, page string, lines array<long>").where("size(lines) > 0"))
+    # copies have one list of lines, so any will do; a least one of all, as the order of rows is not fixed
+    different = lined.groupBy("host", "page").agg(F.min("path").alias("path"), F.min("lines").alias("lines"))
+    ordered = different.repartitionByRange("host", "path", "page").sortWithinPartitions("host", "path", "page")
     ordered = cut(ordered.withColumn("pid", F.spark_partition_id()))
+    schema = "host string, page string, path string, lines array<long>, pid int"
 
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        first = last = None
+        head = tail = None
         for batch in batches:
             if len(batch):
-                first = batch.iloc[:1].assign(head=True) if first is None else first
-                last = batch.iloc[-1:].assign(head=False)
-        if first is not None:
-            yield first
-            yield last
-
-    edge = {(r.pid, r.head): r.asDict() for r in ordered.mapInPandas(ends, "k string, host string, path string, lines array<long>, pid int, head boolean").collect()}
-    filled = sorted({pid for pid, _ in edge})
-    before = {b: edge[a, False] for a, b in zip(filled, filled[1:], strict=False)}
-    after = {a: edge[b, True] for a, b in zip(filled, filled[1:], strict=False)}
+                head = batch[:REACH] if head is None else pd.concat([head, batch[:REACH]])[:REACH]
+                tail = batch[-REACH:] if tail is None else pd.concat([tail, batch[-REACH:]])[-REACH:]
+        if head is not None:
+            yield head.assign(head=True)
+            yield tail.assign(head=False)
+
+    edge: dict[int, tuple[list[dict], list[dict]]] = {}
+    for r in ordered.mapInPandas(ends, f"{schema}, head boolean").collect():
+        edge.setdefault(r.pid, ([], []))[not r.head].append(r.asDict())
+    before: dict[int, list[dict]] = {}
+    after: dict[int, list[dict]] = {}
+    filled = sorted(edge)
+    for a, b in zip(filled, filled[1:], strict=False):
+        before[b] = (before.get(a, []) + edge[a][1])[-REACH:]
+    for a, b in zip(filled[-2::-1], filled[:0:-1], strict=False):
+        after[a] = (edge[b][0] + after.get(b, []))[:REACH]
     halo = pages.sparkSession.sparkContext.broadcast((before, after))
 
     def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        earlier, current = None, None
+        earlier: list[dict] = []
+        ahead: list[dict] = []
+        pid = None
+
+        def step() -> tuple:
+            own = ahead.pop(0)
+            found = shared_with(own, [m for pair in zip_longest(earlier[::-1], ahead[:REACH]) for m in pair])
+            earlier[:] = [*earlier, own][-REACH:]
+            return own["host"], own["page"], found
+
+        names = ["host", "page", "shared"]
         for batch in batches:
             out = []
             for row in batch.to_dict("records"):
-                if current is None:
-                    earlier = halo.value[0].get(row["pid"])
-                else:
-                    out.append((current["k"], shared_with(current, [earlier, row])))
-                    earlier = current
-                current = row
-            yield pd.DataFrame(out, columns=["k", "shared"])
-        if current is not None:
-            last = shared_with(current, [earlier, halo.value[1].get(current["pid"])])
-            yield pd.DataFrame([(current["k"], last)], columns=["k", "shared"])
+                if pid is None:
+                    pid = row["pid"]
+                    earlier += halo.value[0].get(pid, [])
+                ahead.append(row)
+                if len(ahead) > REACH:
+                    out.append(step())
+            yield pd.DataFrame(out, columns=names)
+        left = len(ahead)
+        ahead += halo.value[1].get(pid, [])
+        yield pd.DataFrame([step() for _ in range(left)], columns=names)
 
-    return ordered.mapInPandas(differ, "k string, shared array<int>")
+    shared = ordered.mapInPandas(differ, "host string, page string, shared array<int>").where("size(shared) > 0")
+    return lined.select("k", "host", "page").join(shared, ["host", "page"]).select("k", "shared")
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
@@ -315,8 +345,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Structure decides first: scripts, styles, menus, headers, footers, sidebars, forms, and whatever class, id or role
     name as adverts, notices, comments and the like, are out; of the rest, the most strongly marked part stays
-    (article, then main, then a content division). On pages that mark nothing, lines that the nearest page of the
-    same host shares, by longest common subsequence, are deleted. Blocks are joined by newlines.
+    (article, then main, then a content division). On pages that mark nothing, lines that the nearest different page of
+    the same host shares, by longest common subsequence, are deleted. Blocks are joined by newlines.
     Null html is empty and gives an empty text; a null or hostless url has no neighbours; repeated rows are
     extracted one by one; pages of any length are whole; other columns are not read.
     """

@@ -263,6 +263,28 @@ def test_template_lines_go_where_nothing_marks_the_article(spark):
     assert out[9] == "Site name\nalone\nhere\nAll rights here"
 
 
+def test_templates_go_from_short_texts_and_runs_of_copies(spark):
+    def page(*own, menu=9):
+        return "<nav>menu</nav>" + "".join(f"<div>part {n}</div>" for n in range(menu)) + "".join(f"<p>{x}</p>" for x in own)
+
+    article = [f"line {n}" for n in range(20)]
+    rows = [(i, f"http://two.com/a/{i}", page(f"text {i}")) for i in range(2)] + [(10 + i, f"http://many.com/a/{i}", page(f"text {i}", f"more {i}")) for i in range(9)]
+    rows += [(20 + i, f"http://copies.com/a/{i}", page("one", "two", "three")) for i in range(5)] + [(25 + i, f"http://copies.com/a/{5 + i}", page("four", "five")) for i in range(4)]
+    rows += [(30, "http://versions.com/a/1", page(*article, "seen 1", menu=2)), (31, "http://versions.com/a/2", page(*article, "seen 2", menu=2)), (32, "http://versions.com/b/1", page("other", menu=2))]
+    rows += [(40, "http://empty.com/a/1", page("here")), (41, "http://empty.com/a/2", "<nav>menu</nav>"), (42, "http://empty.com/a/3", None), (43, "http://empty.com/a/4", page("there"))]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html_text.extract_text(frame).collect()}
+    assert [out[i] for i in range(2)] == ["text 0", "text 1"] and [out[10 + i] for i in range(9)] == [f"text {i}\nmore {i}" for i in range(9)]
+    assert {out[20 + i] for i in range(5)} == {"one\ntwo\nthree"} and {out[25 + i] for i in range(4)} == {"four\nfive"}
+    assert out[30] == "\n".join([*article, "seen 1"]) and out[32] == "other"
+    assert [out[i] for i in (40, 41, 42, 43)] == ["here", "", "", "there"]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert {r.page_id: r.text for r in html_text.extract_text(frame).collect()} == out
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_pages_give_their_articles(spark):
     import html
 
