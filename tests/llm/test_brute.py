@@ -53,6 +53,37 @@ def test_license_seeds_meet_every_edit():
             assert label in license_scan.scan_text(f"some {''.join(chars)} text", notices)[5].split(",")
 
 
+def test_license_spans_of_neighbouring_notices():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            last, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    notices = license_scan.compile_notices()
+    assert [s[:2] for s in license_scan.scan_text("under the mit licens under the mit license", notices)[7]] == [(0, 4), (4, 8)]
+    assert len(license_scan.scan_text("under the mit licens " * 500 + "under the mit license", notices)[7]) == 501
+    random.seed(7)
+    for phrase, label, edits in (n for n in license_scan.NOTICES if len(n[0]) < 40):
+        for _ in range(6):
+            parts = []
+            for _ in range(random.randint(2, 4)):
+                chars = list(phrase)
+                for at in random.sample([i for i, c in enumerate(chars) if c != " "], random.randint(0, edits + 1)):
+                    chars[at] = "q"
+                parts += ["".join(chars), *["filler"] * random.randint(0, 1)]
+            words = " ".join(parts).split()
+            size = len(phrase.split())
+            costs = {(a, b): c for a in range(len(words)) for b in range(a + 1, min(a + size + 2, len(words)) + 1) if (c := distance(" ".join(words[a:b]), phrase)) <= edits}
+            taken = []
+            for c, a, b in sorted((c, a, b) for (a, b), c in costs.items()):
+                if all(b <= x or y <= a for x, y, _ in taken):
+                    taken.append((a, b, c))
+            assert [(a, b, e) for a, b, x, e in license_scan.scan_text(" ".join(words), notices)[7] if x == label] == sorted(taken)
+
+
 def test_quality_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     out = {r.doc_id: r for r in line_crf.op2_line_crf(spark, folder).collect()}
