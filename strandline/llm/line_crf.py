@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import cut, table
 
-#: Most labelled documents that a model is fitted on (those of smallest id hash), and most lines of each.
-SAMPLE, SAMPLE_LINES = 6_000, 120
+#: Most labelled documents that a model is fitted on (those of smallest id hash), and most lines of all of them together.
+#: Documents are whole: one that does not fit in the lines left is not in the sample.
+SAMPLE, SAMPLE_LINES = 6_000, 400_000
 #: A document is kept if its score reaches this.
 ACCEPT = 0.7
 _UPPER, _LOWER, _DIGIT = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789"
@@ -64,11 +65,9 @@ def line_features(line: bytes) -> list[float]:
     ]
 
 
-def chain_features(text: str | None, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+def chain_features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """(features, lengths) of a text's non-empty lines: bias, own, previous and next line's features, and equality."""
     lines = [x for x in (text or "").encode("utf-8", "surrogatepass").split(b"\n") if x.strip()]
-    if most is not None:
-        lines = lines[:most]
     n = len(lines)
     out = np.zeros((n, 3 * OWN + 3))
     if n:
@@ -216,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents outside the held-out quarter.
 
     Held out are ids whose crc32 (as text) leaves 2 modulo 4. The sample, those of the smallest id hash, is the only
-    thing that reaches the driver, as features of at most SAMPLE_LINES lines a document.
+    thing that reaches the driver, as features of all lines of its documents; these have at most SAMPLE_LINES lines together.
     """
     chosen = (
         labels.where("quality in (0, 1) and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
@@ -228,11 +227,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(k, int(q), *(x.astype(np.float32).tobytes() for x in chain_features(t, SAMPLE_LINES))) for k, q, t in zip(batch.doc_id, batch.quality, batch.text, strict=True)]
+            rows = [(k, int(q), *(x.astype(np.float32).tobytes() for x in chain_features(t))) for k, q, t in zip(batch.doc_id, batch.quality, batch.text, strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "quality", "features", "lengths"])
 
-    held = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(extract, "doc_id long, quality int, features binary, lengths binary")
-    rows = sorted(held.collect(), key=lambda r: (r.doc_id, r.features))
+    held = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(extract, "doc_id long, quality int, features binary, lengths binary"))
+    # four bytes a length, one length a line
+    sizes = held.groupBy("doc_id").agg(F.sum(F.length("lengths") / 4).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    fits, left = [], SAMPLE_LINES
+    for r in sizes:
+        if r.n <= left:
+            fits.append(r.doc_id)
+            left -= r.n
+    rows = sorted((held if len(fits) == len(sizes) else held.where(F.col("doc_id").isin(fits))).collect(), key=lambda r: (r.doc_id, r.features))
     chains = [np.frombuffer(r.features, np.float32).reshape(-1, 3 * OWN + 3).astype(float) for r in rows]
     return fit(chains, [np.frombuffer(r.lengths, np.float32).astype(float) for r in rows], np.array([r.quality for r in rows], dtype=int))
 

@@ -94,6 +94,23 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([(s >= 0.7) == (y == 1) for s, y in held]) > 0.95
 
 
+def test_training_reads_whole_texts(spark, monkeypatch):
+    prose = "A plain sentence of words stands on this line."
+    texts = {d: "\n".join([prose] * 130 + ["| x | $$ 77 | $$ 88 |"] * 60) if d % 2 else f"{prose}\n{prose}" for d in range(1, 13) if zlib.crc32(str(d).encode()) % 4 != 2}
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, 1 - d % 2) for d in texts], "doc_id long, quality int")
+
+    def fitted(ids):
+        found = [[x.astype(np.float32).astype(float) for x in line_crf.chain_features(texts[d])] for d in ids]
+        return line_crf.fit([x[0] for x in found], [x[1] for x in found], np.array([1 - d % 2 for d in ids]))
+
+    assert np.allclose(line_crf.train(docs, labels).weights, fitted(sorted(texts)).weights)
+    monkeypatch.setattr(line_crf, "SAMPLE_LINES", 100)
+    assert line_crf.train(docs, labels).prior == 1.0
+    monkeypatch.setattr(line_crf, "SAMPLE_LINES", 250)
+    assert 0 < line_crf.train(docs, labels).prior < 1
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     for n in (1, 2, 5):
