@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,13 +14,13 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import table
 
-#: Word positions that a hash samples (1) and ignores (0). With these, every item of 15 words or more that
-#: keeps four fifths of its words is hit (checked over all choices of words for 15, 20 and 25 words).
+#: Word positions that a hash samples (1) and ignores (0). With these, every item of 12 words or more that
+#: keeps four fifths of its words is hit (checked over all choices of words for 12 to 15, 20 and 25 words).
 MASKS = ("110111", "100001111")
 #: Shortest matched passage, in words (or the whole item, if shorter), and least share of equal words in it.
 LEAST, SIMILARITY = 13, 0.8
-#: Items under this many words are not searched for: they occur by chance.
-SHORTEST = 5
+#: Items under this many words are hashed through masks of their own length instead (see short_masks).
+SHORT = 12
 #: Words of items that are broadcast together; further items take further passes over the documents.
 BLOCK_WORDS = 2_000_000
 #: A-Z to lower case, other ASCII bytes that are not 0-9 or a-z to spaces.
@@ -30,29 +32,38 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def short_masks(n: int) -> set[tuple[int, ...]]:
+    """Masks that hit every match of an item of ``n`` words: one for each choice of the words that may differ.
+
+    No word of an item under five words may differ. Masks start at the first word they sample.
+    """
+    keep = math.ceil(round(SIMILARITY * n, 6))
+    return {tuple(i - c[0] for i in c) for c in itertools.combinations(range(n), keep)}
+
+
 class SeedIndex:
     """Spaced-seed hashes of some items: sorted hashes with their item and word position."""
 
     def __init__(self, items: list[tuple[int, str | None]], masks: tuple[str, ...] = MASKS):
-        self.masks = [[i for i, c in enumerate(m) if c == "1"] for m in masks]
-        kept = [(item, w) for item, text in items if len(w := words_of(text)) >= SHORTEST]
+        kept = [(item, w) for item, text in items if (w := words_of(text))]
         self.names = [item for item, _ in kept]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, words in kept for w in words))}
         self.items = [np.array([self.vocabulary[w] for w in words], dtype=np.int64) for _, words in kept]
         # fixed odd multipliers spread word numbers over 64 bits
         self.factors = (np.arange(1, 64, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+        sizes = {len(ids) for ids in self.items}
+        # (mask, length of the items it is for); none is a length of SHORT words or more
+        self.masks = [([i for i, c in enumerate(m) if c == "1"], None) for m in masks if any(n >= SHORT for n in sizes)]
+        self.masks += [(list(mask), n) for n in sorted(sizes) if n < SHORT for mask in sorted(short_masks(n))]
         found = []
         for n, ids in enumerate(self.items):
-            # items shorter than a mask are hashed through their first five words only
-            for m, mask in enumerate([*self.masks, list(range(SHORTEST))]):
-                if m == len(self.masks) and len(ids) > max(x[-1] for x in self.masks):
-                    continue
-                at, hashes = self._hashes(ids, mask, m)
-                found += [(int(h), n, int(p)) for h, p in zip(hashes, at, strict=True)]
+            for m, (mask, size) in enumerate(self.masks):
+                if size == (len(ids) if len(ids) < SHORT else None):
+                    at, hashes = self._hashes(ids, mask, m)
+                    found += [(int(h), n, int(p)) for h, p in zip(hashes, at, strict=True)]
         found.sort()
         self.hashes = np.array([f[0] for f in found], dtype=np.uint64)
         self.at = [(f[1], f[2]) for f in found]
-        self.short = any(len(ids) <= max(x[-1] for x in self.masks) for ids in self.items)
 
     def _hashes(self, ids: np.ndarray, mask: list[int], m: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions where all sampled words are known, and their hashes under mask number ``m``."""
@@ -66,19 +77,19 @@ class SeedIndex:
         at = good.nonzero()[0]
         out = np.full(len(at), m + 1, dtype=np.uint64)
         for k, i in enumerate(mask):
-            out = (out ^ (ids[at + i].astype(np.uint64) + np.uint64(1))) * self.factors[k + 7 * m]
+            out = (out ^ (ids[at + i].astype(np.uint64) + np.uint64(1))) * self.factors[(k + 7 * m) % len(self.factors)]
             out ^= out >> np.uint64(29)
         return at, out
 
     def search(self, text: str | None) -> list[tuple]:
         """(item, places, first word, end word, item first word, equal words, similarity) of each item in a text."""
         words = words_of(text)
-        if len(words) < SHORTEST or not len(self.hashes):
+        if not words or not len(self.hashes):
             return []
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words], dtype=np.int64)
         diagonals = set()
-        for m, mask in enumerate([*self.masks, list(range(SHORTEST))] if self.short else self.masks):
+        for m, (mask, _) in enumerate(self.masks):
             at, hashes = self._hashes(ids, mask, m)
             if not len(at):
                 continue
@@ -142,7 +153,7 @@ def find_passages(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     which the passage is verified with substitutions allowed. ``n_places`` counts verified diagonals; the span is
     that with the most equal words. The items are a stated query set: they are read in blocks of at most
     BLOCK_WORDS words, each broadcast and searched in all documents, so nothing broadcast grows with the documents.
-    Null and empty texts and items, and items under SHORTEST words, match nothing. Repeated rows each give rows;
+    Items under five words match as whole sequences of words. Null and empty texts and items match nothing. Repeated rows each give rows;
     documents without a match give none.
     """
     spark = docs.sparkSession

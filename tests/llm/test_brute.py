@@ -132,6 +132,17 @@ def test_masks_hit_every_four_fifths_match():
             assert any(not w & lost for w in windows)
 
 
+def test_short_items_hit_every_match():
+    for n in range(1, 15):
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.SeedIndex([(1, " ".join(item))])
+        for k in range(n // 5 + 1):
+            for gone in itertools.combinations(range(n), k):
+                text = " ".join("zz" if i in gone else w for i, w in enumerate(item))
+                assert [h[0] for h in index.search(text)] == [1] == [h[0] for h in index.search(f"some {text} words")]
+    assert not decontaminate.SeedIndex([(1, "w0 w1 w2 w3")]).search("w0 w1 zz w3 w0 w1 w2")
+
+
 def test_passages_against_all_alignments(spark):
     random.seed(4)
     vocabulary = [f"w{i}" for i in range(300)]
