@@ -100,18 +100,19 @@ def scan_text(text: str | None, notices: list[tuple], base=BASE) -> tuple:
     """(n_words, n_base, first_word, last_word, base labels, all labels, score, near spans in words)."""
     words = words_of(text)
     line = b" %s " % b" ".join(words)
+    # word k starts after space k, so places in words are found by bisection, however many notices there are
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     places, base_labels = [], set()
     for phrase, label in base:
         raw = b" %s " % phrase.encode()
         at = line.find(raw)
         while at >= 0:
-            places.append(line.count(b" ", 0, at + 1) - 1)
+            places.append(int(np.searchsorted(spaces, at)))
             base_labels.add(label)
             at = line.find(raw, at + 1)
     spans = near_spans(line, notices)
     labels = base_labels | {s[2] for s in spans}
     score = 1.0 if base_labels else max((1 - e / size for _, _, _, e, size in spans), default=0.0)
-    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if spans else None
     near = [(int(np.searchsorted(spaces, a)) - 1, int(np.searchsorted(spaces, b)), label, e) for a, b, label, e, _ in spans]
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, near
 
