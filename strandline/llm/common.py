@@ -1,4 +1,4 @@
-"""Helpers shared by the corpus operators: table reading, lineage cuts and connected components."""
+"""Helpers shared by the corpus operators: table reading, lineage cuts, row numbers, spread joins, components."""
 
 from __future__ import annotations
 
@@ -15,10 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder (``spark.checkpoint.dir``); a temporary one is set only where none is (tests)."""
+    """The session's checkpoint folder (``spark.checkpoint.dir``).
+
+    Where none is named, a local session (as in tests) gets a temporary one; on a cluster that is an error, as a
+    folder of one machine would not be seen by the others.
+    """
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        context.setCheckpointDir(folder)
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -35,6 +44,33 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Delete the table that ``written`` made for ``df``; nothing may read it afterwards."""
+    spark = df.sparkSession
+    root = shared_folder(spark)
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/table-" in folder and folder.split(":", 1)[-1].lstrip("/").startswith(root.split(":", 1)[-1].lstrip("/")):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(ordered: DataFrame, name: str) -> DataFrame:
+    """``ordered`` (range-partitioned and sorted) with ``name``, the place of each row in the whole order, from 0.
+
+    The rows are materialised once; only one count for each partition passes through the driver.
+    """
+    held = cut(ordered.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    counts = sorted(held.groupBy(part.alias("part")).count().collect())
+    starts, total = [], 0
+    for r in counts:
+        starts.append((r["part"], total))
+        total += r["count"]
+    offsets = held.sparkSession.createDataFrame(starts, "_part long, _start long")
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start", "_place")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

@@ -16,6 +16,8 @@ from strandline.llm.common import connected_components, cut, table
 BITS = 64
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out as pairs of chunks.
 CHUNK = 4096
+#: Shares into which the rows of one fingerprint are dealt when their component is looked up.
+SHARES = 64
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -197,20 +199,23 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
     ``fingerprint`` is 16 lowercase hex digits; ``component_id`` is the smallest key whose fingerprint can be
     reached by steps of at most ``radius`` differing bits, the own key included. Null and empty texts have
     fingerprint 0 and link like any other. Copies share one fingerprint and are compared once; repeated rows are
-    kept. An empty table gives an empty result; other columns are not read.
+    kept. ``key`` may be of any type that has an order. An empty table gives an empty result; other columns are not read.
     """
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).astype(np.int64))
 
-    rows = cut(docs.select(F.col(key).alias("k"), prints(text).alias("fp")))
-    classes = cut(rows.groupBy("fp").agg(F.min("k").alias("first")))
+    rows = cut(docs.select(F.col(key).alias("k"), prints(text).alias("fp"), F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share")))
+    shares = rows.groupBy("fp", "share").agg(F.min("k").alias("first"))
+    classes = cut(shares.groupBy("fp").agg(F.min("first").alias("first")))
     joined = connected_components(cut(link_fingerprints(classes.select("fp"), radius)))
     member = classes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = member.groupBy("component").agg(F.min("first").alias("component_id"))
     of_print = member.join(lowest, "component").select("fp", "component_id")
-    return rows.join(of_print, "fp").select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint has at most SHARES rows here, and its copies are looked up share by share
+    of_share = shares.select("fp", "share").join(of_print, "fp")
+    return rows.join(of_share, ["fp", "share"]).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
