@@ -1,13 +1,19 @@
-"""Secret scans over an incremental blob ledger, with DataFrame functions only."""
+"""Secret scans over an incremental blob ledger, with DataFrame functions only.
+
+Every row of the input is a version of a path (its id). Texts are content-addressed: a blob is scanned once for each
+rule version, however many paths and versions hold it. What was scanned is appended to the ledger, a Parquet table,
+and findings are read back from it and joined to all paths.
+"""
 
 from __future__ import annotations
 
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import table
+from strandline.llm.common import shared_folder, table
 
 
 class Rule(NamedTuple):
@@ -38,6 +44,10 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
 )
 SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string>"
+#: Columns of the ledger: a blob, the rule versions it was scanned for in one run, and what they found.
+LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"
+#: Shares into which the paths of one blob are dealt when findings are joined to them.
+SHARES = 16
 
 
 def find_spans(text: Column, rule: Rule, order: int) -> Column:
@@ -71,7 +81,7 @@ def with_blobs(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn("blob", F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256))
 
 
-def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def scan_blobs(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """Ledger rows ``blob, rules, spans`` that ``docs`` (with ``blob``) call for and ``ledger`` lacks.
 
     Each distinct blob is scanned once for each rule version that the ledger has not seen with it; copies are
@@ -79,37 +89,56 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Ru
     """
     blobs = docs.groupBy("blob").agg(F.first(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     keys = F.array(*[F.lit(r.key) for r in rules])
-    if ledger is None:
-        due = blobs.withColumn("rules", keys)
-    else:
-        seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
-        due = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("_seen", F.array().cast("array<string>"))))
-        due = due.where(F.size("rules") > 0)
+    seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
+    due = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("_seen", F.array().cast("array<string>"))))
+    due = due.where(F.size("rules") > 0)
     none = F.array().cast(f"array<{SPAN}>")
     spans = F.concat(*[F.when(F.array_contains("rules", r.key), find_spans(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules)])
     return due.select("blob", "rules", F.array_sort(spans).alias("spans"))
 
 
+def open_ledger(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, str]:
+    """(rows, path) of the ledger at ``path``, which is made if there is none; a new one in the shared folder by default."""
+    path = path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    columns = [F.lit(None).cast(kind).alias(name) for name, kind in (part.split(" ", 1) for part in LEDGER.split(", "))]
+    spark.range(0).select(*columns).write.mode("append").parquet(path)
+    return spark.read.schema(LEDGER).parquet(path), path
+
+
+def update_ledger(versions: DataFrame, path: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+    """Scan the unseen pairs of ``versions`` (with ``blob``), append them to the ledger at ``path`` and return all its rows.
+
+    An append that is lost with its job leaves the ledger as it was; one that is repeated adds rows that say the same.
+    """
+    known, path = open_ledger(versions.sparkSession, path)
+    scan_blobs(versions, known, rules, text).write.mode("append").parquet(path)
+    return versions.sparkSession.read.schema(LEDGER).parquet(path)
+
+
 def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``blob, spans`` of the ledger's blobs with a finding of the current rule versions."""
     keys = {r.kind: r.key for r in rules}
-    current = F.filter("spans", lambda s: F.array_contains(F.col("rules"), F.element_at(F.create_map(*[F.lit(x) for kv in keys.items() for x in kv]), s["kind"])))
+    named = F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
+    current = F.filter("spans", lambda s: F.array_contains(F.col("rules"), F.element_at(named, s["kind"])))
     live = ledger.select("blob", current.alias("spans")).where(F.size("spans") > 0)
-    return live.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return live.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
 
 
-def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """``docs`` with ``blob`` and ``secret_spans`` (array of SPAN, sorted; never null), replacing such columns.
 
-    ``ledger`` holds earlier scans (rows of scan_blobs); what it lacks is scanned now, and findings are joined back
-    to every row of the blob. Null texts are empty. Repeated rows are kept. To carry the ledger on, append the
-    rows of scan_blobs to it.
+    ``ledger`` is the path of earlier scans (by default a new one): pairs of blob and rule version that it lacks are
+    scanned and appended, and findings of the current rule versions are read back and joined to every row of the blob.
+    Null texts are empty. Repeated rows are kept. A blob's rows are joined in SHARES shares, so that one text on very
+    many paths spreads over tasks.
     """
     versions = with_blobs(docs.drop("secret_spans"), text)
-    fresh = scan_blobs(versions, ledger, rules, text)
-    found = fresh.where(F.size("spans") > 0).select("blob", "spans") if ledger is None else findings_of(ledger.select("blob", "rules", "spans").union(fresh), rules)
-    joined = versions.join(found.withColumnRenamed("spans", "_found"), "blob", "left")
-    return joined.withColumn("secret_spans", F.coalesce("_found", F.array().cast(f"array<{SPAN}>"))).drop("_found")
+    found = findings_of(update_ledger(versions, ledger, rules, text), rules)
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
+    dealt = found.select(F.col("blob"), F.col("spans").alias("_found"), shares.alias("_share"))
+    joined = versions.withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(SHARES))).join(dealt, ["blob", "_share"], "left")
+    spans = F.coalesce("_found", F.array().cast(f"array<{SPAN}>"))
+    return joined.withColumn("secret_spans", spans).drop("_found", "_share").select(*versions.columns, "secret_spans")
 
 
 def digest(spans: Column) -> Column:
@@ -136,7 +165,7 @@ def _of_kinds(spans: Column, kinds: list[str]) -> Column:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every text of ``documents``."""
+    """Secrets in every text of ``documents``, through a ledger of its own that is written and read back."""
     found = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = [r.kind for r in RULES if r.base]
     spans = F.col("secret_spans")
