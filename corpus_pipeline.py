@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import decontaminate, line_crf, packing, secret_scan, simhash
-from strandline.llm.common import table, written
+from strandline.llm.common import forget, table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,14 +16,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each SimHash component; of rows with one id, one; rows without id stay.
+    """One row of each SimHash component: that of the smallest id, rows without id last.
 
-    Rows without id that have one text count as one.
+    Rows are told apart by all their columns, so different texts under one id are judged one by one, and rows that
+    are equal in every column count as one. Of several rows of the smallest id in a component, the one whose columns
+    have the smallest MD5 stays.
     """
-    found = simhash.near_duplicates(docs.where("doc_id is not null"))
-    others = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").withColumn("_text", F.when(F.col("doc_id").isNull(), F.col("text")))
-    return kept.dropDuplicates(["doc_id", "_text"]).select(*docs.columns)
+    content = F.md5(F.to_json(F.struct(*docs.columns)).cast("binary"))
+    rows = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), content.alias("content")))
+    found = simhash.near_duplicates(rows, "_row")
+    first = found.where("_row = component_id").select("_row").distinct()
+    # equal rows are merged on the map side, and the join reuses their partitioning
+    return rows.dropDuplicates(["_row"]).join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,10 +61,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written and read again by the next."""
+    """All stages over ``documents``; each stage's rows are written, read again by the next, and then deleted."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir))
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
