@@ -52,18 +52,32 @@ def test_stages(spark):
     assert corpus_pipeline.run(spark, DATA).count() == packed.count()
 
 
-def test_ledger_scans_only_what_is_new(spark):
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    path = f"{tmp_path}/ledger"
     docs = spark.createDataFrame([(1, "token = abcdef99"), (2, "token = abcdef99"), (3, "nothing")], "doc_id long, text string")
-    first = secret_scan.scan_blobs(secret_scan.with_blobs(docs)).cache()
-    assert first.count() == 2
-    more = docs.union(spark.createDataFrame([(4, "password: hunter22")], docs.schema))
-    due = secret_scan.scan_blobs(secret_scan.with_blobs(more), first)
-    assert [len(r.spans) for r in due.collect()] == [1]
-    changed = (secret_scan.RULES[0]._replace(version=2), *secret_scan.RULES[1:])
-    again = secret_scan.scan_blobs(secret_scan.with_blobs(docs), first, changed)
+    assert {r.doc_id: len(r.secret_spans) for r in secret_scan.scan_secrets(docs, path).collect()} == {1: 1, 2: 1, 3: 0}
+    assert secret_scan.open_ledger(spark, path)[0].count() == 2
+    more = docs.union(spark.createDataFrame([(4, "password: hunter2"), (5, None)], docs.schema))
+    due = secret_scan.scan_blobs(secret_scan.with_blobs(more), secret_scan.open_ledger(spark, path)[0])
+    assert sorted(len(r.spans) for r in due.collect()) == [0, 1]
+    found = {r.doc_id: len(r.secret_spans) for r in secret_scan.scan_secrets(more, path).collect()}
+    assert found == {1: 1, 2: 1, 3: 0, 4: 1, 5: 0}
+    secret_scan.scan_secrets(more, path)
+    assert secret_scan.open_ledger(spark, path)[0].count() == 4
+    changed = (secret_scan.RULES[0]._replace(version=2, least=8), *secret_scan.RULES[1:])
+    again = secret_scan.scan_blobs(secret_scan.with_blobs(docs), secret_scan.open_ledger(spark, path)[0], changed)
     assert {tuple(r.rules) for r in again.collect()} == {("assign@2",)} and again.count() == 2
-    found = {r.doc_id: len(r.secret_spans) for r in secret_scan.scan_secrets(more, first).collect()}
-    assert found == {1: 1, 2: 1, 3: 0, 4: 1}
+    found = {r.doc_id: len(r.secret_spans) for r in secret_scan.scan_secrets(more, path, changed).collect()}
+    assert found == {1: 1, 2: 1, 3: 0, 4: 0, 5: 0}
+    assert {r.doc_id: len(r.secret_spans) for r in secret_scan.scan_secrets(more, path).collect()}[4] == 1
+
+
+def test_near_dedup_judges_rows_not_ids(spark):
+    a, b = "one text of its own with some words", "another text that stands twice in here"
+    rows = [(3, b, "x"), (5, a, "x"), (5, b, "x"), (5, a, "x"), (7, a, "y"), (None, b, "x"), (None, "no id but alone", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = corpus_pipeline.keep_one_of_each(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "no id but alone"), (3, b), (5, a)]
 
 
 def test_components(spark):
