@@ -226,6 +226,39 @@ def test_packing_round_trip(spark, texts):
     assert len(bins) == -(-sum(bins.values()) // 4096)
 
 
+def _check_packing(rows, sizes, capacity):
+    assert sorted((r.doc_id, r.piece, r.length) for r in rows) == sorted(sizes)
+    bins = collections.defaultdict(list)
+    for r in rows:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for spans in bins.values():
+        spans.sort()
+        assert [a for a, _ in spans] == [0, *itertools.accumulate(n for _, n in spans[:-1])]
+        assert sum(n for _, n in spans) <= capacity
+    return len(bins)
+
+
+@pytest.mark.parametrize("kind", ["small", "large", "mixed"])
+def test_partitions_exchange_until_the_bound(spark, kind):
+    rng = np.random.default_rng(5)
+    low, high = {"small": (1, 30), "large": (34, 50), "mixed": (1, 100)}[kind]
+    sizes = [(d, 0, int(n)) for d, n in enumerate(rng.integers(low, high + 1, size=900))]
+    pieces = spark.createDataFrame([(d, p, 0, n, 7) for d, p, n in sizes], packing.PIECES)
+    bound = int(np.ceil(packing.bounds(np.array([n for _, _, n in sizes]), 100).max() - 1e-6))
+    whole = len(packing.best_fit(sorted((n for _, _, n in sizes), reverse=True), 100)[2])
+    for group in (60, 10_000):
+        used = _check_packing(packing.pack(pieces, 100, group).collect(), sizes, 100)
+        # a certified partition is under one bin above what its pieces take in any packing of everything
+        assert bound <= used <= whole + (900 // group if group < 900 else 0)
+
+
+def test_released_bins_can_save_the_excess():
+    free = np.array([0, 10, 60, 50, 0, 5, 30])
+    assert packing.released(free, 0, 100).tolist() == [False, False, True, True, False, False, False]
+    assert packing.released(free, 1, 100).tolist() == [False, True, True, True, False, True, True]
+    assert not packing.released(np.array([0, 0]), 0, 100).any()
+
+
 def test_bounds_never_exceed_a_packing():
     rng = np.random.default_rng(3)
     for _ in range(60):
@@ -244,7 +277,7 @@ def test_tokenizer_cache_is_bounded_and_exact(texts):
     from tokenizers import Tokenizer
 
     encoder = Tokenizer.from_file(packing.tokenizer_file())
-    small = packing.CachedTokenizer(packing.tokenizer_file(), limit=50)
+    small = packing.CachedTokenizer(packing.tokenizer_file(), limit=600)
     odd = ["a<|endoftext|>b <|ENDOFTEXT|>", "Don't, she's!  x y é", "word.<|startoftext|>, x", "\x1c\x1f a\x85b", None, ""]
     for text in [*odd, *list(texts.values())[:60]]:
         got = np.frombuffer(next(iter(small.ids([text]))), "<u4").tolist()
