@@ -5,7 +5,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from itertools import zip_longest
 from typing import NamedTuple
 
 import pandas as pd
@@ -13,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, table
+from strandline.llm.common import cut, numbered, table
 from strandline.llm.url_filter import split_url
 
 #: Elements whose content is never text of the page; of the first ones, the page's end is the end if no end tag follows.
@@ -174,13 +173,15 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 def settle(blocks: list[Block], shared: set[int]) -> str:
-    """The main text: blocks that structure allows, of the strongest mark on the page.
+    """The main text: of the blocks that structure allows, those of the strongest mark that no near page shares.
 
-    Where no element marks the article, those in ``shared`` (numbers among the blocks that structure allows) are deleted.
+    ``shared`` has numbers among the blocks that structure allows. An element that says it is the article (mark 3) guards
+    its blocks: they stay, shared or not, as articles quote each other. Main elements, content divisions and pages
+    without a mark hold template lines too, so there shared blocks are deleted.
     """
     open_ = [b for b in blocks if not b.chrome]
     top = max((b.mark for b in open_), default=0)
-    return "\n".join(b.text for i, b in enumerate(open_) if (b.mark == top if top else i not in shared))
+    return "\n".join(b.text for i, b in enumerate(open_) if b.mark == top and (top == 3 or i not in shared))
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -233,6 +234,8 @@ def _row(a: list[int], b: list[int]) -> list[int]:
 VERSION = 0.8
 #: Different pages before and after a page, in order of host and path, among which the nearest is sought.
 REACH = 2
+#: Pages of that order which one group compares; REACH more on either side come along.
+BUCKET = 64
 
 
 def shared_with(own: dict, others: list[dict | None]) -> list[int]:
@@ -269,8 +272,9 @@ def template_lines(pages: DataFrame) -> DataFrame:
 
     Lines are the blocks that structure allows. Copies, which are pages of one host with the same lines, are one page
     under the smallest of their paths, and what it shares goes back to all of them; pages without lines take no part.
-    The different pages are put in order of host and path over range partitions, so a host of any size spreads over
-    tasks; only hashes of lines move. The pages at the partitions' ends meet through broadcast rows of each end.
+    The different pages are put in order of host and path segments over range partitions, numbered, and compared in
+    buckets of BUCKET with REACH more on either side; so a host of any size spreads over tasks, only hashes of lines
+    move, and nothing but one count for each partition passes through the driver.
     """
     host, path = split_url(F.col("url"))
 
@@ -284,59 +288,21 @@ def template_lines(pages: DataFrame) -> DataFrame:
     lined = cut(rows.mapInPandas(hashes, "k string, host string, path string, page string, lines array<long>").where("size(lines) > 0"))
     # copies have one list of lines, so any will do; a least one of all, as the order of rows is not fixed
     different = lined.groupBy("host", "page").agg(F.min("path").alias("path"), F.min("lines").alias("lines"))
-    ordered = different.repartitionByRange("host", "path", "page").sortWithinPartitions("host", "path", "page")
-    ordered = cut(ordered.withColumn("pid", F.spark_partition_id()))
-    schema = "host string, page string, path string, lines array<long>, pid int"
-
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        head = tail = None
-        for batch in batches:
-            if len(batch):
-                head = batch[:REACH] if head is None else pd.concat([head, batch[:REACH]])[:REACH]
-                tail = batch[-REACH:] if tail is None else pd.concat([tail, batch[-REACH:]])[-REACH:]
-        if head is not None:
-            yield head.assign(head=True)
-            yield tail.assign(head=False)
-
-    edge: dict[int, tuple[list[dict], list[dict]]] = {}
-    for r in ordered.mapInPandas(ends, f"{schema}, head boolean").collect():
-        edge.setdefault(r.pid, ([], []))[not r.head].append(r.asDict())
-    before: dict[int, list[dict]] = {}
-    after: dict[int, list[dict]] = {}
-    filled = sorted(edge)
-    for a, b in zip(filled, filled[1:], strict=False):
-        before[b] = (before.get(a, []) + edge[a][1])[-REACH:]
-    for a, b in zip(filled[-2::-1], filled[:0:-1], strict=False):
-        after[a] = (edge[b][0] + after.get(b, []))[:REACH]
-    halo = pages.sparkSession.sparkContext.broadcast((before, after))
-
-    def differ(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        earlier: list[dict] = []
-        ahead: list[dict] = []
-        pid = None
-
-        def step() -> tuple:
-            own = ahead.pop(0)
-            found = shared_with(own, [m for pair in zip_longest(earlier[::-1], ahead[:REACH]) for m in pair])
-            earlier[:] = [*earlier, own][-REACH:]
-            return own["host"], own["page"], found
-
-        names = ["host", "page", "shared"]
-        for batch in batches:
-            out = []
-            for row in batch.to_dict("records"):
-                if pid is None:
-                    pid = row["pid"]
-                    earlier += halo.value[0].get(pid, [])
-                ahead.append(row)
-                if len(ahead) > REACH:
-                    out.append(step())
-            yield pd.DataFrame(out, columns=names)
-        left = len(ahead)
-        ahead += halo.value[1].get(pid, [])
-        yield pd.DataFrame([step() for _ in range(left)], columns=names)
-
-    shared = ordered.mapInPandas(differ, "host string, page string, shared array<int>").where("size(shared) > 0")
+    keys = ["host", F.split("path", "/"), "path", "page"]
+    ordered = numbered(different.repartitionByRange(*keys).sortWithinPartitions(*keys), "n")
+    own, place = F.floor(F.col("n") / BUCKET), F.pmod(F.col("n"), F.lit(BUCKET))
+    buckets = F.array_compact(F.array(own, F.when(place < REACH, own - 1), F.when(place >= BUCKET - REACH, own + 1)))
+    dealt = ordered.withColumn("bucket", F.explode(buckets))
+
+    def differ(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("n")
+        first = int(rows["bucket"].iat[0]) * BUCKET
+        at = {r["n"]: r for r in rows.to_dict("records")}
+        steps = [x for d in range(1, REACH + 1) for x in (-d, d)]
+        out = [(r["host"], r["page"], shared_with(r, [at.get(n + d) for d in steps])) for n, r in at.items() if first <= n < first + BUCKET]
+        return pd.DataFrame(out, columns=["host", "page", "shared"])
+
+    shared = dealt.groupBy("bucket").applyInPandas(differ, "host string, page string, shared array<int>").where("size(shared) > 0")
     return lined.select("k", "host", "page").join(shared, ["host", "page"]).select("k", "shared")
 
 
@@ -345,8 +311,9 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     Structure decides first: scripts, styles, menus, headers, footers, sidebars, forms, and whatever class, id or role
     name as adverts, notices, comments and the like, are out; of the rest, the most strongly marked part stays
-    (article, then main, then a content division). On pages that mark nothing, lines that the nearest different page of
-    the same host shares, by longest common subsequence, are deleted. Blocks are joined by newlines.
+    (article, then main, then a content division). Every page is aligned with the nearest different page of its host by
+    longest common subsequence of lines, and shared lines are deleted unless an article element guards them. Blocks are
+    joined by newlines.
     Null html is empty and gives an empty text; a null or hostless url has no neighbours; repeated rows are
     extracted one by one; pages of any length are whole; other columns are not read.
     """
