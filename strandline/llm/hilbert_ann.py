@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, table
+from strandline.llm.common import cut, numbered, table
 
 #: Curves, dimensions that each projects to, bits of each dimension, and rows of a window on either side.
 CURVES, DIMS, BITS, WINDOW = 4, 6, 10, 256
@@ -117,7 +117,8 @@ def prepare(vectors: DataFrame, every: int) -> DataFrame:
 def window_hits(base: DataFrame, curves: list[Curve], k: int, window: int, parts: int) -> DataFrame:
     """Candidates (HIT): the k nearest of each query within its windows, over all curves.
 
-    Rows are range-partitioned by curve and key; a window ends where its partition ends.
+    Rows are range-partitioned by curve and key and numbered in that order. Buckets of four windows, with a window more
+    on either side, are searched one by one, so no window ends at a partition's end, and a task holds one bucket.
     """
     shared = base.sparkSession.sparkContext.broadcast(curves)
 
@@ -130,19 +131,25 @@ def window_hits(base: DataFrame, curves: list[Curve], k: int, window: int, parts
 
     keyed = base.mapInPandas(keys, "vec_id long, embedding array<double>, is_query boolean, curve int, key long")
     ordered = keyed.repartitionByRange(parts * len(curves), "curve", "key", "vec_id").sortWithinPartitions("curve", "key", "vec_id")
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat([b for b in batches if len(b)] or [pd.DataFrame(columns=["curve", "vec_id", "embedding", "is_query"])])
-        for _, rows in whole.groupby("curve", sort=False):
-            ids, matrix = rows["vec_id"].to_numpy(), np.stack(rows["embedding"].to_numpy())
-            hits = []
-            for at in np.flatnonzero(rows["is_query"].to_numpy()):
-                lo, hi = max(0, at - window), at + window + 1
-                found = nearest(matrix[at : at + 1], ids[at : at + 1], matrix[lo:hi], ids[lo:hi], k, np.array([np.inf]))
-                hits += [(int(ids[at]), v, d) for _, v, d in found]
-            yield pd.DataFrame(hits, columns=["query_id", "vec_id", "score"])
-
-    return ordered.mapInPandas(scan, HIT)
+    size = 4 * window
+    own, place = F.floor(F.col("n") / size), F.pmod(F.col("n"), F.lit(size))
+    buckets = F.array_compact(F.array(own, F.when(place < window, own - 1), F.when(place >= size - window, own + 1)))
+    dealt = numbered(ordered, "n").withColumn("bucket", F.explode(buckets))
+
+    def scan(rows: pd.DataFrame) -> pd.DataFrame:
+        first = int(rows["bucket"].iat[0]) * size
+        rows = rows.sort_values("n")
+        place, curve, ids = rows["n"].to_numpy(), rows["curve"].to_numpy(), rows["vec_id"].to_numpy()
+        matrix = np.stack(rows["embedding"].to_numpy())
+        hits = []
+        for at in np.flatnonzero(rows["is_query"].to_numpy() & (place >= first) & (place < first + size)):
+            near = slice(max(0, at - window), at + window + 1)
+            same = curve[near] == curve[at]
+            found = nearest(matrix[at : at + 1], ids[at : at + 1], matrix[near][same], ids[near][same], k, np.array([np.inf]))
+            hits += [(int(ids[at]), v, d) for _, v, d in found]
+        return pd.DataFrame(hits, columns=["query_id", "vec_id", "score"])
+
+    return dealt.groupBy("bucket").applyInPandas(scan, HIT)
 
 
 def best(hits: DataFrame, k: int) -> DataFrame:
@@ -206,8 +213,8 @@ def nearest_neighbours(vectors: DataFrame, k: int = 10, every: int = 100, window
 
     Several Hilbert curves over shifted, projected grids order all vectors; a query's windows on them give
     candidates and so a radius. With ``exact``, every block of the first curve that the radius does not rule out is
-    searched too, so the result is that of brute force; without it, it is what the windows hold (see the README
-    for the recall). Vectors that are null, zero, or hold null or non-finite components, and those of another length
+    searched too, so the result is that of brute force; without it, it is what the windows hold. Windows reach a recall
+    of 0.9 where vectors lie near few dimensions; where they fill all, they do not (see the README for figures). Vectors that are null, zero, or hold null or non-finite components, and those of another length
     than the commonest, take no part. Of repeated ids the smallest vector counts. Ties go to smaller ids; fewer
     than ``k`` other vectors are all returned; an empty table gives an empty result.
     """

@@ -355,6 +355,15 @@ def test_template_lines_go_where_nothing_marks_the_article(spark):
     assert out[9] == "Site name\nalone\nhere\nAll rights here"
 
 
+def test_template_lines_go_from_weakly_marked_pages(spark):
+    page = "<nav>menu</nav><main><div>share this</div><p>text {}</p><p>more {}</p><p>read on</p></main>"
+    guarded = "<article><p>quoted line</p><p>text {}</p></article>"
+    rows = [(i, f"http://h.com/a-b/{i}", page.format(i, i)) for i in range(200)] + [(1000 + i, f"http://g.com/{i}", guarded.format(i)) for i in range(3)]
+    out = {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(out[i] == f"text {i}\nmore {i}" for i in range(200))
+    assert all(out[1000 + i] == f"quoted line\ntext {i}" for i in range(3))
+
+
 def test_templates_go_from_short_texts_and_runs_of_copies(spark):
     def page(*own, menu=9):
         return "<nav>menu</nav>" + "".join(f"<div>part {n}</div>" for n in range(menu)) + "".join(f"<p>{x}</p>" for x in own)
@@ -387,7 +396,7 @@ def test_pages_give_their_articles(spark):
         assert r.text == "\n".join(x for x in blocks if x) and r.n_chars == len(r.text)
 
 
-def test_neighbours_equal_brute_force_and_windows_recall(spark):
+def test_neighbours_equal_brute_force(spark):
     folder = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{folder}/embeddings.parquet").collect()
     ids = np.array([r.vec_id for r in rows])
@@ -403,6 +412,26 @@ def test_neighbours_equal_brute_force_and_windows_recall(spark):
         assert [v for _, v, _ in mine] == [v for v, _ in hits] and np.allclose([s for _, _, s in mine], [s for _, s in hits], rtol=1e-12)
 
 
+def test_windows_alone_reach_their_recall(spark):
+    rng = np.random.default_rng(8)
+    matrix = rng.normal(size=(4_000, 4)) @ rng.normal(size=(4, 24)) + 0.01 * rng.normal(size=(4_000, 24))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in hilbert_ann.nearest_neighbours(frame, exact=False).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 4_000, 100):
+        d = ((matrix - matrix[q]) ** 2).sum(axis=1)
+        hits += len(got[q] & {int(i) for i in np.argsort(d, kind="stable") if i != q and d[i] <= np.sort(d)[10]})
+    assert hits >= 0.9 * 400
+
+
+def test_windows_do_not_end_where_buckets_do(spark):
+    frame = spark.createDataFrame([(i, [1.0 + i / 8, 1.0]) for i in range(200)], "vec_id long, embedding array<double>")
+    rows = hilbert_ann.nearest_neighbours(frame, k=2, every=1, window=3, exact=False).collect()
+    assert {(r.query_id, r.rank): r.vec_id for r in rows} == {(q, n): v for q in range(200) for n, v in enumerate(sorted((x for x in range(200) if x != q), key=lambda x: (abs(x - q), x))[:2], 1)}
+
+
 def test_hilbert_steps_are_neighbours():
     grid = np.array(list(itertools.product(range(8), repeat=3)))
     order = grid[np.argsort(hilbert_ann.hilbert_index(grid, 3))]
