@@ -71,6 +71,16 @@ def numbered(ordered: DataFrame, name: str) -> DataFrame:
     return held.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start", "_place")
 
 
+def spread_join(rows: DataFrame, values: DataFrame, on: list[str], share: str = "share") -> DataFrame:
+    """``rows`` joined to ``values`` (few for each key) so that the rows of a common key spread over tasks.
+
+    The values go to the distinct pairs of key and share first, of which a key has no more than there are shares, and
+    from these to the rows. ``share`` is a column of the rows that must not change if they are computed again.
+    """
+    pairs = rows.select(*on, share).distinct()
+    return rows.join(pairs.join(values, on), [*on, share])
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import connected_components, cut, table
+from strandline.llm.common import connected_components, cut, spread_join, table
 
 BITS = 64
 #: Members of a bucket that one task compares with each other; larger buckets are dealt out as pairs of chunks.
@@ -207,15 +207,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ra
         return pd.Series(np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).astype(np.int64))
 
     rows = cut(docs.select(F.col(key).alias("k"), prints(text).alias("fp"), F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share")))
-    shares = rows.groupBy("fp", "share").agg(F.min("k").alias("first"))
-    classes = cut(shares.groupBy("fp").agg(F.min("first").alias("first")))
+    classes = cut(rows.groupBy("fp").agg(F.min("k").alias("first")))
     joined = connected_components(cut(link_fingerprints(classes.select("fp"), radius)))
     member = classes.join(joined.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     lowest = member.groupBy("component").agg(F.min("first").alias("component_id"))
     of_print = member.join(lowest, "component").select("fp", "component_id")
-    # a fingerprint has at most SHARES rows here, and its copies are looked up share by share
-    of_share = shares.select("fp", "share").join(of_print, "fp")
-    return rows.join(of_share, ["fp", "share"]).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return spread_join(rows, of_print, ["fp"]).select(F.col("k").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,9 @@
 A string of WIDTH bytes is a window. Each window has an anchor, chosen from its content alone, so equal windows have
 anchors at equal places. Consecutive windows of one anchor whose distances from it are in one of a few fixed ranges
 form a run. The core of a run is the bytes that all windows of its range share, its region what its own windows cover.
-Windows of two runs can be equal only if the cores are. Runs whose core occurs once are done; so are runs whose whole
-region occurs twice. What is left differs at the edges only: the runs of one core are aligned, and a suffix array over
-their distinct pieces finds every window that two of them share.
+Windows of two runs can be equal only if the cores are, so runs whose core occurs once are done. The distinct regions of
+every other core are aligned, and a suffix array over their distinct pieces decides which of their windows occur twice;
+a region's windows are then those of all runs that have it.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, table
+from strandline.llm.common import cut, spread_join, table, written
 from strandline.llm.suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of a repeated string, and bytes of the grams that anchors start.
 WIDTH, GRAM = 400, 8
 #: Runs of one core that one task aligns; a core with more is split by halving its runs.
 MEMBERS = 1_500
+#: Shares into which the runs of one core are dealt where they are joined.
+SHARES = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -241,107 +243,113 @@ def _reach(parts: list[bytes], counts: list[int]) -> list[int]:
     return out
 
 
-OPEN = "core long, core2 long, doc_id long, k int, base int, side int, copies int, before binary, after binary"
-SPAN = "doc_id long, k int, lo int, hi int"
+#: Distinct regions to decide: the names of the core, the run's own core and region, the place of its first window among
+#: the region's, the number of windows in the range less one, how often the region occurs, and the bytes around the core.
+OPEN = "core long, core2 long, home long, region long, at int, side int, copies int, before binary, after binary"
+#: Windows of a region, numbered from its first, that occur twice.
+DECIDED = "core long, region long, lo int, hi int"
+NAMES, DECIDED_NAMES = ([c.split()[0] for c in x.split(", ")] for x in (OPEN, DECIDED))
 
 
-def _align(batches: Iterator[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    """Byte spans (SPAN) of shared windows, from open runs sorted by core."""
+def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeated windows (DECIDED) of regions sorted by core."""
     rest: list[tuple] = []
 
     def solve(rows: list[tuple]) -> list[tuple]:
-        found = shared_windows([(r[7], r[8], r[6]) for r in rows], rows[0][5]) if len(rows) > 1 else [[]]
-        # runs that occur twice are removed whole elsewhere
-        return [(r[2], r[3], r[4] + a, r[4] + b + width) for r, ranges in zip(rows, found, strict=True) if r[6] == 1 for a, b in ranges]
+        found = shared_windows([(r[7], r[8], r[6]) for r in rows], rows[0][5])
+        # windows are numbered in the range; the region's first is ``side`` less the bytes before the core
+        return [(r[2], r[3], r[4] + a - r[5] + len(r[7]), r[4] + b - r[5] + len(r[7])) for r, ranges in zip(rows, found, strict=True) for a, b in ranges]
 
     for batch in batches:
         rows = rest + list(batch.itertuples(index=False, name=None))
         groups = [list(g) for _, g in groupby(rows, key=lambda r: (r[0], r[1]))]
         rest = groups.pop() if groups else []
-        yield pd.DataFrame([s for g in groups for s in solve(g)], columns=["doc_id", "k", "lo", "hi"])
+        yield pd.DataFrame([s for g in groups for s in solve(g)], columns=DECIDED_NAMES)
     if rest:
-        yield pd.DataFrame(solve(rest), columns=["doc_id", "k", "lo", "hi"])
+        yield pd.DataFrame(solve(rest), columns=DECIDED_NAMES)
 
 
 def _halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each open run as its lower and upper half of windows, with the larger cores these have."""
+    """Each open region as its lower and upper half of windows, with the larger cores these have."""
     digest = xxhash.xxh3_64_intdigest
-    names = [c.split()[0] for c in OPEN.split(", ")]
     for batch in batches:
         out = []
-        for core, core2, doc, k, base, side, copies, before, after in batch.itertuples(index=False, name=None):
+        for core, core2, home, region, at, side, copies, before, after in batch.itertuples(index=False, name=None):
             h = (side + 1) // 2
             name = core.to_bytes(8, "little", signed=True) + core2.to_bytes(8, "little", signed=True)
+            first = side - len(before)
             halves = []
-            if h and len(before) > side - h:
-                inner = len(before) - (side - h + 1)
-                halves.append((b"<", base, h - 1, before[inner:], before[:inner], after[: h - 1]))
+            if h and first < h:
+                inner = h - 1 - first
+                halves.append((b"<", at, h - 1, before[inner:], before[:inner], after[: h - 1]))
             if len(after) >= h:
-                halves.append((b">", base + h, side - h, after[:h], before[max(0, len(before) - (side - h)) :], after[h:]))
+                halves.append((b">", at + max(0, h - first), side - h, after[:h], before[max(0, len(before) - (side - h)) :], after[h:]))
             for kind, start, size, more, b, a in halves:
-                out.append((_signed(digest(kind + name + more, 3)), _signed(digest(kind + name + more, 4)), doc, k, start, size, copies, b, a))
-        yield pd.DataFrame(out, columns=names)
+                out.append((_signed(digest(kind + name + more, 3)), _signed(digest(kind + name + more, 4)), home, region, start, size, copies, b, a))
+        yield pd.DataFrame(out, columns=NAMES)
 
 
-def repeated_spans(docs: DataFrame, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
-    """Byte spans (SPAN, end exclusive, overlapping) that repeated strings of ``width`` bytes cover in ``docs``.
-
-    ``docs`` has ``doc_id`` (not null), ``k`` (a hash of the text) and ``text``.
-    """
-    found = runs(docs, width)
-    regions = found.groupBy("core", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "k", "place")).alias("at"))
-    per_core = regions.groupBy("core").agg(F.count(F.lit(1)).alias("forms"), F.max("copies").alias("most"))
-    state = cut(regions.join(per_core.where("forms > 1 or most > 1"), "core"))
-    twice = state.where("copies > 1").select("core", "region")
-    base = F.shiftright("place", 3 * _FIELD) - _BELOW
-    first, last = (F.shiftright("place", n * _FIELD).bitwiseAND(F.lit((1 << _FIELD) - 1)) for n in (1, 0))
-    whole = found.join(twice, ["core", "region"]).select("doc_id", "k", (base + first).cast("int").alias("lo"), (base + last + width).cast("int").alias("hi"))
-    open_ = state.where("forms > 1").select("core", "forms", F.least("copies", F.lit(2)).cast("int").alias("copies"), "at.*")
-    wanted = open_.groupBy("doc_id", "k").agg(F.collect_list(F.struct("core", "place", "copies")).alias("runs"))
-    with_text = docs.dropDuplicates(["doc_id", "k"]).join(wanted, ["doc_id", "k"])
+def repeated_windows(docs: DataFrame, regions: DataFrame, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
+    """Windows (DECIDED) that occur twice, of ``regions`` (``core, region, copies`` and a run ``doc_id, k, place``)."""
+    wanted = regions.groupBy("doc_id", "k").agg(F.collect_list(F.struct("core", "region", "place", "copies")).alias("runs"))
+    with_text = docs.dropDuplicates(["doc_id", "k"]).join(wanted, ["doc_id", "k"]).select("text", "runs")
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in OPEN.split(", ")]
         for batch in batches:
             out = []
-            for doc, k, text, listed in zip(batch["doc_id"].tolist(), batch["k"].tolist(), batch["text"], batch["runs"], strict=True):
+            for text, listed in zip(batch["text"], batch["runs"], strict=True):
                 data = (text or "").encode("utf-8", "surrogatepass")
                 for r in listed:
                     base, side, first, last = _unpack(r["place"])
                     inner, outer = base + side, base + width
                     second = _signed(xxhash.xxh3_64_intdigest(data[inner:outer], 5))
                     before, after = data[base + first : inner], data[outer : base + last + width]
-                    out.append((r["core"], second, doc, k, base, side, r["copies"], before, after))
-            yield pd.DataFrame(out, columns=names)
+                    out.append((r["core"], second, r["core"], r["region"], 0, side, r["copies"], before, after))
+            yield pd.DataFrame(out, columns=NAMES)
 
     todo = with_text.mapInPandas(sides, OPEN)
-    spans = whole
-    largest = open_.agg(F.max("forms")).first()[0] or 0
+    largest = regions.groupBy("core").count().agg(F.max("count")).first()[0] or 0
     if largest <= members:
-        return spans.union(_aligned(todo, width))
+        return _aligned(todo)
     todo = cut(todo)
+    decided = None
     while True:
-        sizes = todo.groupBy("core", "core2").agg(F.count(F.lit(1)).alias("_forms"))
-        sized = todo.join(sizes.where("_forms > 1"), ["core", "core2"])
-        fits = sized.where(F.col("_forms") <= members).drop("_forms").select(*todo.columns)
-        spans = spans.union(_aligned(fits, width))
-        big = sized.where(F.col("_forms") > members).drop("_forms").select(*todo.columns)
-        halves = cut(big.mapInPandas(_halve, OPEN))
+        sizes = todo.groupBy("core", "core2").agg(F.count(F.lit(1)).alias("_forms"), F.max("copies").alias("_most"))
+        shared = todo.withColumn("share", F.pmod(F.xxhash64("home", "region", "at"), F.lit(SHARES)))
+        sized = spread_join(shared, sizes.where("_forms > 1 or _most > 1"), ["core", "core2"])
+        fits = _aligned(sized.where(F.col("_forms") <= members).select(*NAMES))
+        decided = fits if decided is None else decided.union(fits)
+        halves = cut(sized.where(F.col("_forms") > members).select(*NAMES).mapInPandas(_halve, OPEN))
         if halves.isEmpty():
-            return spans
+            return decided
         # halves that are equal as a whole are done; one of them stays as a partner for the others
         key = ["core", "core2", "before", "after"]
-        alike = halves.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("copies").alias("_copies"), F.min(F.struct("doc_id", "k", "base", "side")).alias("_at"))
+        alike = halves.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("copies").alias("_copies"), F.min(F.struct("home", "region", "at", "side")).alias("_at"))
         many = (F.col("_n") > 1) | (F.col("_copies") > 1)
-        same = halves.where("copies = 1").join(alike.where(many).select(key), key)
-        first = F.col("base") + F.col("side") - F.length("before")
-        spans = spans.union(same.select("doc_id", "k", first.alias("lo"), (F.col("base") + F.length("after") + width).alias("hi")))
-        todo = cut(alike.select("core", "core2", "_at.*", F.when(many, 2).otherwise(1).alias("copies"), "before", "after").select(*todo.columns))
+        same = spread_join(halves.withColumn("share", F.pmod(F.xxhash64("home", "region", "at"), F.lit(SHARES))), alike.where(many).select(key), key)
+        windows = F.length("before") + F.length("after") - F.col("side")
+        decided = decided.union(same.select(F.col("home").alias("core"), "region", F.col("at").alias("lo"), (F.col("at") + windows).alias("hi")))
+        todo = cut(alike.select("core", "core2", "_at.*", F.when(many, 2).otherwise(1).alias("copies"), "before", "after").select(*NAMES))
+
 
+def _aligned(todo: DataFrame) -> DataFrame:
+    return todo.repartition("core", "core2").sortWithinPartitions("core", "core2").mapInPandas(_align, DECIDED)
 
-def _aligned(todo: DataFrame, width: int) -> DataFrame:
-    ordered = todo.repartition("core", "core2").sortWithinPartitions("core", "core2")
-    return ordered.mapInPandas(lambda batches: _align(batches, width), SPAN)
+
+def repeated_spans(docs: DataFrame, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
+    """Byte spans ``doc_id, k, lo, hi`` (end exclusive, overlapping) that repeated strings of ``width`` bytes cover in ``docs``.
+
+    ``docs`` has ``doc_id`` (not null), ``k`` (a hash of the text) and ``text``.
+    """
+    found = written(runs(docs, width)).withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES)))
+    often = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = often.select("core", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    live = cut(found.join(often, ["core", "share"]))
+    per_region = live.groupBy("core", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "k", "place")).alias("run"))
+    regions = cut(per_region.select("core", "region", F.least("copies", F.lit(2)).cast("int").alias("copies"), "run.*"))
+    decided = spread_join(live, repeated_windows(docs, regions, width, members), ["core", "region"])
+    begin = F.shiftright("place", 3 * _FIELD) - _BELOW + F.shiftright("place", _FIELD).bitwiseAND(F.lit((1 << _FIELD) - 1))
+    return decided.select("doc_id", "k", (begin + F.col("lo")).cast("int").alias("lo"), (begin + F.col("hi") + width).cast("int").alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -38,19 +38,30 @@ def suffix_array(text: list[int]) -> list[int]:
             top.above, new.below = new, top
         top = new
 
-    previous = [-1] * n
+    # the previous smaller place of each place whose group has been taken; before that, unknown
+    unknown = -2
+    previous = [unknown] * n
     taken = [False] * n
     current = top
     while current is not None:
-        members = sorted(current.members)
+        members = list(current.members)
         for i in members:
             taken[i] = True
         pointed: dict[int, int] = {}
         for i in members:
-            j = i - 1
-            while j >= 0 and taken[j]:
-                j = previous[j]
-            previous[i] = j
+            waiting = [i]
+            while waiting:
+                at = waiting[-1]
+                j = at - 1
+                while j >= 0 and taken[j] and previous[j] != unknown:
+                    j = previous[j]
+                if j >= 0 and taken[j]:
+                    # a member of this group whose own pointer comes first
+                    waiting.append(j)
+                else:
+                    previous[at] = j
+                    waiting.pop()
+            j = previous[i]
             if j >= 0:
                 pointed[j] = pointed.get(j, 0) + 1
         if pointed:
