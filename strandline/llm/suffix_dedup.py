@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm.common import cut, spread_join, table, written
+from strandline.llm.common import cut, forget, spread_join, table, written
 from strandline.llm.suffix_sort import common_prefixes, suffix_array
 
 #: Bytes of a repeated string, and bytes of the grams that anchors start.
@@ -29,6 +29,8 @@ WIDTH, GRAM = 400, 8
 MEMBERS = 1_500
 #: Shares into which the runs of one core are dealt where they are joined.
 SHARES = 16
+#: Windows of a text that are looked at together.
+STRETCH = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -36,63 +38,37 @@ def runs_of(data: bytes, width: int = WIDTH) -> list[tuple[int, int, int, int]]:
     """(base, side, first, last) of each run of a text; together they are all its windows.
 
     Windows are numbered from ``base``, the first that the run's range has room for, so they are 0 to ``side`` at most.
-
-    A window's anchor is the first gram in it whose hash is 0 in the low 8 bits, else in the low 7, and so on
-    down to 4, else the first of those with the least hash.
+    A window's anchor is the first of its grams with the least hash. Least hashes of all windows come from minima over
+    spans that double in length. Long texts go in stretches of STRETCH windows; a run then ends where a stretch does.
     """
     n = len(data) - width + 1
-    if n <= 0:
-        return []
-    a = np.frombuffer(data, np.uint8).astype(np.uint64)
-    a = a[:-1] | a[1:] << np.uint64(8)
-    a = a[:-2] | a[2:] << np.uint64(16)
-    a = a[:-4] | a[4:] << np.uint64(32)
-    hashed = (a * _MIX) >> np.uint64(40)
     grams = width - GRAM + 1
-    anchored: list[tuple[int, int, int]] = []
-    gaps = [(0, n - 1)]
-    for mask in (255, 127, 63, 31, 15):
-        left = []
-        places = np.flatnonzero((hashed & np.uint64(mask)) == 0).tolist()
-        at = 0
-        for lo, hi in gaps:
-            while at < len(places) and places[at] < lo:
-                at += 1
-            i = at
-            while lo <= hi:
-                if i == len(places):
-                    left.append((lo, hi))
-                    break
-                place = places[i]
-                start = place - grams + 1
-                if start > lo:
-                    end = min(start - 1, hi)
-                    left.append((lo, end))
-                    lo = end + 1
-                    continue
-                end = min(place, hi)
-                anchored.append((lo, end, place))
-                lo = end + 1
-                i += 1
-        gaps = left
-    for lo, hi in gaps:
-        part = hashed[lo : hi + grams]
-        view = np.lib.stride_tricks.sliding_window_view(part, grams)
-        step = 4096
-        first = np.concatenate([view[s : s + step].argmin(axis=1) + np.arange(s, min(s + step, len(view))) for s in range(0, len(view), step)])
-        edges = np.flatnonzero(np.diff(first)) + 1
-        starts = np.concatenate([[0], edges])
-        ends = np.concatenate([edges, [len(first)]]) - 1
-        anchored += [(lo + int(s), lo + int(e), lo + int(first[s])) for s, e in zip(starts, ends, strict=True)]
     near = grams // 3
     out = []
-    for lo, hi, place in anchored:
-        if hi > place - near:
-            base = place - near + 1
-            out.append((base, near - 1, max(lo, base) - base, hi - base))
-        if lo <= place - near:
-            base = place - grams + 1
-            out.append((base, grams - near - 1, lo - base, min(hi, place - near) - base))
+    for start in range(0, max(n, 0), STRETCH):
+        stop = min(n, start + STRETCH)
+        a = np.frombuffer(data, np.uint8, stop - start + width - 1, start).astype(np.uint64)
+        a = a[:-1] | a[1:] << np.uint64(8)
+        a = a[:-2] | a[2:] << np.uint64(16)
+        a = a[:-4] | a[4:] << np.uint64(32)
+        # the hash above, the place below: the least of them is the first least hash
+        least = (a * _MIX) >> np.uint64(32) << np.uint64(32) | np.arange(len(a), dtype=np.uint64)
+        size = 1
+        while size < grams:
+            step = min(size, grams - size)
+            least = np.minimum(least[:-step], least[step:])
+            size += step
+        anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64) + start
+        edges = np.flatnonzero(np.diff(anchor)) + 1
+        starts = np.concatenate([[0], edges])
+        ends = np.concatenate([edges, [len(anchor)]]) - 1
+        for lo, hi, place in zip((starts + start).tolist(), (ends + start).tolist(), anchor[starts].tolist(), strict=True):
+            if hi > place - near:
+                base = place - near + 1
+                out.append((base, near - 1, max(lo, base) - base, hi - base))
+            if lo <= place - near:
+                base = place - grams + 1
+                out.append((base, grams - near - 1, lo - base, min(hi, place - near) - base))
     return out
 
 
@@ -341,12 +317,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, members: int = MEMBERS)
 
     ``docs`` has ``doc_id`` (not null), ``k`` (a hash of the text) and ``text``.
     """
-    found = written(runs(docs, width)).withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES)))
+    held = written(runs(docs, width))
+    found = held.withColumn("share", F.pmod(F.spark_partition_id(), F.lit(SHARES)))
     often = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = often.select("core", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
-    live = cut(found.join(often, ["core", "share"]))
+    # such cores are a share of all, so they are never a small side
+    live = written(found.join(often.hint("merge"), ["core", "share"]))
+    forget(held)
     per_region = live.groupBy("core", "region").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "k", "place")).alias("run"))
-    regions = cut(per_region.select("core", "region", F.least("copies", F.lit(2)).cast("int").alias("copies"), "run.*"))
+    regions = written(per_region.select("core", "region", F.least("copies", F.lit(2)).cast("int").alias("copies"), "run.*"))
     decided = spread_join(live, repeated_windows(docs, regions, width, members), ["core", "region"])
     begin = F.shiftright("place", 3 * _FIELD) - _BELOW + F.shiftright("place", _FIELD).bitwiseAND(F.lit((1 << _FIELD) - 1))
     return decided.select("doc_id", "k", (begin + F.col("lo")).cast("int").alias("lo"), (begin + F.col("hi") + width).cast("int").alias("hi"))
