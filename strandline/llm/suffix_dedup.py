@@ -29,6 +29,8 @@ WIDTH, GRAM = 400, 8
 MEMBERS = 1_500
 #: Shares into which the runs of one core are dealt where they are joined.
 SHARES = 16
+#: A passage has PASSAGE words (50, less one at either end that may stick to other text); PHRASE words of it are compared.
+PASSAGE, PHRASE = 48, 32
 #: Windows of a text that are looked at together.
 STRETCH = 1 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -331,23 +333,74 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, members: int = MEMBERS)
     return decided.select("doc_id", "k", (begin + F.col("lo")).cast("int").alias("lo"), (begin + F.col("hi") + width).cast("int").alias("hi"))
 
 
+def phrases_of(text: str | None, passage: int = PASSAGE, phrase: int = PHRASE) -> np.ndarray:
+    """Distinct hashes of some runs of ``phrase`` words, at least one from every ``passage`` words in a row.
+
+    Of the phrases in each passage the one of least hash is taken, so equal passages yield the same. Words are what
+    white space separates.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").split()
+    n = len(words) - passage + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    # a phrase's hash is a polynomial in _MIX, by Horner's rule on spans that double; arithmetic is modulo 2**64
+    size, power = 1, _MIX
+    with np.errstate(over="ignore"):
+        while size < phrase:
+            hashed = hashed[:-size] * power + hashed[size:]
+            size, power = 2 * size, power * power
+        least = (hashed ^ hashed >> np.uint64(29)) * _MIX
+    spread = passage - phrase + 1
+    size = 1
+    while size < spread:
+        step = min(size, spread - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    return np.unique(least).astype(np.int64)
+
+
+def shared_phrases(docs: DataFrame, passage: int = PASSAGE, phrase: int = PHRASE) -> DataFrame:
+    """``doc_id, k, n_shared_phrases`` of the documents that have phrases of other rows' (see phrases_of).
+
+    It is positive wherever a passage of ``passage`` words stands in another row too, and zero (no row here) where not
+    even ``phrase`` words (a power of 2) in a row do. Repeats inside one text do not count.
+    """
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [phrases_of(t, passage, phrase) for t in batch["text"]]
+            size = [len(x) for x in found]
+            yield pd.DataFrame({"phrase": np.concatenate([np.zeros(0, np.int64), *found]), "doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), size), "k": np.repeat(batch["k"].to_numpy(np.int32), size)})
+
+    found = docs.mapInPandas(find, "phrase long, doc_id long, k int")
+    often = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
+    shared = found.join(often.hint("merge"), "phrase")
+    # of repeated rows, all count alike
+    return shared.groupBy("doc_id", "k").agg(F.count_distinct("phrase").alias("n_shared_phrases"))
+
+
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept_text``.
+    """One row per row of ``docs``: ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_shared_phrases, kept_text``.
 
     Texts are UTF-8 bytes. Every byte that lies in a string of ``width`` bytes which also starts anywhere else,
     in the same text (overlapping or not) or another, is removed; strings are judged on the input and never cross
-    texts. ``kept_sha256`` is the hash of the remaining bytes, ``kept_text`` these bytes. Null and empty texts keep nothing
-    and lose nothing; repeated rows are copies of each other; other columns are not read.
+    texts. ``kept_sha256`` is the hash of the remaining bytes, ``kept_text`` these bytes. ``n_shared_phrases`` tells of
+    passages that other texts have too, which may be shorter than ``width`` (see shared_phrases); it removes
+    nothing. Null and empty texts keep nothing and lose nothing; repeated rows are copies of each other; other
+    columns are not read.
     """
     named = docs.select(F.col(key).alias("own_id"), F.coalesce(F.col(key), F.lit(-1)).cast("long").alias("doc_id"), F.hash(F.col(text)).alias("k"), F.col(text).alias("text"))
-    spans = repeated_spans(named.select("doc_id", "k", "text"), width)
-    listed = spans.groupBy("doc_id", "k").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
-    joined = named.join(listed, ["doc_id", "k"], "left").select("own_id", "text", "spans")
+    own = named.select("doc_id", "k", "text")
+    spans = repeated_spans(own, width).select("doc_id", "k", F.struct("lo", "hi").alias("span"), F.lit(None).cast("long").alias("n_shared_phrases"))
+    phrases = shared_phrases(own).select("doc_id", "k", F.lit(None).cast("struct<lo int, hi int>").alias("span"), "n_shared_phrases")
+    listed = spans.union(phrases).groupBy("doc_id", "k").agg(F.collect_set("span").alias("spans"), F.max("n_shared_phrases").alias("n_shared_phrases"))
+    joined = named.join(listed, ["doc_id", "k"], "left").select("own_id", "text", "spans", F.coalesce("n_shared_phrases", F.lit(0)).cast("long").alias("n_shared_phrases"))
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, value, found in zip(batch["own_id"], batch["text"], batch["spans"], strict=True):
+            for doc, value, found, phrases in zip(batch["own_id"], batch["text"], batch["spans"], batch["n_shared_phrases"], strict=True):
                 data = (value or "").encode("utf-8", "surrogatepass")
                 merged: list[list[int]] = []
                 for lo, hi in sorted((s["lo"], s["hi"]) for s in found) if found is not None else ():
@@ -360,15 +413,15 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
                     kept.append(data[at:lo])
                     at = hi
                 rest = b"".join([*kept, data[at:]])
-                rows.append((doc, len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), rest))
-            frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+                rows.append((doc, len(data), len(data) - len(rest), len(merged), hashlib.sha256(rest).hexdigest(), phrases, rest))
+            frame = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared_phrases", "kept_text"])
             yield frame.astype({"doc_id": "Int64"})
 
-    return joined.mapInPandas(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept_text binary")
+    return joined.mapInPandas(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared_phrases long, kept_text binary")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeated strings of 400 bytes removed from all ``documents``."""
+    """Repeated strings of 400 bytes removed from all ``documents``, and how many phrases each shares with others."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept_text")
 
 

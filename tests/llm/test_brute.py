@@ -207,6 +207,27 @@ def test_repeats(spark, texts, monkeypatch, members):
     assert got == _repeats({d: t.encode() for d, t in texts.items()}, 400)
 
 
+def test_phrases_of_passages_that_other_texts_have(spark):
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(120)]
+    rows, words = [], {}
+    for d in range(60):
+        own = [f"w{d}x{rng.randrange(10**6)}" for _ in range(rng.choice([10, 47, 48, 200]))]
+        size = rng.choice([0, 20, 31, 32, 40, 48, 60])
+        at, start = rng.randrange(len(own) + 1), rng.randrange(60)
+        words[d] = own[:at] + passage[start : start + size] + own[at:]
+        rows.append((d, " ".join(words[d])))
+    rows += [(60, "again " * 300), (61, None), (62, "")]
+    out = {r.doc_id: r.n_shared_phrases for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for n, test in ((48, lambda c: c > 0), (32, lambda c: c == 0)):
+        counts = collections.Counter(g for w in words.values() for g in {tuple(w[i : i + n]) for i in range(len(w) - n + 1)})
+        for d, w in words.items():
+            shared = any(counts[tuple(w[i : i + n])] > 1 for i in range(len(w) - n + 1))
+            if shared == (n == 48):
+                assert test(out[d]), (d, n)
+    assert out[60] == out[61] == out[62] == 0
+
+
 def test_packing_round_trip(spark, texts):
     from tokenizers import Tokenizer
 
