@@ -17,8 +17,10 @@ from itertools import groupby
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from strandline.llm.common import cut, forget, spread_join, table, written
 from strandline.llm.suffix_sort import common_prefixes, suffix_array
@@ -78,6 +80,18 @@ def _signed(digest: int) -> int:
     return digest - (1 << 64) if digest >> 63 else digest
 
 
+@F.pandas_udf(BinaryType())
+def squeezed(texts: pd.Series) -> pd.Series:
+    """UTF-8 bytes of texts, compressed one by one, for a shuffle that moves them all; null is empty."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    return pd.Series([squeeze((t or "").encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+
+def loosened(data: bytes) -> bytes:
+    """The bytes of a squeezed text."""
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 RUN = "core long, region long, doc_id long, k int, place long"
 #: Bits of each of a run's side, first and last window in its ``place``; above them is its base, plus _BELOW, as the
 #: base can lie before the text.
@@ -270,13 +284,14 @@ def _halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def repeated_windows(docs: DataFrame, regions: DataFrame, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
     """Windows (DECIDED) that occur twice, of ``regions`` (``core, region, copies`` and a run ``doc_id, k, place``)."""
     wanted = regions.groupBy("doc_id", "k").agg(F.collect_list(F.struct("core", "region", "place", "copies")).alias("runs"))
-    with_text = docs.dropDuplicates(["doc_id", "k"]).join(wanted, ["doc_id", "k"]).select("text", "runs")
+    texts = docs.select("doc_id", "k", squeezed("text").alias("squeezed")).dropDuplicates(["doc_id", "k"])
+    with_text = texts.join(wanted, ["doc_id", "k"]).select("squeezed", "runs")
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for text, listed in zip(batch["text"], batch["runs"], strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
+            for text, listed in zip(batch["squeezed"], batch["runs"], strict=True):
+                data = loosened(text)
                 for r in listed:
                     base, side, first, last = _unpack(r["place"])
                     inner, outer = base + side, base + width
@@ -395,13 +410,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     spans = repeated_spans(own, width).select("doc_id", "k", F.struct("lo", "hi").alias("span"), F.lit(None).cast("long").alias("n_shared_phrases"))
     phrases = shared_phrases(own).select("doc_id", "k", F.lit(None).cast("struct<lo int, hi int>").alias("span"), "n_shared_phrases")
     listed = spans.union(phrases).groupBy("doc_id", "k").agg(F.collect_set("span").alias("spans"), F.max("n_shared_phrases").alias("n_shared_phrases"))
-    joined = named.join(listed, ["doc_id", "k"], "left").select("own_id", "text", "spans", F.coalesce("n_shared_phrases", F.lit(0)).cast("long").alias("n_shared_phrases"))
+    texts = named.select("own_id", "doc_id", "k", squeezed("text").alias("squeezed"))
+    joined = texts.join(listed, ["doc_id", "k"], "left").select("own_id", "squeezed", "spans", F.coalesce("n_shared_phrases", F.lit(0)).cast("long").alias("n_shared_phrases"))
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, value, found, phrases in zip(batch["own_id"], batch["text"], batch["spans"], batch["n_shared_phrases"], strict=True):
-                data = (value or "").encode("utf-8", "surrogatepass")
+            for doc, value, found, phrases in zip(batch["own_id"], batch["squeezed"], batch["spans"], batch["n_shared_phrases"], strict=True):
+                data = loosened(value)
                 merged: list[list[int]] = []
                 for lo, hi in sorted((s["lo"], s["hi"]) for s in found) if found is not None else ():
                     if merged and lo <= merged[-1][1]:
