@@ -206,6 +206,22 @@ def base_name(path: Column | str, extensions: Sequence[str]) -> Column:
     return F.regexp_replace(F.element_at(F.split(col(path), "/"), -1), f"({ends})+$", "")
 
 
+def bed_line(locus: Column | str) -> Column:
+    """A locus (see parse_locus) as a line of BED."""
+    l = col(locus)  # noqa: E741
+    return F.concat_ws("\t", l["contig"], l["start"].cast("string"), l["stop"].cast("string"), l["name"])
+
+
+def renamed(name: Column | str, prefix: Column | str) -> Column:
+    """A name with a prefix and a bar before it, as where files of several samples are put together."""
+    return F.concat_ws("|", col(prefix), col(name))
+
+
+def edit_distance(a: Column | str, b: Column | str) -> Column:
+    """Levenshtein distance of two sequences."""
+    return F.levenshtein(col(a), col(b))
+
+
 def ungapped(seq: Column | str) -> Column:
     """Sequence without alignment gaps."""
     return F.replace(col(seq), F.lit("-"), F.lit(""))
@@ -299,6 +315,13 @@ def repeat_interruptions(repeat: Column | str, patterns: Sequence[tuple[str, str
     return F.map_filter(F.create_map(*pairs), lambda _, n: n > 0)
 
 
-def repeat_units(seq: Column | str, unit: str) -> Column:
-    """Units between the first and the last unit of a repeat, both included, counted without overlap."""
-    return F.regexp_count(F.coalesce(F.regexp_substr(col(seq), F.lit(f"{unit}(.*{unit})?")), F.lit("")), F.lit(unit))
+def repeat_units(seq: Column | str, unit: str, counted: Sequence[str] = ()) -> Column:
+    """Units between the first and the last unit of a repeat, both included, and the ``counted`` interruptions there.
+
+    Each is counted as it is written, without overlap with itself.
+    """
+    region = F.coalesce(F.regexp_substr(col(seq), F.lit(f"{unit}(.*{unit})?")), F.lit(""))
+    total = F.regexp_count(region, F.lit(unit))
+    for other in counted:
+        total = total + F.regexp_count(region, F.lit(rf"\Q{other}\E"))
+    return total

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,16 +110,16 @@ def backbone(nexts: DataFrame, start: str, rounds: int = 64) -> DataFrame:
     return reached
 
 
-def supported_paths(edges: DataFrame, ends: DataFrame, depth: int = 12) -> DataFrame:
-    """``start, stop, path, seq, reads, samples``: paths of at most ``depth`` edges between given ends (``start, stop``).
+def supported_paths(edges: DataFrame, ends: DataFrame, depth: int | None = None) -> DataFrame:
+    """``start, stop, path, seq, reads``: paths between given ends (``start, stop``), of at most ``depth`` edges if given.
 
     Paths grow edge by edge, never come back to an anchor, and keep the reads that all their edges share; a path without
-    such reads ends.
+    such reads ends. So all paths end by themselves.
     """
     live = ends.select("start", "stop", F.col("start").alias("at"), F.array("start").alias("path"), F.lit("").alias("seq"), F.lit(None).cast("array<string>").alias("reads"))
     e = edges.select(F.col("src").alias("at"), "dst", F.col("seq").alias("piece"), F.transform("reads", lambda r: r.cast("string")).alias("more"))
     done = None
-    for _ in range(depth):
+    for _ in itertools.count() if depth is None else range(depth):
         grown = live.join(e, "at").where(~F.array_contains("path", F.col("dst")))
         grown = grown.select("start", "stop", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("seq", "piece").alias("seq"), F.when(F.col("reads").isNull(), F.col("more")).otherwise(F.array_intersect("reads", "more")).alias("reads"))
         grown = grown.where(F.size("reads") > 0).transform(cut)
@@ -129,7 +131,7 @@ def supported_paths(edges: DataFrame, ends: DataFrame, depth: int = 12) -> DataF
     return done
 
 
-def series_parallel(edges: DataFrame, ends: DataFrame, depth: int = 12) -> DataFrame:
+def series_parallel(edges: DataFrame, ends: DataFrame, depth: int | None = None) -> DataFrame:
     """``src, dst, seq, reads``: supported paths between neighbours of the backbone, equal sequences merged."""
     rows = supported_paths(edges, ends, depth).select("start", "stop", "seq", F.explode("reads").alias("r"))
     return rows.groupBy(F.col("start").alias("src"), F.col("stop").alias("dst"), "seq").agg(F.array_sort(F.collect_set("r")).alias("reads"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,72 @@ from strandline.functions import sequence as S
 
 #: Coverages stop here.
 SATURATED = 65_535
+#: Longest k-mer that fits into a long at two bits a base, windows that are looked at together, and most k-mers of a bait
+#: that is broadcast (eight bytes each).
+PACKED, STEP, BAIT = 31, 1 << 20, 4_000_000
+#: Two bits of each base; 4 is what stands between sequences.
+_CODE = np.full(256, 4, dtype=np.int8)
+_CODE[[65, 67, 71, 84]] = range(4)
+
+
+def _packed(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(k-mers, their other strands, whether they lie in one sequence) of an array of base codes.
+
+    Longer words are put together from two halves; numbers are in order of the texts.
+    """
+    base = np.where(code < 4, code, 0).astype(np.int64)
+    ahead, behind, size = base, 3 - base, 1
+    for bit in bin(k)[3:]:
+        ahead, behind = ahead[:-size] << 2 * size | ahead[size:], behind[size:] << 2 * size | behind[:-size]
+        size *= 2
+        if bit == "1":
+            ahead = ahead[:-1] << 2 | base[size:]
+            behind = (3 - base[size:]) << 2 * size | behind[:-1]
+            size += 1
+    gaps = np.concatenate([[0], np.cumsum(code == 4)])
+    return ahead, behind, gaps[k:] == gaps[:-k]
+
+
+def _slices(seqs: list[str], k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first place, base codes) of stretches of the joined sequences, each with a base before and k after its windows."""
+    code = np.concatenate([[4], _CODE[np.frombuffer("-".join(seqs).encode(), np.uint8)], [4]]).astype(np.int8)
+    for a in range(1, len(code) - k, STEP):
+        yield a - 1, code[a - 1 : a + STEP + k]
+
+
+def _batch_counts(frame: pd.DataFrame, k: int, keys: list[str], seq: str) -> Iterator[pd.DataFrame]:
+    groups = frame.groupby(keys, sort=False, dropna=False) if keys else [((), frame)]
+    for key, group in groups:
+        for _, code in _slices(group[seq].tolist(), k):
+            ahead, behind, inside = _packed(code[1:-1], k)
+            at = np.flatnonzero(inside)
+            if not len(at):
+                continue
+            ahead, behind = ahead[at], behind[at]
+            forward = ahead < behind
+            before, after = code[at].astype(np.int64), code[at + k + 1].astype(np.int64)
+            # in-edges are the low four bits, out-edges the next; a side without a base has none
+            left = np.where(before < 4, np.where(forward, 1 << before, 128 >> before), 0)
+            right = np.where(after < 4, np.where(forward, 16 << after, 8 >> after), 0)
+            kmer = np.where(forward, ahead, behind)
+            order = np.argsort(kmer, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(kmer[order]) != 0]))
+            out = pd.DataFrame(
+                {
+                    "kmer": kmer[order][first],
+                    "n": np.diff(np.concatenate([first, [len(order)]])),
+                    "fw": np.add.reduceat(forward[order].astype(np.int64), first),
+                    "edges": np.bitwise_or.reduceat((left | right)[order], first).astype(np.int32),
+                }
+            )
+            for name, value in zip(keys, key if isinstance(key, tuple) else (key,), strict=True):
+                out[name] = value
+            yield out[[*keys, "kmer", "n", "fw", "edges"]]
+
+
+def unpacked(kmer: Column | str, k: int) -> Column:
+    """Text of a packed k-mer."""
+    return F.translate(F.lpad(F.conv(S.col(kmer).cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
 def windows_of(seqs: DataFrame, k: int, keys: list[str], seq: str = "seq", piece: int = 64) -> DataFrame:
@@ -40,14 +110,26 @@ def occurrences(reads: DataFrame, k: int, keys: list[str], seq: str = "seq") ->
 
 
 def count_kmers(reads: DataFrame, k: int, keys: tuple[str, ...] = (), seq: str = "seq", score: bool = False) -> DataFrame:
-    """The k-mer table ``keys, cn_kmer, cov, cov_fw, cov_rc, edges`` of reads; coverages stop at SATURATED."""
-    rows = occurrences(reads, k, list(keys), seq)
-    bits = S.edge_bits(F.col("before"), F.col("after"), F.col("is_fw"))
-    forward = F.count_if("is_fw")
+    """The k-mer table ``keys, cn_kmer, cov, cov_fw, cov_rc, edges`` of reads; coverages stop at SATURATED.
+
+    Up to PACKED bases, k-mers are numbers: each task packs and counts those of its batches, so what is shuffled is one
+    row of numbers for each k-mer of a batch, and texts are made of the sums. Longer ones stay texts.
+    """
     top = lambda c: F.least(c, F.lit(SATURATED)).cast("int")
-    out = rows.groupBy(*keys, "cn_kmer").agg(
-        top(F.count(F.lit(1))).alias("cov"), top(forward).alias("cov_fw"), top(F.count(F.lit(1)) - forward).alias("cov_rc"), F.bit_or(bits).cast("int").alias("edges")
-    )
+    if k <= PACKED:
+        kinds = dict(reads.dtypes)
+        shape = ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "kmer long, n long, fw long, edges int"])
+        good = reads.where(S.valid_for_graph(seq, k)).select(*keys, seq)
+        rows = good.mapInPandas(lambda batches: (part for b in batches for part in _batch_counts(b, k, list(keys), seq)), shape)
+        sums = rows.groupBy(*keys, "kmer").agg(F.sum("n").alias("n"), F.sum("fw").alias("fw"), F.bit_or("edges").cast("int").alias("edges"))
+        out = sums.select(*keys, unpacked("kmer", k).alias("cn_kmer"), top(F.col("n")).alias("cov"), top(F.col("fw")).alias("cov_fw"), top(F.col("n") - F.col("fw")).alias("cov_rc"), "edges")
+    else:
+        rows = occurrences(reads, k, list(keys), seq)
+        bits = S.edge_bits(F.col("before"), F.col("after"), F.col("is_fw"))
+        forward = F.count_if("is_fw")
+        out = rows.groupBy(*keys, "cn_kmer").agg(
+            top(F.count(F.lit(1))).alias("cov"), top(forward).alias("cov_fw"), top(F.count(F.lit(1)) - forward).alias("cov_rc"), F.bit_or(bits).cast("int").alias("edges")
+        )
     return out.withColumn("score", F.lit(1.0)) if score else out
 
 
@@ -84,16 +166,46 @@ def compressed_kmers(seqs: DataFrame, k: int, keys: tuple[str, ...] = (), seq: s
     return windows_of(short, k, list(keys), "hp").select(*keys, F.col("n").alias("length"), F.least("kmer", "rc").alias("cn_kmer"))
 
 
+def _batch_hits(frame: pd.DataFrame, k: int, key: str, bait: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Places in each sequence (``hp``) that hold a k-mer of a sorted bait; a sequence may come in several rows."""
+    size = frame["hp"].str.len().to_numpy()
+    ends = np.cumsum(size + 1)
+    for start, code in _slices(frame["hp"].tolist(), k):
+        ahead, behind, inside = _packed(code[1:-1], k)
+        at = np.flatnonzero(inside)
+        kmer = np.minimum(ahead[at], behind[at])
+        spot = np.searchsorted(bait, kmer)
+        hit = at[bait[np.minimum(spot, len(bait) - 1)] == kmer] + start
+        row, n = np.unique(np.searchsorted(ends, hit, side="right"), return_counts=True)
+        yield pd.DataFrame({key: frame[key].to_numpy()[row], "hits": n, "length": size[row]})
+
+
 def screen(reads: DataFrame, bait: DataFrame, k: int, percent: float, key: str, seq: str = "seq", keep: Column | None = None) -> DataFrame:
     """``key, hits, length`` of reads whose bait k-mers, over the compressed read's length, exceed ``percent``.
 
-    Occurrences count. The bait is a set; Spark broadcasts it if its size allows and shuffles it otherwise. ``keep``
-    is a further predicate on ``hits`` and ``length``. A read of length 0 has no k-mers and is out.
+    Occurrences count. The bait is a set; one of at most BAIT k-mers of PACKED bases or fewer is broadcast as numbers and
+    met where the reads lie, another one is joined. ``keep`` is a further predicate on ``hits`` and ``length``. A read of
+    length 0 has no k-mers and is out.
     """
     wanted = compressed_kmers(bait, k, (), "seq").select("cn_kmer").distinct()
-    rows = compressed_kmers(reads, k, (key,), seq)
-    hits = rows.join(wanted, "cn_kmer", "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("hits"), F.max("length").alias("length"))
-    out = hits.where(F.col("hits") / F.col("length") > percent / 100.0)
+    kind = dict(reads.dtypes)[key]
+    known: list | None = None
+    if k <= PACKED:
+        plain = wanted.where(~F.col("cn_kmer").rlike("[^ACGT]"))
+        # one row more than may be broadcast tells that it may not
+        known = plain.select(F.conv(F.translate("cn_kmer", "ACGT", "0123"), 4, 10).cast("long").alias("n")).limit(BAIT + 1).toPandas()["n"].to_numpy(np.int64)
+    if known is None or len(known) > BAIT:
+        odd, hits = reads, None
+    else:
+        odd = reads.where(F.col(seq).rlike("[^ACGT]"))
+        short = reads.where(~F.col(seq).rlike("[^ACGT]")).select(key, S.homopolymer_compressed(seq).alias("hp")).where(F.length("hp") >= k)
+        sorted_ = reads.sparkSession.sparkContext.broadcast(np.sort(known))
+        find = lambda batches: (part for b in batches if len(b) and len(sorted_.value) for part in _batch_hits(b, k, key, sorted_.value))
+        hits = short.mapInPandas(find, f"`{key}` {kind}, hits long, length int")
+    rest = compressed_kmers(odd, k, (key,), seq).join(wanted, "cn_kmer", "left_semi").select(key, F.lit(1).cast("long").alias("hits"), "length")
+    hits = rest if hits is None else hits.union(rest)
+    sums = hits.groupBy(key).agg(F.sum("hits").alias("hits"), F.max("length").alias("length"))
+    out = sums.where(F.col("hits") / F.col("length") > percent / 100.0)
     return out if keep is None else out.where(keep)
 
 
@@ -170,18 +282,52 @@ def shared_in_pairs(kmers: DataFrame, pairs: DataFrame, key: str) -> DataFrame:
     return pairs.join(counts, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
 
-def low_complexity(seqs: DataFrame, key: str, window: int = 64, limit: float = 2.0, seq: str = "seq") -> DataFrame:
-    """``key, start, stop``: merged windows of ``window`` bases whose triplet score exceeds ``limit``.
+def dust_spans(seq: str, window: int = 64, limit: float = 2.0) -> list[tuple[int, int]]:
+    """(start, stop) of the perfect low-complexity stretches of a sequence (symmetric DUST; Morgulis et al., 2006).
+
+    A stretch of l triplets scores the sum of c(c-1)/2 over its triplets' counts c, over l - 1. It is perfect if that is
+    over ``limit`` and no stretch inside scores more; stretches have at most ``window`` bases. All starts are looked at
+    together, length by length: a longer stretch adds how often its last triplet stood before.
+    """
+    code = _CODE[np.frombuffer(seq.encode(), np.uint8)].astype(np.int64)
+    n = len(code) - 2
+    if n < 2:
+        return []
+    triplet = code[:-2] * 25 + code[1:-1] * 5 + code[2:]
+    sums = np.zeros(n)
+    before = np.zeros(n)
+    best = np.zeros(n)
+    out = []
+    for size in range(2, min(window - 2, n) + 1):
+        d = size - 1
+        # how often the triplet at a place stands among the d before it
+        before[d:] += triplet[d:] == triplet[:-d]
+        m = n - size + 1
+        sums[:m] += before[d:]
+        score = sums[:m] / d
+        inside = np.maximum(best[:m], best[1 : m + 1])
+        good = np.flatnonzero((score > limit) & (score >= inside))
+        out += [(int(i), int(i) + size + 2) for i in good]
+        best[:m] = np.maximum(score, inside)
+    return out
+
+
+def low_complexity(seqs: DataFrame, key: str, window: int = 64, limit: float = 2.0, seq: str = "seq", piece: int = 1 << 16) -> DataFrame:
+    """``key, start, stop``: merged low-complexity stretches (see dust_spans) of each sequence.
 
-    A window's score is the sum of c(c-1)/2 over its triplets' counts c, over the number of triplets less one.
+    Sequences are searched in pieces that overlap by a window, so one of any length spreads over tasks.
     """
-    whole = seqs.where(F.length(seq).between(3, window - 1)).select(key, F.lit(0).alias("start"), F.col(seq).alias("_w"))
-    wins = windows_of(seqs, window, [key], seq).select(key, F.col("pos").alias("start"), F.col("kmer").alias("_w")).union(whole)
-    rows = wins.select(key, "start", F.length("_w").alias("n"), F.explode(S.windows("_w", 3)).alias("t"))
-    counts = rows.groupBy(key, "start", "n", "t").agg(F.count(F.lit(1)).alias("c"))
-    score = counts.groupBy(key, "start", "n").agg((F.sum(F.col("c") * (F.col("c") - 1) / 2) / F.greatest(F.col("n") - 3, F.lit(1))).alias("score"))
-    hot = score.where(F.col("score") > limit).select(key, "start", (F.col("start") + F.col("n")).alias("stop"))
-    w = Window.partitionBy(key).orderBy("start")
+    starts = F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(piece))
+    rows = seqs.where(F.length(seq) > 0).select(key, F.col(seq).alias("_s"), F.explode(starts).alias("_a"))
+    pieces = rows.select(key, "_a", F.upper(F.substring("_s", F.col("_a") + 1, F.lit(piece + window))).alias("_p"))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(k, a + x, a + y) for k, a, p in zip(batch[key], batch["_a"], batch["_p"], strict=True) for x, y in dust_spans(p, window, limit)]
+            yield pd.DataFrame(found, columns=[key, "start", "stop"])
+
+    hot = pieces.mapInPandas(find, f"`{key}` {dict(seqs.dtypes)[key]}, start int, stop int").distinct()
+    w = Window.partitionBy(key).orderBy("start", "stop")
     marked = hot.withColumn("far", F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     grouped = marked.withColumn("island", F.sum(F.when(F.col("far") >= F.col("start"), 0).otherwise(1)).over(w))
     return grouped.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("island")

@@ -1,18 +1,62 @@
-"""Lineage cuts for iterative operators."""
+"""Lineage cuts, row numbers and connected components for operators that go in rounds."""
 
 from __future__ import annotations
 
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder that ``spark.checkpoint.dir`` names and return it without its lineage.
 
-    A temporary folder is set only where the session names none (tests).
+    Where none is named, a local session (as in tests) gets a temporary one; on a cluster that is an error.
     """
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="spark-ckpt-")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """``rows`` with ``name``, their place in order, from 0, by range partitions and one count of each.
+
+    No window over all rows: only the counts pass through the driver.
+    """
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = cut(ordered.withColumn("_place", F.monotonically_increasing_id()))
+    part = F.shiftright("_place", 33)
+    counts = sorted((r["part"], r["count"]) for r in held.groupBy(part.alias("part")).count().collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    offsets = F.broadcast(held.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return held.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start", "_place")
+
+
+def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 60) -> DataFrame:
+    """``node, component``: the smallest node that each node of the undirected edges is joined with.
+
+    Each round a node's label becomes the smallest among its neighbours' and its label's own label, so labels travel along
+    edges and jump along earlier jumps; rounds grow with the logarithm of the longest way.
+    """
+    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
+    labels = cut(both.groupBy("x").agg(F.least("x", F.min("y")).alias("low")))
+    for _ in range(rounds):
+        near = both.join(labels.select(F.col("x").alias("y"), "low"), "y").groupBy("x").agg(F.min("low").alias("low"))
+        # the label's root takes what its members have seen, and members take what their root has
+        seen = labels.join(near.withColumnRenamed("low", "near"), "x").select("x", "low", "near")
+        roots = seen.groupBy(F.col("low").alias("root")).agg(F.min("near").alias("down"))
+        new = cut(seen.join(roots, F.col("low") == F.col("root")).select("x", "low", F.least("low", "near", "down").alias("new")))
+        labels = new.select("x", F.col("new").alias("low"))
+        if new.where("new <> low").isEmpty():
+            return labels.select(F.col("x").alias("node"), F.col("low").alias("component"))
+    raise RuntimeError("components did not settle")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,26 +22,50 @@ def parse_cigar(cigar: Column | str) -> Column:
     return F.transform(parts, lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.regexp_extract(p, "[0-9]+", 0).cast("int").alias("len")))
 
 
+_OP = re.compile("([0-9]+)([MIDNSHP=X])")
+
+
+def _offsets(cigars: pd.Series) -> pd.DataFrame:
+    """Operations, lengths and running offsets of CIGARs as arrays; one pass over the operations of all of them."""
+    found = [_OP.findall(c) if c else [] for c in cigars]
+    ends = np.cumsum([len(f) for f in found])
+    ops = np.array([op for f in found for _, op in f], dtype=object)
+    size = np.array([int(n) for f in found for n, _ in f], dtype=np.int64)
+    out = {"op": np.split(ops, ends[:-1]), "len": np.split(size, ends[:-1])}
+    for name, moving in (("ref", ON_REF), ("read", ON_READ)):
+        step = np.where(np.isin(ops, moving), size, 0) if len(ops) else size
+        # the sum before each operation, less what came before its own CIGAR
+        before = np.concatenate([[0], np.cumsum(step)])
+        out[name] = [x - before[e - len(x)] for x, e in zip(np.split(before[:-1], ends[:-1]), ends, strict=True)]
+    return pd.DataFrame({name: pd.Series(list(x), dtype=object) for name, x in out.items()})
+
+
 def cigar_offsets(alignments: DataFrame, key: str, cigar: str = "cigar", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key, i, op, len, ref_off, read_off``: each operation with the bases that lie before it on both sides.
 
-    The running sums are folded within the row, so no shuffle is needed.
+    Running sums are made batch by batch in linear time, from the CIGAR alone; no shuffle is needed.
     """
-    step = lambda acc, x: F.struct(
-        (acc["ref"] + F.when(x["op"].isin(*ON_REF), x["len"]).otherwise(0)).alias("ref"),
-        (acc["read"] + F.when(x["op"].isin(*ON_READ), x["len"]).otherwise(0)).alias("read"),
-        F.concat(acc["ops"], F.array(F.struct(x["op"].alias("op"), x["len"].alias("len"), acc["ref"].alias("ref_off"), acc["read"].alias("read_off")))).alias("ops"),
-    )
-    none = F.array().cast("array<struct<op:string,len:int,ref_off:int,read_off:int>>")
-    ops = F.aggregate(parse_cigar(cigar), F.struct(F.lit(0).alias("ref"), F.lit(0).alias("read"), none.alias("ops")), step, lambda acc: acc["ops"])
-    rows = alignments.select(key, *keep, F.posexplode(ops).alias("i", "x"))
-    return rows.select(key, *keep, "i", "x.op", "x.len", "x.ref_off", "x.read_off")
+    arrays = F.pandas_udf(_offsets, "op array<string>, len array<int>, ref array<int>, read array<int>")
+    rows = alignments.select(key, *keep, arrays(F.col(cigar)).alias("_o"))
+    zipped = F.arrays_zip(F.col("_o.op").alias("op"), F.col("_o.len").alias("len"), F.col("_o.ref").alias("ref"), F.col("_o.read").alias("read"))
+    exploded = rows.select(key, *keep, F.posexplode(zipped).alias("i", "x"))
+    return exploded.select(key, *keep, "i", "x.op", "x.len", F.col("x.ref").alias("ref_off"), F.col("x.read").alias("read_off"))
+
+
+def reference_length(cigar: Column | str) -> Column:
+    """Bases of the reference that a CIGAR covers."""
+    return F.aggregate(parse_cigar(cigar), F.lit(0), lambda acc, x: acc + F.when(x["op"].isin(*ON_REF), x["len"]).otherwise(0))
+
+
+def match_value(cigar: Column | str, match: tuple[str, ...] = ("=",)) -> Column:
+    """Matched bases of a CIGAR less mismatched, inserted and deleted ones."""
+    value = lambda acc, x: acc + F.when(x["op"].isin(*match), x["len"]).when(x["op"].isin("X", "I", "D"), -x["len"]).otherwise(0)
+    return F.aggregate(parse_cigar(cigar), F.lit(0), value)
 
 
 def match_score(alignments: DataFrame, key: str, cigar: str = "cigar", match: tuple[str, ...] = ("=",)) -> DataFrame:
     """``key, score``: matched bases less mismatched, inserted and deleted ones."""
-    value = lambda acc, x: acc + F.when(x["op"].isin(*match), x["len"]).when(x["op"].isin("X", "I", "D"), -x["len"]).otherwise(0)
-    return alignments.select(key, F.aggregate(parse_cigar(cigar), F.lit(0), value).alias("score"))
+    return alignments.select(key, match_value(cigar, match).alias("score"))
 
 
 def trim_clips(seq: Column | str, cigar: Column | str, is_reverse: Column | str) -> Column:
@@ -154,6 +182,11 @@ def allele_matrix(alignments: DataFrame, loci: DataFrame, chunks: DataFrame, key
     return impute(cells.join(keep, [locus, "pos"], "left_semi"), locus, key)
 
 
+def site_matrix(alignments: DataFrame, loci: DataFrame, chunks: DataFrame, key: str, locus: str, chunk: int = 10_000) -> DataFrame:
+    """The older matrix: every read at every position of a locus where any read differs, with no rule on sites."""
+    return impute(allele_matrix(alignments, loci, chunks, key, locus, False, chunk), locus, key)
+
+
 def informative_sites(cells: DataFrame, locus: str, pos: str = "pos", allele: str = "allele", gap: int = 20) -> DataFrame:
     """``locus, pos`` of sites with exactly two alleles, both one base, over ``gap`` from the candidate before.
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators.pileup import cigar_offsets
+from strandline.operators.lineage import numbered
+from strandline.operators.pileup import cigar_offsets, match_value
 
 # --- ordered picks --------------------------------------------------------------------------------------------------
 
@@ -32,8 +33,15 @@ def exact_pairs(records: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
 
 
 def chunk_names(rows: DataFrame, order: str, size: int, by: list[str]) -> DataFrame:
-    """``rows`` with ``chunk``: groups of ``size`` in order, within ``by``."""
-    return rows.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1) / size))
+    """``rows`` with ``chunk``: groups of ``size`` in order, within ``by``.
+
+    Rows are numbered over range partitions, so a large group spreads over tasks.
+    """
+    placed = numbered(rows, [*by, order], "_n")
+    first = placed.groupBy(*by).agg(F.min("_n").alias("_first"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"f.{c}")) for c in by]
+    joined = placed.alias("p").join(first.alias("f"), same).select("p.*", "_first")
+    return joined.withColumn("chunk", F.floor((F.col("_n") - F.col("_first")) / size)).drop("_n", "_first")
 
 
 def numbered_suffix(rows: DataFrame, by: list[str], order: str, name: str) -> DataFrame:
@@ -111,15 +119,33 @@ def count_sites(matches: DataFrame, sites: DataFrame) -> DataFrame:
     return got.join(total, "allele").withColumn("fraction", F.col("matched") / F.col("total")).select("hap", "allele", "matched", "total", "fraction")
 
 
+def genomic_best(alignments: DataFrame, order: str, least: int = 6_000, haps: Sequence[str] = (), alleles: Sequence[str] = ()) -> DataFrame:
+    """``hap, allele, score``: the alleles (``qname``) that match each haplotype (``contig``) best, ties included.
+
+    Alignments scored under ``least`` by their AS tag, those of the haplotypes ``haps`` and of the ``alleles`` are left out. A
+    further alignment of one allele to one haplotype counts as a haplotype of its own, with its number after the name.
+    """
+    rows = alignments.where(F.col("tags")["AS"].try_cast("int") >= least).select(F.col("contig").alias("hap"), F.col("qname").alias("allele"), match_value("cigar").alias("score"), order)
+    rows = rows.where(~F.col("hap").isin(*haps) & ~F.col("allele").isin(*alleles))
+    named = numbered_suffix(rows.withColumn("_own", F.col("hap")), ["_own", "allele"], order, "hap")
+    return best_with_ties(named, ["hap"], "score").select("hap", "allele", "score").distinct()
+
+
 def final_allele(site_best: DataFrame, genome_best: DataFrame, fallback: str | None = None) -> DataFrame:
-    """``hap, call``: the one allele that both best sets share, else the fallback if both hold it, else ``Ambiguous``."""
-    a = site_best.groupBy("hap").agg(F.collect_set("allele").alias("a"))
+    """``hap, call`` from the best alleles by sites (``hap, allele, fraction``) and over the whole gene (``hap, allele``).
+
+    Where the best have all their sites matched, the one allele that is also best over the gene is the call. Where they
+    have not, the fallback (an allele without sites) is, if it is best over the gene. All else is ``Ambiguous``.
+    """
+    a = site_best.groupBy("hap").agg(F.collect_set("allele").alias("a"), F.max("fraction").alias("f"))
     b = genome_best.groupBy("hap").agg(F.collect_set("allele").alias("b"))
-    both = a.join(b, "hap", "full").withColumn("c", F.array_intersect(F.coalesce("a", F.array().cast("array<string>")), F.coalesce("b", F.array().cast("array<string>"))))
-    one = F.when(F.size("c") == 1, F.element_at("c", 1))
+    none = F.array().cast("array<string>")
+    both = a.join(b, "hap", "full").select("hap", "f", F.coalesce("b", none).alias("b"), F.array_intersect(F.coalesce("a", none), F.coalesce("b", none)).alias("c"))
+    whole = F.abs(F.coalesce("f", F.lit(0.0)) - 1) <= 1e-9
+    call = F.when(whole & (F.size("c") == 1), F.element_at("c", 1))
     if fallback is not None:
-        one = one.when(F.array_contains("c", fallback), fallback)
-    return both.select("hap", one.otherwise("Ambiguous").alias("call"))
+        call = call.when(~whole & F.array_contains("b", fallback), fallback)
+    return both.select("hap", call.otherwise("Ambiguous").alias("call"))
 
 
 def call_report(calls: DataFrame, counts: DataFrame) -> DataFrame:
@@ -158,15 +184,16 @@ def paint_lines(painted: DataFrame, lengths: DataFrame, key: str, size: int, lea
 # --- repeats --------------------------------------------------------------------------------------------------------
 
 
-def repeat_table(haps: DataFrame, unit: str, begins: Sequence[str], ends: Sequence[str], interruptions: Sequence[tuple[str, str]]) -> DataFrame:
+def repeat_table(haps: DataFrame, unit: str, begins: Sequence[str], ends: Sequence[str], interruptions: Sequence[tuple[str, str]], counted: Sequence[str] = ()) -> DataFrame:
     """``repeat, n_repeats, n_haps, haps, interruptions``: distinct repeat sequences of haplotypes (``hap, seq``).
 
-    Longest sets of haplotypes come first, then more repeats, then the sequence.
+    ``counted`` interruptions count as repeats too (see repeat_units). Largest sets of haplotypes come first, then fewer
+    repeats, then the sequence.
     """
     rows = haps.select("hap", S.trim_to_repeat("seq", begins, ends).alias("t")).where("t is not null").select("hap", F.col("t.repeat").alias("repeat"))
     groups = rows.groupBy("repeat").agg(F.array_sort(F.collect_set("hap")).alias("haps"))
-    out = groups.select("repeat", S.repeat_units("repeat", unit).alias("n_repeats"), F.size("haps").alias("n_haps"), "haps", S.repeat_interruptions("repeat", interruptions).alias("interruptions"))
-    return out.orderBy(F.desc("n_haps"), F.desc("n_repeats"), "repeat")
+    out = groups.select("repeat", S.repeat_units("repeat", unit, counted).alias("n_repeats"), F.size("haps").alias("n_haps"), "haps", S.repeat_interruptions("repeat", interruptions).alias("interruptions"))
+    return out.orderBy(F.desc("n_haps"), "n_repeats", "repeat")
 
 
 def repeat_histogram(table: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ from strandline.plans.kmer_queries import colors
 
 K_ANCHOR = 9
 #: Repeat patterns over encoded pages: unit, begin and end patterns in priority order, interruptions.
-UNIT, BEGINS, ENDS, BREAKS = "CAG", ("ACGACG", "ACGTA"), ("TTACC", "GGCAT"), (("CAGC", "CAGC"), ("GTC", "GTC"))
+UNIT, BEGINS, ENDS, BREAKS, COUNTED = "CAG", ("ACGACG", "ACGTA"), ("TTACC", "GGCAT"), (("CAGC", "CAGC"), ("GTC", "GTC")), ("GTC",)
 
 
 def cells(spark, d):
@@ -71,7 +71,7 @@ def q_roc(spark, d):
 def q_gbt_score(spark, d):
     """Scores of all k-mers by a boosted-tree model of their truth label."""
     rows = K.features(K.color_table(colors(spark, d), ("long", "short", "truth")))
-    return M.score(rows, M.train(rows, iterations=3)).select("cn_kmer", "label", F.round("score", 6).alias("score"))
+    return M.score(rows, M.train(rows)).select("cn_kmer", "label", F.round("score", 6).alias("score"))
 
 
 def _anchor_parts(spark, d):
@@ -140,9 +140,9 @@ def q_site_best_second(spark, d):
 
 
 def q_final_allele(spark, d):
-    """One allele a read: the best by share that is also the best by count, or Ambiguous."""
+    """One allele a read: the best by count among those whose sites are all heavy, else the fallback, or Ambiguous."""
     f = _fractions(spark, d).withColumnRenamed("read", "hap")
-    return T.final_allele(T.best_with_ties(f, ["hap"], "fraction"), T.best_with_ties(f, ["hap"], "total"))
+    return T.final_allele(T.best_with_ties(f, ["hap"], "fraction"), T.best_with_ties(f, ["hap"], "total"), "click")
 
 
 def q_gene_paint(spark, d):
@@ -154,7 +154,7 @@ def q_gene_paint(spark, d):
 
 def q_repeat_table(spark, d):
     """Repeat sequences of encoded pages with counts of units, haplotypes and interruptions."""
-    t = T.repeat_table(V.haplotypes(spark, d), UNIT, BEGINS, ENDS, BREAKS)
+    t = T.repeat_table(V.haplotypes(spark, d), UNIT, BEGINS, ENDS, BREAKS, COUNTED)
     return t.select(F.md5("repeat").alias("repeat_md5"), F.col("n_repeats").cast("long").alias("n_repeats"), F.col("n_haps").cast("long").alias("n_haps"), *[F.coalesce(F.col("interruptions")[n], F.lit(0)).cast("long").alias(n.lower()) for n, _ in BREAKS])
 
 
@@ -238,13 +238,13 @@ ORACLES = {
     "q_indel_offset": "SELECT p_brand AS allele, p_partkey AS pos, CAST(coalesce(sum(length(p_type) - length(substr(p_name, 1, 3))) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM part",
     "q_site_best_second": f"""{_FR}, a AS (SELECT *, rank() OVER (PARTITION BY read ORDER BY fraction DESC, total DESC) AS r FROM f), o AS (SELECT * FROM a WHERE r = 1), s AS (SELECT *, rank() OVER (PARTITION BY read ORDER BY fraction DESC, total DESC) AS q FROM f WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.read = f.read AND o.allele = f.allele))
       SELECT read, allele, matched, total, 1 AS place FROM o UNION ALL SELECT read, allele, matched, total, 2 FROM s WHERE q = 1""",
-    "q_final_allele": f"""{_FR}, m AS (SELECT *, max(fraction) OVER (PARTITION BY read) AS mf, max(total) OVER (PARTITION BY read) AS mt FROM f), c AS (SELECT read, count(DISTINCT allele) FILTER (fraction = mf AND total = mt) AS n, max(allele) FILTER (fraction = mf AND total = mt) AS allele FROM m GROUP BY read)
-      SELECT read AS hap, CASE WHEN n = 1 THEN allele ELSE 'Ambiguous' END AS call FROM c""",
+    "q_final_allele": f"""{_FR}, m AS (SELECT *, max(fraction) OVER (PARTITION BY read) AS mf, max(total) OVER (PARTITION BY read) AS mt FROM f), c AS (SELECT read, max(fraction) AS f, count(DISTINCT allele) FILTER (fraction = mf AND total = mt) AS n, max(allele) FILTER (fraction = mf AND total = mt) AS allele, bool_or(allele = 'click' AND total = mt) AS spare FROM m GROUP BY read)
+      SELECT read AS hap, CASE WHEN f = 1 AND n = 1 THEN allele WHEN f < 1 AND spare THEN 'click' ELSE 'Ambiguous' END AS call FROM c""",
     "q_gene_paint": f"""{V.with_views('aln')}, h AS (SELECT contig, (start // 100) * 100 AS start, 'n' || s_nationkey AS gene, mapq FROM aln JOIN supplier ON aln.sample = s_suppkey), t AS (SELECT *, max(mapq) OVER (PARTITION BY contig, start) AS top FROM h),
       g AS (SELECT contig, start, bool_or(gene = 'n1') AS a, bool_or(gene = 'n2') AS b, min(gene) AS low FROM t WHERE mapq = top GROUP BY ALL) SELECT contig, start, CASE WHEN a AND b THEN 'Both' WHEN a THEN 'n1' WHEN b THEN 'n2' ELSE low END AS gene FROM g""",
     "q_repeat_table": f"""{V.with_views('haps')}, s AS (SELECT hap, substr(seq, {_first_of(BEGINS, 'seq')} + {_which_of(BEGINS, 'seq')}) AS rest FROM haps WHERE {_first_of(BEGINS, 'seq')} IS NOT NULL), t AS (SELECT hap, substr(rest, 1, {_first_of(ENDS, 'rest')} - 1) AS repeat FROM s WHERE {_first_of(ENDS, 'rest')} IS NOT NULL),
       g AS (SELECT repeat, count(DISTINCT hap) AS n_haps FROM t GROUP BY repeat)
-      SELECT md5(repeat) AS repeat_md5, CAST(len(regexp_extract_all(repeat, 'CAG')) AS BIGINT) AS n_repeats, n_haps, CAST(len(regexp_extract_all(repeat, 'CAGC')) AS BIGINT) AS cagc, CAST(len(regexp_extract_all(regexp_replace(repeat, 'CAGC', '....', 'g'), 'GTC')) AS BIGINT) AS gtc FROM g""",
+      SELECT md5(repeat) AS repeat_md5, CAST(len(regexp_extract_all(repeat, 'CAG')) + len(regexp_extract_all(regexp_extract(repeat, 'CAG(.*CAG)?'), 'GTC')) AS BIGINT) AS n_repeats, n_haps, CAST(len(regexp_extract_all(repeat, 'CAGC')) AS BIGINT) AS cagc, CAST(len(regexp_extract_all(regexp_replace(repeat, 'CAGC', '....', 'g'), 'GTC')) AS BIGINT) AS gtc FROM g""",
     "q_set_compare": f"WITH a AS {_GOLD.format('benchmark')}, b AS {_GOLD.format('(SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))')} SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.word IS NULL THEN 'b' WHEN b.word IS NULL THEN 'a' ELSE 'both' END AS side FROM a FULL JOIN b ON a.word = b.word",
 }
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
+from strandline.operators.lineage import numbered
+from strandline.operators.pileup import reference_length
 
 
 def expand_paths(spark: SparkSession, paths: Sequence[str]) -> list[str]:
@@ -40,25 +44,87 @@ def fasta(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     return raw.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), F.upper(body).alias("seq"))
 
 
+def _fastq_parts(batches: Iterator[pd.DataFrame], rest: bool) -> Iterator[pd.DataFrame]:
+    """Whole records of each block of a file, or (``rest``) the lines before its first and after its last one.
+
+    A block may begin in the middle of a record. Its first record is where a line starts with @, the second next with
+    +, and the lines between and after are of one length; no other line can pass for it, as bases are letters.
+    """
+    place, lines, lead = None, [], None
+
+    def starts(at: int) -> bool:
+        return lines[at].startswith("@") and lines[at + 2].startswith("+") and len(lines[at + 1]) == len(lines[at + 3])
+
+    def find() -> int | None:
+        return next((p for p in range(min(4, len(lines) - 3)) if starts(p)), None)
+
+    def take(end: bool) -> tuple[list, list]:
+        """(records, rest lines) that can be told now; they are taken off the lines."""
+        nonlocal lead, lines
+        records, left = [], []
+        if lead is None and (len(lines) >= 7 or end):
+            lead = find()
+            if lead is None:
+                left, lines, lead = [(place, 0, lines)], [], 0
+            elif lead:
+                left, lines = [(place, 0, lines[:lead])], lines[lead:]
+        if lead is not None:
+            whole = len(lines) // 4 * 4
+            records = [tuple(lines[i : i + 4]) for i in range(0, whole, 4)]
+            lines = lines[whole:]
+            if end and lines:
+                left, lines = [*left, (place, 1, lines)], []
+        return records, left
+
+    def frame(records: list, left: list) -> pd.DataFrame:
+        if rest:
+            return pd.DataFrame([(*p, part, x) for p, part, x in left], columns=["path", "block", "part", "lines"])
+        return pd.DataFrame([(h, s, q) for h, s, _, q in records], columns=["head", "seq", "qual"])
+
+    for batch in batches:
+        for here, group in batch.groupby(["path", "block"], sort=False):
+            if here != place:
+                if place is not None:
+                    yield frame(*take(True))
+                place, lines, lead = here, [], None
+            lines += group["value"].tolist()
+            yield frame(*take(False))
+    if place is not None:
+        yield frame(*take(True))
+
+
 def fastq(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """``id, description, seq, qual`` of FASTQ files with four lines a record; the next record's ``\\n@`` ends one."""
-    raw = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    # whole files: a quality line may start with @, so records are cut by counting lines
-    lines = F.split(F.regexp_replace(F.regexp_replace("value", "\r", ""), r"\n+$", ""), "\n")
-    rows = raw.select(lines.alias("l")).select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i")).where("size(l) >= 4")
+    """``id, description, seq, qual`` of FASTQ files with four lines a record.
+
+    Files are read in blocks, as any text is: each task finds the records that lie whole in its blocks, and the lines at the
+    blocks' ends, a few each, are put together by file.
+    """
+    raw = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    text = raw.select(F.rtrim("value").alias("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"))
+    whole = text.mapInPandas(lambda b: _fastq_parts(b, False), "head string, seq string, qual string")
+    ends = text.mapInPandas(lambda b: _fastq_parts(b, True), "path string, block long, part int, lines array<string>")
+    joined = ends.groupBy("path").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("block", "part", "lines"))), lambda x: x["lines"])).alias("l"))
     at = lambda n: F.element_at("l", F.col("i") * 4 + n)
-    return rows.select(F.regexp_extract(at(1), r"^@(\S*)", 1).alias("id"), F.trim(F.regexp_replace(at(1), r"^@\S*", "")).alias("description"), at(2).alias("seq"), at(4).alias("qual"))
+    split = joined.where("size(l) >= 4").select("l", F.explode(F.sequence(F.lit(0), F.floor(F.size("l") / 4).cast("int") - 1)).alias("i")).select(at(1).alias("head"), at(2).alias("seq"), at(4).alias("qual"))
+    rows = whole.union(split)
+    return rows.select(F.regexp_extract("head", r"^@(\S*)", 1).alias("id"), F.trim(F.regexp_replace("head", r"^@\S*", "")).alias("description"), "seq", "qual")
 
 
 def sequences(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """FASTA or FASTQ by each file's first character; FASTA rows have no ``qual``."""
-    out = None
+    """FASTA or FASTQ, by the ending, or where that says nothing by the first character; FASTA rows have no ``qual``."""
+    kinds: dict[bool, list[str]] = {True: [], False: []}
     for p in paths:
-        first = spark.read.text(p).where("value <> ''").head(1)
-        quality = bool(first) and first[0].value.startswith("@")
-        part = fastq(spark, p) if quality else fasta(spark, p).withColumn("qual", F.lit(None).cast("string"))
-        out = part if out is None else out.unionByName(part)
-    return out
+        name = re.sub(r"\.(gz|bz2|zst)$", "", p)
+        if re.search(r"\.(fq|fastq)$", name):
+            kinds[True].append(p)
+        elif re.search(r"\.(fa|fasta|fna)$", name):
+            kinds[False].append(p)
+        else:
+            first = spark.read.text(p).where("value <> ''").head(1)
+            kinds[bool(first) and first[0].value.startswith("@")].append(p)
+    parts = [fastq(spark, kinds[True])] if kinds[True] else []
+    parts += [fasta(spark, kinds[False]).withColumn("qual", F.lit(None).cast("string"))] if kinds[False] else []
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def sam(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -76,15 +142,26 @@ def sam(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
 
 
 def region(alignments: DataFrame, contig: str | None = None, start: int | None = None, stop: int | None = None, unmapped: bool = False) -> DataFrame:
-    """Alignments of a region, a contig, everything, or those without a place; predicates reach the files."""
+    """Alignments that overlap a region, those of a contig, all, or those without a place.
+
+    A missing ``start`` or ``stop`` leaves that side open. Where the table has no ``stop``, it follows from the CIGAR.
+    """
     if unmapped:
         return alignments.where("contig is null")
     out = alignments if contig is None else alignments.where(F.col("contig") == contig)
+    if stop is not None:
+        out = out.where(F.col("pos") < stop)
     if start is not None:
-        out = out.where((F.col("pos") < stop) & (F.col("stop") > start))
+        end = F.col("stop") if "stop" in alignments.columns else F.col("pos") + reference_length("cigar")
+        out = out.where(end > start)
     return out
 
 
+def unaligned(alignments: DataFrame) -> DataFrame:
+    """``id, seq, qual`` of reads without a place (``sample`` from their read group), named by read and sample."""
+    return region(alignments, unmapped=True).select(S.read_name("qname", "sample").alias("id"), "seq", "qual")
+
+
 def vcf(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """``contig, pos, id, ref, alts, qual, filter, info, format, samples, path`` of VCF text; ``pos`` 0-based."""
     f = F.split("value", "\t")
@@ -121,4 +198,11 @@ def tsv(spark: SparkSession, path: str, header: bool = True) -> DataFrame:
 
 def keep_order(rows: DataFrame, order: str) -> DataFrame:
     """``rows`` with ``ord``, their number in order of a column, from 0."""
-    return rows.withColumn("ord", F.row_number().over(Window.orderBy(order)) - 1)
+    return numbered(rows, [order], "ord")
+
+
+def read_groups(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """``rg, sample`` of the read groups in the headers of SAM text."""
+    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).where("value like '@RG%'")
+    field = lambda name: F.regexp_extract("value", rf"\t{name}:([^\t]*)", 1)
+    return lines.select(field("ID").alias("rg"), field("SM").alias("sample")).where("rg <> '' and sample <> ''").distinct()
