@@ -6,15 +6,16 @@ Tables are ``kmers`` (``cn_kmer, cov, edges, score, sources`` and optional keys)
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators.kmers import infer_edges, occurrences
-from strandline.operators.lineage import cut
+from strandline.operators.lineage import components, cut
 
 #: Largest component that a grouped function takes.
 MAX_COMPONENT = 200_000
@@ -168,15 +169,20 @@ def remove_tangles(kmers: DataFrame, color: str, threshold: float, limit: int =
 def remove_bubbles(kmers: DataFrame, color: str, threshold: float) -> DataFrame:
     """Without the k-mers that only inferior bubble paths have.
 
-    Of the unitigs between one pair of ends the best by geometric mean stays, and one more if it is over the threshold;
-    a path that is mostly of the one color counts as 0.
+    Of all paths through a superbubble the best by geometric mean score stays, and one more if it is over the threshold; a path
+    of which over half is of the one color alone counts as 0. Bubbles may be nested; ends belong to their paths.
     """
     m = unitigs(kmers)
-    own = m.withColumn("cn_kmer", S.canonical("node")).join(kmers.select("cn_kmer", "sources"), "cn_kmer").groupBy("unitig").agg(F.avg((F.col("sources") == F.array(F.lit(color))).cast("double")).alias("own"))
-    scored = simple_bubbles(kmers, m).join(unitig_table(m, kmers), "unitig").join(own, "unitig").withColumn("value", F.when(F.col("own") > 0.5, 0.0).otherwise(F.col("geo")))
-    order = F.row_number().over(_window(["entry", "exit"], [F.desc("value"), F.col("unitig")]))
-    ranked = scored.withColumn("place", order)
-    return _drop(kmers, m, ranked.where((F.col("place") > 2) | ((F.col("place") == 2) & (F.col("value") <= threshold))))
+    paths = bubble_paths(kmers, m)
+    rows = path_kmers(paths, m).withColumn("cn_kmer", S.canonical("node")).transform(cut)
+    scored = path_scores(rows.join(kmers.select("cn_kmer", "score", "sources"), "cn_kmer", "left"), (F.col("sources") == F.array(F.lit(color))).cast("double"))
+    value = scored.withColumn("value", F.when(F.col("share") > 0.5, 0.0).otherwise(F.col("geo")))
+    ranked = value.withColumn("place", F.row_number().over(_window(["entry", "exit"], [F.desc("value"), F.col("path_id")])))
+    bad = (F.col("place") > 2) | ((F.col("place") == 2) & (F.col("value") <= threshold))
+    marked = rows.join(ranked.select("path_id", bad.alias("bad")), "path_id").select("entry", "exit", "cn_kmer", "bad")
+    # a k-mer goes if some bubble has it on bad paths only
+    gone = marked.groupBy("entry", "exit", "cn_kmer").agg(F.bool_and("bad").alias("bad")).where("bad").select("cn_kmer").distinct()
+    return infer_edges(kmers.join(gone, "cn_kmer", "left_anti")).transform(cut)
 
 
 def _window(by: list[str], order: list) -> WindowSpec:
@@ -197,52 +203,45 @@ def clean(kmers: DataFrame, k: int, threshold: float, colors: tuple[str, str] =
 # --- bubbles --------------------------------------------------------------------------------------------------------
 
 
-def simple_bubbles(kmers: DataFrame, members: DataFrame) -> DataFrame:
-    """``entry, exit, unitig``: unitigs that share the k-mers before and after them with at least one other."""
-    e = traverse(kmers)
-    span = members.groupBy("unitig").agg(F.max(F.struct("offset", "node"))["node"].alias("last"))
-    into = e.join(span.select(F.col("unitig").alias("dst")), "dst").groupBy(F.col("dst").alias("unitig")).agg(F.min("src").alias("entry"), F.count(F.lit(1)).alias("i")).where("i = 1")
-    out = e.join(span.withColumnRenamed("last", "src"), "src").groupBy("unitig").agg(F.min("dst").alias("exit"), F.count(F.lit(1)).alias("o")).where("o = 1")
-    both = into.join(out, "unitig").select("entry", "exit", "unitig").where("entry <> exit")
-    many = both.groupBy("entry", "exit").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return both.join(many, ["entry", "exit"], "left_semi").select("entry", "exit", "unitig")
+def unitig_edges(kmers: DataFrame, members: DataFrame) -> DataFrame:
+    """``src, dst``: the graph of unitigs, which are named by their first k-mers."""
+    last = members.groupBy("unitig").agg(F.max(F.struct("offset", "node"))["node"].alias("last"))
+    return traverse(kmers).join(last.withColumnRenamed("last", "src"), "src").select(F.col("unitig").alias("src"), "dst").join(members.where("offset = 0").select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst").distinct()
 
 
 def find_superbubble(start: str, nexts: dict[str, list[str]], previous: dict[str, list[str]]) -> tuple[str, set[str]] | None:
-    """(exit, inside) of the superbubble that starts at a node, or None.
+    """(exit, inside) of the superbubble that starts at a node, or None (Onodera, Sadakane and Shibuya, 2013).
 
-    Nodes are taken once all of their predecessors are; when one node is left that nothing else waits for, it is the exit.
+    A sweep in topological order counts down the edges that still lead into each node it has met. A node is passed when
+    none is left. If at some time all met nodes are passed but one, and that one has none left, it is the exit.
     """
-    ready, seen, visited = [start], {start}, set()
+    left: dict[str, int] = {}
+    ready, inside = [start], set()
     while ready:
         node = ready.pop()
-        visited.add(node)
-        seen.discard(node)
-        after = nexts.get(node, [])
-        if not after:
+        after = nexts.get(node)
+        if not after or start in after:
             return None
+        inside.add(node)
         for child in after:
-            if child == start:
-                return None
-            seen.add(child)
-            if all(p in visited for p in previous.get(child, [])):
+            left[child] = left.get(child, len(previous[child])) - 1
+            if not left[child]:
                 ready.append(child)
-        if len(ready) == 1 and seen == {ready[0]}:
+        if len(ready) == 1 and len(left) == len(inside):
             last = ready[0]
-            if start in nexts.get(last, []):
-                return None
-            inside = visited - {start}
-            return (last, inside) if inside else None
+            inside.discard(start)
+            return None if not inside or start in nexts.get(last, ()) else (last, inside)
     return None
 
 
 def superbubbles(edges: DataFrame, component: DataFrame | None = None) -> DataFrame:
-    """``entry, exit, interior, is_nested`` of all superbubbles of ``src, dst``, per component (``node, component``).
+    """``entry, exit, interior, is_nested`` of all superbubbles of ``src, dst``, in the direction of the edges.
 
-    Both directions are searched and unordered pairs are reported once. A bubble inside another one is nested.
+    They are searched within components (``node, component``; found first if not given), from both ends. A bubble inside
+    another one is nested.
     """
     rows = edges.select("src", "dst")
-    rows = rows.withColumn("component", F.lit(0).cast("long")) if component is None else rows.join(component.select(F.col("node").alias("src"), F.hash("component").cast("long").alias("component")), "src")
+    rows = rows.join((components(edges) if component is None else component).select(F.col("node").alias("src"), F.xxhash64("component").alias("component")), "src")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         if len(frame) > MAX_COMPONENT:
@@ -253,19 +252,51 @@ def superbubbles(edges: DataFrame, component: DataFrame | None = None) -> DataFr
             nexts.setdefault(a, []).append(b)
             previous.setdefault(b, []).append(a)
         found: dict[tuple[str, str], set[str]] = {}
-        for forward, backward in ((nexts, previous), (previous, nexts)):
+        for ahead, forward, backward in ((True, nexts, previous), (False, previous, nexts)):
             for node in sorted(forward):
                 if len(forward[node]) > 1 and (hit := find_superbubble(node, forward, backward)):
-                    found.setdefault(tuple(sorted((node, hit[0]))), hit[1])
+                    found.setdefault((node, hit[0]) if ahead else (hit[0], node), hit[1])
+        # the bubbles that hold each node inside; a nested one's own nodes all lie in one of them
+        around: dict[str, set[tuple[str, str]]] = {}
+        for pair, inside in found.items():
+            for node in inside:
+                around.setdefault(node, set()).add(pair)
         out = []
-        for (a, b), inside in found.items():
-            nested = any(other != (a, b) and {a, b} <= more | set(other) and inside < more for other, more in found.items())
-            out.append((a, b, len(inside), nested))
+        for pair, inside in found.items():
+            nested = any(len(found[other]) > len(inside) and {*pair, *inside} <= found[other] | set(other) for other in set.intersection(*(around[n] for n in inside)) - {pair})
+            out.append((*pair, len(inside), nested))
         return pd.DataFrame(out, columns=["entry", "exit", "interior", "is_nested"])
 
     return rows.groupBy("component").applyInPandas(run, "entry string, exit string, interior int, is_nested boolean")
 
 
+def bubble_paths(kmers: DataFrame, members: DataFrame) -> DataFrame:
+    """``path_id, entry, exit, path``: all paths through the superbubbles of the unitig graph, as arrays of unitigs, ends included."""
+    edges = unitig_edges(kmers, members).transform(cut)
+    found = superbubbles(edges).transform(cut)
+    longest = found.agg(F.max("interior")).first()[0] or 0
+    paths = simple_paths(edges, found.select(F.col("entry").alias("start"), F.col("exit").alias("stop")), longest)
+    return paths.select(F.md5(F.array_join("path", " ")).alias("path_id"), F.col("start").alias("entry"), F.col("stop").alias("exit"), "path").transform(cut)
+
+
+def path_kmers(paths: DataFrame, members: DataFrame) -> DataFrame:
+    """``path_id, entry, exit, step, offset, node``: the k-mers of each path from its entry's last to its exit's first one."""
+    steps = paths.select("path_id", "entry", "exit", F.size("path").alias("_n"), F.posexplode("path").alias("step", "unitig"))
+    rows = steps.join(members, "unitig")
+    last = F.max("offset").over(Window.partitionBy("path_id", "step"))
+    inner = (F.col("step") > 0) & (F.col("step") < F.col("_n") - 1)
+    ends = ((F.col("step") == 0) & (F.col("offset") == F.col("_last"))) | ((F.col("step") == F.col("_n") - 1) & (F.col("offset") == 0))
+    return rows.withColumn("_last", last).where(inner | ends).select("path_id", "entry", "exit", "step", "offset", "node")
+
+
+def path_scores(rows: DataFrame, mark: Column | None = None, missing: float = 1.0) -> DataFrame:
+    """``path_id, entry, exit, n, geo, share``: k-mers, geometric mean of ``score`` and mean of ``mark`` of each path."""
+    s = F.coalesce("score", F.lit(missing))
+    geo = F.when(F.min(s) <= 0, 0.0).otherwise(F.exp(F.avg(F.log(F.greatest(s, F.lit(1e-300))))))
+    share = F.lit(0.0) if mark is None else F.avg(F.coalesce(mark, F.lit(0.0)))
+    return rows.groupBy("path_id", "entry", "exit").agg(F.count(F.lit(1)).alias("n"), geo.alias("geo"), share.alias("share"))
+
+
 def simple_paths(edges: DataFrame, pairs: DataFrame, longest: int) -> DataFrame:
     """``start, stop, path``: all simple paths of at most ``longest`` nodes inside between given ends."""
     live = pairs.select("start", "stop", F.col("start").alias("at"), F.array("start").alias("path"))
@@ -393,40 +424,83 @@ def assemble(kmers: DataFrame, links: DataFrame, seeds: DataFrame, k: int, keys:
 # --- correction -----------------------------------------------------------------------------------------------------
 
 
-def correct_reads(reads: DataFrame, kmers: DataFrame, k: int, key: str, least: float = 0.1, longest: int = 200) -> DataFrame:
-    """``key, seq, replaced``: reads whose poorly scored stretches between two bubble ends take the bubble's best path.
-
-    Bubbles are unitigs with common ends. Where a read passes entry and exit, and its own stretch has a geometric mean
-    score under ``least`` (missing k-mers: 0), the best path of the bubble that differs takes its place. Of stretches that
-    overlap, the first counts.
-    """
+def assemble_at_bubbles(kmers: DataFrame, links: DataFrame, k: int) -> DataFrame:
+    """``contig``: walks with links through the first k-mer of each bubble path that no other path of the bubble has, once each."""
     m = unitigs(kmers)
-    table = unitig_table(m, kmers)
-    best = simple_bubbles(kmers, m).join(table, "unitig").select("entry", "exit", "seq", "geo")
-    best = best.groupBy("entry", "exit").agg(F.max(F.struct("geo", "seq")).alias("b"))
-    at = occurrences(reads, k, [key]).select(key, "pos", "kmer", "cn_kmer")
-    starts = at.join(best, at["kmer"] == best["entry"]).select(key, F.col("pos").alias("a"), "exit", "b")
-    spans = starts.join(at.select(key, F.col("kmer").alias("exit"), F.col("pos").alias("z")), [key, "exit"]).where((F.col("z") > F.col("a") + 1) & (F.col("z") - F.col("a") <= longest))
-    spans = spans.groupBy(key, "a").agg(F.min(F.struct("z", "b")).alias("s")).select(key, "a", "s.z", F.col("s.b.seq").alias("path"), F.col("s.b.geo").alias("geo"))
-    inner = spans.join(at.select(key, "pos", "cn_kmer"), key).where("pos > a and pos < z").join(kmers.select("cn_kmer", "score"), "cn_kmer", "left")
+    rows = path_kmers(bubble_paths(kmers, m), m)
+    own = rows.groupBy("entry", "exit", "node").agg(F.count(F.lit(1)).alias("n"), F.min("path_id").alias("path_id"), F.min(F.struct("step", "offset")).alias("at")).where("n = 1")
+    seeds = own.groupBy("path_id").agg(F.min_by("node", "at").alias("seed"))
+    labels = components(unitig_edges(kmers, m))
+    part = m.join(labels.withColumnRenamed("node", "unitig"), "unitig", "left").select("node", S.canonical("node").alias("cn_kmer"), F.coalesce("component", "unitig").alias("component"))
+    # both strands of a k-mer are walked, so a component and its other strand are one
+    one = part.groupBy("cn_kmer").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    joined = components(one.where("low <> high").select(F.col("low").alias("src"), F.col("high").alias("dst")))
+    named = one.join(joined.withColumnRenamed("node", "low").withColumnRenamed("component", "_c"), "low", "left").select("cn_kmer", F.coalesce("_c", "low").alias("component"))
+    graph = kmers.join(named, "cn_kmer")
+    linked = links.join(named.withColumnRenamed("cn_kmer", "anchor_kmer"), "anchor_kmer")
+    asked = seeds.withColumn("cn_kmer", S.canonical("seed")).join(named, "cn_kmer").select("component", "seed")
+    return assemble(graph, linked, asked, k).select(S.canonical("contig").alias("contig")).distinct()
+
+
+def correct_reads(reads: DataFrame, kmers: DataFrame, k: int, key: str, least: float = 0.1) -> DataFrame:
+    """``key, seq, replaced``: reads whose poor stretches take the best other path of the graph between their ends.
+
+    Good k-mers are those of the table with a score of at least ``least``. A stretch of a read is what lies between two good
+    k-mers with none between them; it is poor if its geometric mean score, ends included and missing k-mers 0, is under
+    ``least``. Ways from one end to the other through good k-mers, of at most twice its length and k more, are its
+    alternatives; the one with the most k-mers of the read counts, then the best by score, then the first by name. Stretches
+    do not overlap, so a read can have any number of them; one without alternatives stays.
+    """
+    good = infer_edges(kmers.where(F.coalesce("score", F.lit(0.0)) >= least)).transform(cut)
+    m = unitigs(good).transform(cut)
+    at = occurrences(reads, k, [key]).select(key, "pos", "kmer", "cn_kmer").join(m, F.col("kmer") == m["node"], "left").drop("node").join(kmers.select("cn_kmer", "score"), "cn_kmer", "left").transform(cut)
+    w = Window.partitionBy(key).orderBy("pos")
+    ends = at.where("unitig is not null").select(key, F.col("pos").alias("a"), F.lead("pos").over(w).alias("z"), F.col("unitig").alias("ua"), F.col("offset").alias("oa"), F.lead("unitig").over(w).alias("uz"), F.lead("offset").over(w).alias("oz"))
+    gaps = ends.where("z > a + 1").transform(cut)
+    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    inside = at.withColumn("a", F.when(F.col("unitig").isNotNull(), F.col("pos")).otherwise(F.max(F.when(F.col("unitig").isNotNull(), F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1))))
+    inside = inside.withColumn("z", F.min(F.when(F.col("unitig").isNotNull(), F.col("pos"))).over(ahead)).where("a is not null and z > a + 1")
     s = F.coalesce("score", F.lit(0.0))
-    own = inner.groupBy(key, "a", "z", "path", "geo").agg(F.when(F.min(s) <= 0, 0.0).otherwise(F.exp(F.avg(F.log(F.greatest(s, F.lit(1e-300)))))).alias("own"))
-    bad = own.where((F.col("own") < least) & (F.col("geo") > F.col("own")))
-    listed = bad.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("a", "z", "path"))).alias("fixes"))
-    joined = reads.join(listed, key, "left").withColumn("fixes", F.coalesce("fixes", F.array().cast("array<struct<a:int,z:int,path:string>>")))
+    own = inside.groupBy(key, "a").agg(F.min(s).alias("low"), F.sum(F.log(F.greatest(s, F.lit(1e-300)))).alias("logs"), F.count(F.lit(1)).alias("n"))
+    exit_ = at.select(key, F.col("pos").alias("z"), F.coalesce("score", F.lit(0.0)).alias("end"))
+    geo = F.when((F.col("low") <= 0) | (F.col("end") <= 0), 0.0).otherwise(F.exp((F.col("logs") + F.log("end")) / (F.col("n") + 1)))
+    poor = gaps.join(own, [key, "a"]).join(exit_, [key, "z"]).where(geo < least).select(key, "a", "z", "ua", "oa", "uz", "oz").transform(cut)
+    # ways between unitigs, one search for each pair of places; lengths are k-mers between the ends
+    asked = poor.select("ua", "oa", "uz", "oz", (2 * (F.col("z") - F.col("a")) + k).alias("most")).groupBy("ua", "oa", "uz", "oz").agg(F.max("most").alias("most"))
+    size = m.groupBy("unitig").agg(F.count(F.lit(1)).alias("size"))
+    edges = unitig_edges(good, m).join(size.withColumnRenamed("unitig", "dst"), "dst").transform(cut)
+    start = asked.join(size.withColumnRenamed("unitig", "ua"), "ua")
+    straight = asked.where("ua = uz and oz > oa").select("ua", "oa", "uz", "oz", F.array("ua").alias("path"))
+    live = start.select("ua", "oa", "uz", "oz", "most", F.col("ua").alias("at"), F.array("ua").alias("path"), (F.col("size") - F.col("oa") - 1).cast("long").alias("far")).where("far <= most")
+    done = straight
+    for _ in itertools.count():
+        grown = live.join(edges, live["at"] == edges["src"]).where(~F.array_contains("path", F.col("dst")))
+        grown = grown.select("ua", "oa", "uz", "oz", "most", F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), "far", "size").transform(cut)
+        done = done.union(grown.where("at = uz and far + oz <= most").select("ua", "oa", "uz", "oz", "path"))
+        live = grown.where("at <> uz").withColumn("far", F.col("far") + F.col("size")).where("far <= most").drop("size")
+        if live.isEmpty():
+            break
+    ways = done.withColumn("way", F.xxhash64("ua", "oa", "uz", "oz", "path")).transform(cut)
+    steps = ways.select("way", "oa", "oz", F.size("path").alias("_n"), F.posexplode("path").alias("step", "unitig")).join(m, "unitig")
+    after, until = (F.col("step") > 0) | (F.col("offset") > F.col("oa")), (F.col("step") < F.col("_n") - 1) | (F.col("offset") < F.col("oz"))
+    # the base that each k-mer between the ends adds, and the last one's
+    upto = (F.col("step") < F.col("_n") - 1) | (F.col("offset") <= F.col("oz"))
+    bases = steps.where(after & upto).groupBy("way").agg(S.ordered_concat(F.col("step").cast("long") * F.lit(1 << 40) + F.col("offset"), F.right("node", F.lit(1))).alias("bases"))
+    nodes = steps.where(after & until).select("way", S.canonical("node").alias("cn_kmer"))
+    value = nodes.join(good.select("cn_kmer", "score"), "cn_kmer").groupBy("way").agg(F.avg(F.log("score")).alias("value"))
+    tried = poor.join(ways.select("ua", "oa", "uz", "oz", "way", "path"), ["ua", "oa", "uz", "oz"])
+    have = at.select(key, "cn_kmer").distinct()
+    support = tried.select(key, "a", "way").join(nodes.distinct(), "way").join(have, [key, "cn_kmer"], "left_semi").groupBy(key, "a", "way").agg(F.count(F.lit(1)).alias("support"))
+    ranked = tried.join(support, [key, "a", "way"], "left").join(value, "way", "left").join(bases, "way")
+    choice = ranked.groupBy(key, "a", "z").agg(F.min(F.struct((-F.coalesce("support", F.lit(0))).alias("s"), (-F.coalesce("value", F.lit(0.0))).alias("v"), "bases")).alias("best"))
+    listed = choice.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("a", "z", F.col("best.bases").alias("bases")))).alias("fixes"))
+    joined = reads.join(listed, key, "left").withColumn("fixes", F.coalesce("fixes", F.array().cast("array<struct<a:int,z:int,bases:string>>")))
     seq = F.col("seq")
-    # a stretch runs from the base after the entry k-mer to the exit k-mer's last but one
+    # up to the end of each stretch's first k-mer the read stays, then come the bases of the way to the end of its last one
     fold = F.aggregate(
         "fixes",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out"), F.lit(0).alias("n")),
-        lambda acc, f: F.when(
-            f["a"] + k >= acc["at"],
-            F.struct(
-                (f["z"] + k - 1).cast("int").alias("at"),
-                F.concat(acc["out"], F.substring(seq, acc["at"] + 1, f["a"] + k - acc["at"]), F.substring(f["path"], F.lit(k), F.length(f["path"]))).alias("out"),
-                (acc["n"] + 1).alias("n"),
-            ),
-        ).otherwise(acc),
+        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
+        lambda acc, f: F.struct((f["z"] + k).cast("int").alias("at"), F.concat(acc["out"], F.substring(seq, acc["at"] + 1, f["a"] + k - acc["at"]), f["bases"]).alias("out")),
     )
-    done = joined.withColumn("_f", fold)
-    return done.select(key, F.concat("_f.out", F.substring(seq, F.col("_f.at") + 1, F.length(seq))).alias("seq"), F.col("_f.n").alias("replaced"))
+    done_ = joined.withColumn("_f", fold)
+    return done_.select(key, F.concat("_f.out", F.substring(seq, F.col("_f.at") + 1, F.length(seq))).alias("seq"), F.size("fixes").alias("replaced"))

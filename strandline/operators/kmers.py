@@ -72,7 +72,7 @@ def _batch_counts(frame: pd.DataFrame, k: int, keys: list[str], seq: str) -> Ite
                 }
             )
             for name, value in zip(keys, key if isinstance(key, tuple) else (key,), strict=True):
-                out[name] = value
+                out[name] = pd.Series([None if pd.isna(value) else value] * len(out), dtype=object)
             yield out[[*keys, "kmer", "n", "fw", "edges"]]
 
 

@@ -170,10 +170,25 @@ def q_unitigs(spark, d):
     return G.contigs(K.count_kmers(V.bait(spark, d), 15))
 
 
+def _scored_bait(spark, d):
+    """The benchmark's k-mers; those of one occurrence score low, as errors do, and come from short reads alone."""
+    rare = F.col("cov") < 2
+    t = K.count_kmers(V.bait(spark, d), 15).withColumn("score", F.when(rare, 0.05).otherwise(0.9))
+    return t.withColumn("sources", F.when(rare, F.array(F.lit("short"))).otherwise(F.array(F.lit("long"), F.lit("short"))))
+
+
 def q_clean(spark, d):
-    """Benchmark k-mers left after branches whose mean GC share is low go."""
-    t = K.count_kmers(V.bait(spark, d), 11).withColumn("score", S.gc_content("cn_kmer")).withColumn("sources", F.array(F.lit("long")))
-    return G.remove_branches(t, 0.45).select("cn_kmer", "cov")
+    """Benchmark k-mers left after all cleaning steps."""
+    return G.clean(_scored_bait(spark, d), 15, 0.1).select("cn_kmer", "cov")
+
+
+def q_correct(spark, d):
+    """Documents with a benchmark passage, their poor stretches replaced by ways through the benchmark's k-mers."""
+    t = K.count_kmers(V.bait(spark, d), 15, score=True)
+    r = V.reads(spark, d)
+    near = K.occurrences(r, 15, ["doc_id"]).join(t.select("cn_kmer"), "cn_kmer", "left_semi").select("doc_id").distinct()
+    fixed = G.correct_reads(r.join(near, "doc_id", "left_semi").select("doc_id", "seq"), t, 15, "doc_id")
+    return fixed.select("doc_id", F.md5("seq").alias("seq_md5"), "replaced")
 
 
 def q_superbubbles(spark, d):
