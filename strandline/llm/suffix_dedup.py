@@ -283,9 +283,12 @@ def _halve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def repeated_windows(docs: DataFrame, regions: DataFrame, width: int = WIDTH, members: int = MEMBERS) -> DataFrame:
     """Windows (DECIDED) that occur twice, of ``regions`` (``core, region, copies`` and a run ``doc_id, k, place``)."""
-    wanted = regions.groupBy("doc_id", "k").agg(F.collect_list(F.struct("core", "region", "place", "copies")).alias("runs"))
+    shared = regions.withColumn("share", F.pmod(F.xxhash64("region"), F.lit(SHARES)))
+    sized = spread_join(shared, regions.groupBy("core").agg(F.count(F.lit(1)).cast("int").alias("forms")), ["core"])
+    wanted = sized.groupBy("doc_id", "k").agg(F.collect_list(F.struct("core", "region", "place", "copies", "forms")).alias("runs"))
     texts = docs.select("doc_id", "k", squeezed("text").alias("squeezed")).dropDuplicates(["doc_id", "k"])
-    with_text = texts.join(wanted, ["doc_id", "k"]).select("squeezed", "runs")
+    # what is wanted grows with the documents, so it is never a small side
+    with_text = texts.join(wanted.hint("merge"), ["doc_id", "k"]).select("squeezed", "runs")
 
     def sides(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -297,21 +300,21 @@ def repeated_windows(docs: DataFrame, regions: DataFrame, width: int = WIDTH, me
                     inner, outer = base + side, base + width
                     second = _signed(xxhash.xxh3_64_intdigest(data[inner:outer], 5))
                     before, after = data[base + first : inner], data[outer : base + last + width]
-                    out.append((r["core"], second, r["core"], r["region"], 0, side, r["copies"], before, after))
-            yield pd.DataFrame(out, columns=NAMES)
-
-    todo = with_text.mapInPandas(sides, OPEN)
-    largest = regions.groupBy("core").count().agg(F.max("count")).first()[0] or 0
-    if largest <= members:
-        return _aligned(todo)
-    todo = cut(todo)
-    decided = None
+                    out.append((r["core"], second, r["core"], r["region"], 0, side, r["copies"], before, after, r["forms"]))
+            yield pd.DataFrame(out, columns=[*NAMES, "forms"])
+
+    # most cores go straight to their suffix arrays; only those with too many forms are split first
+    every = written(with_text.mapInPandas(sides, f"{OPEN}, forms int"))
+    decided = _aligned(every.where(F.col("forms") <= members).select(*NAMES))
+    todo = every.where(F.col("forms") > members).select(*NAMES)
+    if todo.isEmpty():
+        return decided
     while True:
         sizes = todo.groupBy("core", "core2").agg(F.count(F.lit(1)).alias("_forms"), F.max("copies").alias("_most"))
         shared = todo.withColumn("share", F.pmod(F.xxhash64("home", "region", "at"), F.lit(SHARES)))
         sized = spread_join(shared, sizes.where("_forms > 1 or _most > 1"), ["core", "core2"])
         fits = _aligned(sized.where(F.col("_forms") <= members).select(*NAMES))
-        decided = fits if decided is None else decided.union(fits)
+        decided = decided.union(fits)
         halves = cut(sized.where(F.col("_forms") > members).select(*NAMES).mapInPandas(_halve, OPEN))
         if halves.isEmpty():
             return decided
@@ -388,11 +391,13 @@ def shared_phrases(docs: DataFrame, passage: int = PASSAGE, phrase: int = PHRASE
             size = [len(x) for x in found]
             yield pd.DataFrame({"phrase": np.concatenate([np.zeros(0, np.int64), *found]), "doc_id": np.repeat(batch["doc_id"].to_numpy(np.int64), size), "k": np.repeat(batch["k"].to_numpy(np.int32), size)})
 
-    found = docs.mapInPandas(find, "phrase long, doc_id long, k int")
+    found = written(docs.mapInPandas(find, "phrase long, doc_id long, k int"))
     often = found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("phrase")
     shared = found.join(often.hint("merge"), "phrase")
     # of repeated rows, all count alike
-    return shared.groupBy("doc_id", "k").agg(F.count_distinct("phrase").alias("n_shared_phrases"))
+    counts = written(shared.groupBy("doc_id", "k").agg(F.count_distinct("phrase").alias("n_shared_phrases")))
+    forget(found)
+    return counts
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -411,7 +416,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", tex
     phrases = shared_phrases(own).select("doc_id", "k", F.lit(None).cast("struct<lo int, hi int>").alias("span"), "n_shared_phrases")
     listed = spans.union(phrases).groupBy("doc_id", "k").agg(F.collect_set("span").alias("spans"), F.max("n_shared_phrases").alias("n_shared_phrases"))
     texts = named.select("own_id", "doc_id", "k", squeezed("text").alias("squeezed"))
-    joined = texts.join(listed, ["doc_id", "k"], "left").select("own_id", "squeezed", "spans", F.coalesce("n_shared_phrases", F.lit(0)).cast("long").alias("n_shared_phrases"))
+    joined = texts.join(listed.hint("merge"), ["doc_id", "k"], "left").select("own_id", "squeezed", "spans", F.coalesce("n_shared_phrases", F.lit(0)).cast("long").alias("n_shared_phrases"))
 
     def cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
