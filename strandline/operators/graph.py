@@ -438,7 +438,7 @@ def assemble_at_bubbles(kmers: DataFrame, links: DataFrame, k: int) -> DataFrame
     named = one.join(joined.withColumnRenamed("node", "low").withColumnRenamed("component", "_c"), "low", "left").select("cn_kmer", F.coalesce("_c", "low").alias("component"))
     graph = kmers.join(named, "cn_kmer")
     linked = links.join(named.withColumnRenamed("cn_kmer", "anchor_kmer"), "anchor_kmer")
-    asked = seeds.withColumn("cn_kmer", S.canonical("seed")).join(named, "cn_kmer").select("component", "seed")
+    asked = seeds.withColumn("cn_kmer", S.canonical("seed")).join(named, "cn_kmer").select("component", "seed").transform(cut)
     return assemble(graph, linked, asked, k).select(S.canonical("contig").alias("contig")).distinct()
 
 

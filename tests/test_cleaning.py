@@ -56,7 +56,7 @@ def test_tips_short_contigs_and_colors(spark):
 
 def test_tangles_go_from_their_seeds(spark):
     core = _genome(4, K_SIZE)
-    ways = [_genome(s, 40) + core + _genome(s + 20, 40) for s in (5, 6)]
+    ways = [_genome(s, 40) + x + core + y + _genome(s + 20, 40) for s, x, y in ((5, "A", "G"), (6, "C", "T"))]
     g = _genome(7, 300)
     t = _table(spark, [g, *ways], _kmers(g), "short")
     # the branching k-mer and its neighbours go; k-mers that are low are not passed, so the ways' far ends stay
