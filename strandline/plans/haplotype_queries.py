@@ -171,15 +171,14 @@ def q_unitigs(spark, d):
 
 
 def _scored_bait(spark, d):
-    """The benchmark's k-mers; those of one occurrence score low, as errors do, and come from short reads alone."""
-    rare = F.col("cov") < 2
-    t = K.count_kmers(V.bait(spark, d), 15).withColumn("score", F.when(rare, 0.05).otherwise(0.9))
-    return t.withColumn("sources", F.when(rare, F.array(F.lit("short"))).otherwise(F.array(F.lit("long"), F.lit("short"))))
+    """The benchmark's k-mers, scored by their GC share; those of a low share come from short reads alone."""
+    t = K.count_kmers(V.bait(spark, d), 15).withColumn("score", S.gc_content("cn_kmer"))
+    return t.withColumn("sources", F.when(F.col("score") < 0.3, F.array(F.lit("short"))).otherwise(F.array(F.lit("long"), F.lit("short"))))
 
 
 def q_clean(spark, d):
     """Benchmark k-mers left after all cleaning steps."""
-    return G.clean(_scored_bait(spark, d), 15, 0.1).select("cn_kmer", "cov")
+    return G.clean(_scored_bait(spark, d), 15, 0.3).select("cn_kmer", "cov")
 
 
 def q_correct(spark, d):
