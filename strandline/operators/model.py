@@ -9,15 +9,23 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import cut
+
 FEATURES = ["in_long", "short_cov", "strand_ratio", "hp_loss", "entropy", "gc"]
 THREE = ["short_cov", "strand_ratio", "entropy"]
 
 
 def train(rows: DataFrame, iterations: int = 200, features: list[str] | None = None, seed: int = 7) -> PipelineModel:
-    """A boosted-tree model of ``label``: depth 4, at least 5 rows a leaf, steps of 0.05, logistic loss."""
-    assemble = VectorAssembler(inputCols=features or FEATURES, outputCol="features")
-    trees = GBTClassifier(featuresCol="features", labelCol="label", maxDepth=4, minInstancesPerNode=5, stepSize=0.05, maxIter=iterations, seed=seed, cacheNodeIds=False)
-    return Pipeline(stages=[assemble, trees]).fit(rows)
+    """A boosted-tree model of ``label``: depth 4, at least 5 rows a leaf, steps of 0.05, logistic loss.
+
+    Rows of the same features and label count as one row of their number's weight, so each round passes over the distinct ones.
+    """
+    names = features or FEATURES
+    held = cut(rows.groupBy(*names, "label").agg(F.count(F.lit(1)).cast("double").alias("weight")))
+    total = held.agg(F.sum("weight")).first()[0] or 1.0
+    assemble = VectorAssembler(inputCols=names, outputCol="features")
+    trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=4, minWeightFractionPerNode=min(5 / total, 0.49), stepSize=0.05, maxIter=iterations, seed=seed, cacheNodeIds=False)
+    return Pipeline(stages=[assemble, trees]).fit(held)
 
 
 def score(rows: DataFrame, model: PipelineModel) -> DataFrame:
