@@ -21,9 +21,10 @@ def stage(loci: DataFrame, alignments: DataFrame | None = None, references: Data
     parts = []
     if alignments is not None:
         rows = alignments if haplotype is None else by_haplotype(alignments, haplotype)
-        named = rows.where("contig is not null").withColumn("id", F.concat_ws("|", "qname", "sample", F.col("is_secondary").cast("string"), F.col("is_supplementary").cast("string")))
+        # names may hold bars, but no tabs
+        named = rows.where("contig is not null").withColumn("id", F.concat_ws("\t", "qname", "sample", F.col("is_secondary").cast("string"), F.col("is_supplementary").cast("string")))
         seen = assemble_pileup(aligned_bases(named, "id", True), loci, "id", "name")
-        bits = F.split("id", r"\|")
+        bits = F.split("id", "\t")
         parts.append(seen.select(F.concat_ws("|", bits[0], "name", F.slice(bits, F.lit(2), F.size(bits))).alias("id"), "seq", "qual"))
         if unmapped:
             parts.append(unaligned(rows))
