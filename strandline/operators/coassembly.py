@@ -31,9 +31,9 @@ def scored_graph(long_: DataFrame, short: DataFrame, k: int, model: PipelineMode
     return table if threshold is None else G.clean(table, k, threshold)
 
 
-def correct_file(long_: DataFrame, short: DataFrame, k: int, key: str, model: PipelineModel | None = None) -> DataFrame:
-    """``key, seq, qual, replaced``: long reads corrected in the cleaned graph of all reads, with qualities from k-mer scores."""
-    table = scored_graph(long_, short, k, model)
+def correct_file(long_: DataFrame, short: DataFrame, k: int, key: str, model: PipelineModel | None = None, threshold: float | None = 0.1) -> DataFrame:
+    """``key, seq, qual, replaced``: long reads corrected in the cleaned graph (see scored_graph) of all reads, with qualities from k-mer scores."""
+    table = scored_graph(long_, short, k, model, threshold)
     fixed = G.correct_reads(long_, table, k, key).transform(cut)
     return fixed.join(score_qualities(fixed, table, k, key), key)
 
@@ -49,7 +49,7 @@ def score_qualities(reads: DataFrame, kmers: DataFrame, k: int, key: str) -> Dat
     return reads.select(key).join(listed, key, "left").select(key, F.coalesce("qual", F.lit("")).alias("qual"))
 
 
-def correct_windows(pieces: DataFrame, short: DataFrame, k: int, short_key: str, model: PipelineModel | None = None) -> DataFrame:
+def correct_windows(pieces: DataFrame, short: DataFrame, k: int, short_key: str, model: PipelineModel | None = None, threshold: float | None = 0.1) -> DataFrame:
     """``locus, read, seq, replaced``: reads corrected window by window and put together again, in order of windows.
 
     ``pieces`` (``locus, tile, read, seq``) are the parts of long reads in the windows of each locus. A short read counts where
@@ -59,7 +59,7 @@ def correct_windows(pieces: DataFrame, short: DataFrame, k: int, short_key: str,
     recruited = K.recruit_distinct(short, pieces.withColumn("_w", F.xxhash64("locus", "tile")), k, short_key, ("_w",)).select(short_key).distinct()
     near = short.join(recruited, short_key, "left_semi")
     keyed = pieces.withColumn("_key", F.xxhash64("locus", "tile", "read")).transform(cut)
-    fixed = G.correct_reads(keyed.select("_key", "seq"), scored_graph(keyed, near, k, model), k, "_key")
+    fixed = G.correct_reads(keyed.select("_key", "seq"), scored_graph(keyed, near, k, model, threshold), k, "_key")
     rows = keyed.drop("seq").join(fixed, "_key")
     return rows.groupBy("locus", "read").agg(S.ordered_concat("tile", "seq").alias("seq"), F.sum("replaced").alias("replaced"))
 
@@ -89,13 +89,13 @@ def bubble_matrix(reads: DataFrame, kmers: DataFrame, k: int, key: str) -> DataF
     return cells.select(F.lit(0).cast("long").alias("locus"), F.col(key).alias("read"), "site", (-F.col("best.a")).cast("int").alias("allele"), S.path_quality("best.geo").cast("int").alias("weight"))
 
 
-def co_assemble(long_: DataFrame, short: DataFrame, k: int, key: str, model: PipelineModel | None = None) -> DataFrame:
+def co_assemble(long_: DataFrame, short: DataFrame, k: int, key: str, model: PipelineModel | None = None, threshold: float | None = 0.1) -> DataFrame:
     """``haplotype, seq``: two haplotypes of one locus from long and short reads.
 
     Long reads are corrected in the cleaned graph, their bubbles phased, reads dealt to the haplotype they agree with, and each
     haplotype is the longest contig of its own reads' graph (ties: the first), so no multiple alignment is needed.
     """
-    table = scored_graph(long_, short, k, model)
+    table = scored_graph(long_, short, k, model, threshold)
     fixed = G.correct_reads(long_, table, k, key).select(key, "seq").transform(cut)
     cells = bubble_matrix(fixed, table, k, key).transform(cut)
     sides = P.assign_by_sites(cells, P.phase_windows(cells), 1).select(F.col("read").alias(key), "haplotype").transform(cut)

@@ -61,13 +61,13 @@ def unitigs(kmers: DataFrame, rounds: int = 40) -> DataFrame:
     for n in range(rounds):
         far = table.select(F.col("node").alias("jump"), F.col("jump").alias("jump2"), F.col("offset").alias("more"), F.col("low").alias("low2"))
         new = table.join(far, "jump").select("node", F.col("jump2").alias("jump"), (F.col("offset") + F.col("more")).alias("offset"), F.least("low", "low2").alias("low"), (F.col("more") > 0).alias("moved")).transform(cut)
-        moving = new.where("moved")
         table = new.drop("moved")
-        if moving.isEmpty():
+        moving, size = new.agg(F.count_if("moved"), F.count(F.lit(1))).first()
+        if not moving:
             return table.select("node", F.col("jump").alias("unitig"), "offset")
         # whoever still moves after the whole table could have been crossed sits on a ring
-        if 2**n > 4 and new.count() < 2**n:
-            ring = moving.select("node", F.col("low").alias("start"))
+        if 2**n > 4 and size < 2**n:
+            ring = new.where("moved").select("node", F.col("low").alias("start"))
             starts = ring.where("node = start").select(F.col("node").alias("dst"))
             return _finish(nodes, step.join(starts, "dst", "left_anti"), rounds)
     raise RuntimeError("unitigs did not settle")
