@@ -1,4 +1,4 @@
-"""Co-assembly, staging, typing from sites, and small functions."""
+"""Co-assembly, correction by file and window, staging, typing from sites, and small functions."""
 
 import random
 
@@ -10,6 +10,8 @@ from strandline.operators import anchors as A
 from strandline.operators import coassembly as C
 from strandline.operators import haplotypes as H
 from strandline.operators import intervals as I
+from strandline.operators import kmers as K
+from strandline.operators import model as M
 from strandline.operators import phasing as P
 from strandline.operators import pileup as U
 from strandline.operators import typing as T
@@ -44,6 +46,26 @@ def _put(s, at, base):
     return s[:at] + (base if s[at] != base else "ACGT"[("ACGT".index(base) + 1) % 4]) + s[at + 1 :]
 
 
+def _model(spark, g, longs, shorts):
+    parts = [K.count_kmers(x, K_SIZE).withColumn("color", F.lit(c)) for c, x in (("long", longs), ("short", shorts), ("truth", spark.createDataFrame([(1, g)], "id int, seq string")))]
+    return M.train(K.features(K.color_table(parts[0].union(parts[1]).union(parts[2]), ("long", "short", "truth"))), 40)
+
+
+def test_correction_by_file_and_by_window(spark):
+    g = _genome(21, 240)
+    wrong = {1: _put(g, 120, "A"), 2: _flip(_put(g, 60, "C")), 3: g}
+    longs = spark.createDataFrame(list(wrong.items()), "id int, seq string").cache()
+    shorts = spark.createDataFrame([(i, g[a : a + 60] if i % 2 else _flip(g[a : a + 60])) for i, a in enumerate([*range(0, 181, 12)] * 3)], "s int, seq string").cache()
+    model = _model(spark, g, longs, shorts)
+    got = {r.id: r for r in C.correct_file(longs, shorts, K_SIZE, "id", model, None).collect()}
+    assert {i: r.seq for i, r in got.items()} == {1: g, 2: _flip(g), 3: g} and [got[i].replaced for i in (1, 2, 3)] == [1, 1, 0]
+    assert all(len(r.qual) == len(g) for r in got.values())
+    far = spark.createDataFrame([(99, _genome(22, 60))], "s int, seq string")
+    pieces = spark.createDataFrame([("l", t, f"r{i}", s[a:z]) for i, s in ((1, wrong[1]), (3, g)) for t, (a, z) in enumerate(((0, 90), (90, 240)))], "locus string, tile int, read string, seq string")
+    windows = {r.read: (r.seq, r.replaced) for r in C.correct_windows(pieces, shorts.union(far), K_SIZE, "s", model, None).collect()}
+    assert windows == {"r1": (g, 1), "r3": (g, 0)}
+
+
 def test_co_assembly_tells_two_haplotypes_apart(spark):
     one = _genome(12, 120)
     two = _put(_put(one, 40, "A"), 80, "A")
