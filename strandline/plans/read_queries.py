@@ -84,7 +84,7 @@ def _placed(spark, d):
     clip, m = F.element_at(F.split("aln_id", "-"), 2).cast("int"), ((F.col("stop") - F.col("start")) / 10).cast("int")
     n = clip + m + clip % 3 + 13
     return V.alignments(spark, d).distinct().select(
-        F.concat_ws("-", "aln_id", "stop", "mapq").alias("aln_id"), "contig", "start", "cigar", F.left(F.repeat(F.when(clip % 2 == 0, "ACGTTGCAAC").otherwise("GATTACAGGC"), 12), n).alias("seq"),
+        "aln_id", "contig", "start", "cigar", F.left(F.repeat(F.when(clip % 2 == 0, "ACGTTGCAAC").otherwise("GATTACAGGC"), 12), n).alias("seq"),
         F.left(F.repeat(F.lit("!#+5?I"), 20), n).alias("qual"), (F.col("hp") == 2).alias("is_reverse"), (F.col("mapq") == 0).alias("is_secondary"), (clip == 7).alias("is_supplementary"),
     )
 
@@ -144,7 +144,7 @@ def q_path_sequence(spark, d):
 _COMP = "translate({0}, 'ACGT', 'TGCA')"
 _RC = V.rc("kmer")
 _PLACED = """y AS (SELECT DISTINCT *, CAST(split_part(aln_id, '-', 2) AS BIGINT) AS clip FROM aln), y2 AS (SELECT *, (stop - start) // 10 + clip + clip % 3 + 13 AS n FROM y),
-  x AS (SELECT concat_ws('-', aln_id, stop, mapq) AS aln_id, contig, start, cigar, left(repeat(CASE WHEN clip % 2 = 0 THEN 'ACGTTGCAAC' ELSE 'GATTACAGGC' END, 12), n) AS seq, left(repeat('!#+5?I', 20), n) AS qual, hp = 2 AS is_reverse, mapq = 0 OR clip = 7 AS other, clip, n FROM y2)"""
+  x AS (SELECT aln_id, contig, start, cigar, left(repeat(CASE WHEN clip % 2 = 0 THEN 'ACGTTGCAAC' ELSE 'GATTACAGGC' END, 12), n) AS seq, left(repeat('!#+5?I', 20), n) AS qual, hp = 2 AS is_reverse, mapq = 0 OR clip = 7 AS other, clip, n FROM y2)"""
 _EDGES = f"""{_ANCHORS}, p AS (SELECT doc_id, name, found.pos FROM found JOIN anchors a ON found.kmer = a.kmer), s AS (
       SELECT doc_id, coalesce(lag(name) OVER w, 'SOURCE') AS src, name AS dst, coalesce(lag(pos) OVER w, 0) AS a, pos AS b FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY pos, name)
       UNION ALL SELECT doc_id, name, 'SINK', pos, NULL FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos DESC, name DESC) AS rn FROM p) WHERE rn = 1),

@@ -178,7 +178,7 @@ ORACLES = {
     "q_aligned_pairs": f"{_SITES} SELECT hap, allele, CAST(ref_pos AS INTEGER) AS ref_pos, CAST(hap_pos AS INTEGER) AS hap_pos FROM pairs",
     "q_site_matches": f"{_MATCHES} SELECT hap, allele, CAST(pos AS INTEGER) AS pos, ref, alt FROM hits",
     "q_site_counts": f"{_MATCHES}, n AS (SELECT allele, count(DISTINCT (pos, ref, alt)) AS total FROM sites GROUP BY allele), m AS (SELECT hap, allele, count(DISTINCT (pos, ref, alt)) AS matched FROM hits GROUP BY ALL) SELECT hap, m.allele, matched, total, round(matched / total, 9) AS fraction FROM m JOIN n ON m.allele = n.allele",
-    "q_genomic_best": """WITH a AS (SELECT CAST(l_suppkey AS VARCHAR) AS hap, CAST(l_partkey % 20 AS VARCHAR) AS allele, CAST(5 - l_linenumber % 3 - 1 - 2 AS INTEGER) AS score, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id FROM lineitem WHERE floor(l_quantity) * 300 >= 6000 AND l_suppkey <> 3 AND l_partkey % 20 <> 7),
+    "q_genomic_best": """WITH a AS (SELECT CAST(l_suppkey AS VARCHAR) AS hap, CAST(l_partkey % 20 AS VARCHAR) AS allele, CAST(5 - l_linenumber % 3 - 1 - 2 AS INTEGER) AS score, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_quantity) AS BIGINT), CAST(round(l_discount * 100) AS INTEGER)) AS id FROM lineitem WHERE floor(l_quantity) * 300 >= 6000 AND l_suppkey <> 3 AND l_partkey % 20 <> 7),
       n AS (SELECT *, row_number() OVER (PARTITION BY hap, allele ORDER BY id) AS rn FROM a), m AS (SELECT hap || CASE WHEN rn > 1 THEN '_' || rn ELSE '' END AS hap, allele, score FROM n), t AS (SELECT *, max(score) OVER (PARTITION BY hap) AS top FROM m) SELECT DISTINCT hap, allele, score FROM t WHERE score = top""",
     "q_call_report": f"""{Q.ORACLES['q_final_allele'].replace('SELECT read AS hap', ', calls AS (SELECT read AS hap').strip()}) SELECT hap, call, CASE WHEN total IS NOT NULL THEN matched || '/' || total END AS sites FROM calls LEFT JOIN f ON f.read = hap AND f.allele = call""",
     "q_paint_lines": f"""{Q.ORACLES['q_gene_paint'].replace('SELECT contig, start, CASE WHEN a AND b', ', painted AS (SELECT contig, start, CASE WHEN a AND b')}), ends AS (SELECT contig, max(stop) + 150 AS length FROM aln GROUP BY contig), grid AS (SELECT contig, length, unnest(range(0, CAST(length AS BIGINT), 100)) AS start FROM ends)

@@ -33,7 +33,7 @@ def alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = (F.col("l_partkey") * 911 + F.col("l_linenumber") * 37) % 100000
     n = F.floor("l_quantity")
     return read(spark, sf_dir, "lineitem").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("aln_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", n, F.round(F.col("l_discount") * 100).cast("int")).alias("aln_id"),
         (F.col("l_suppkey") % 5).alias("contig"),
         start.alias("start"),
         (start + 10 * n).alias("stop"),
@@ -78,7 +78,7 @@ SQL = {
     "reads": f"reads AS (SELECT doc_id, source AS sample, lang, {_enc('text')} AS seq FROM documents WHERE text IS NOT NULL)",
     "bait": f"bait AS (SELECT item_id, {_enc('text')} AS seq FROM benchmark)",
     "aln": """aln AS (SELECT aln_id, contig, start, start + 10 * n AS stop, mapq, hp, cigar, sample FROM (
-      SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS aln_id, l_suppkey % 5 AS contig, (l_partkey * 911 + l_linenumber * 37) % 100000 AS start,
+      SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_quantity) AS BIGINT), CAST(round(l_discount * 100) AS INTEGER)) AS aln_id, l_suppkey % 5 AS contig, (l_partkey * 911 + l_linenumber * 37) % 100000 AS start,
         CAST(floor(l_quantity) AS BIGINT) AS n, CAST(round(l_discount * 100) AS INTEGER) AS mapq, CAST(1 + l_linenumber % 2 AS INTEGER) AS hp,
         concat(l_linenumber, 'S', CAST(floor(l_quantity) AS INTEGER), 'M', l_linenumber % 3 + 1, 'I5=2D7M') AS cigar, l_suppkey AS sample FROM lineitem))""",
     "loci": "loci AS (SELECT p_partkey AS locus, p_partkey % 5 AS contig, (p_partkey * 577) % 100000 AS start, (p_partkey * 577) % 100000 + 20 * p_size AS stop FROM part)",
