@@ -1,11 +1,11 @@
-"""Helpers shared by the corpus operators: table reading, lineage cuts, row numbers, spread joins, components."""
+"""Helpers shared by the corpus operators: table reading, lineage cuts, row numbers, spread and lookup joins, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -81,6 +81,25 @@ def spread_join(rows: DataFrame, values: DataFrame, on: list[str], share: str =
     return rows.join(pairs.join(values, on), [*on, share])
 
 
+#: Bytes of key text and rows of a table that ``attach`` broadcasts at most.
+LOOKUP_BYTES, LOOKUP_ROWS = 16 << 20, 200_000
+
+
+def attach(rows: DataFrame, values: DataFrame, on: str, rank: Column, most: int = 1_000_000, limit: int = LOOKUP_ROWS) -> DataFrame:
+    """``rows`` joined to ``values``, which has one row a key (text, not null), however large either of them is.
+
+    ``values`` is small by its checked size (``limit`` rows, LOOKUP_BYTES of keys) and then broadcast, or the rows of a
+    key are dealt in shares of about ``most`` rows. ``values`` has ``rows``, the rows of its key; ``rank`` is a number of
+    the rows, spread evenly within a key, that is the same if they are computed again.
+    """
+    size = values.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(on)).alias("bytes")).first()
+    if size["n"] <= limit and (size["bytes"] or 0) <= LOOKUP_BYTES:
+        return rows.join(F.broadcast(values.drop("rows")), on)
+    shares = values.agg(F.max("rows")).first()[0] // most + 1
+    dealt = rows.withColumn("_share", F.pmod(rank, F.lit(shares)))
+    return spread_join(dealt, values.drop("rows"), [on], "_share").drop("_share")
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Smallest reachable node of every node that has an edge.
 
