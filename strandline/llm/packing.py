@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import os
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -31,12 +32,23 @@ def tokenizer_file(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _ends_in_letter(word: bytes) -> bool:
+    """Whether a word still ends in a letter once it is normalised as the tokenizer does it.
+
+    Some letters turn into a letter and a combining mark, which the tokenizer joins to the marks that follow.
+    """
+    last = word[-1:]
+    if last < b"\x80":
+        return last.isalpha()
+    return unicodedata.normalize("NFC", word.decode("utf-8", "replace")).lower()[-1].isalpha()
+
+
 class CachedTokenizer:
     """Ids of texts as little-endian uint32 bytes.
 
     The tokenizer drops white space and never joins across it, so the ids of a text are those of its chunks
-    between ASCII white space. Nor does it join letters and marks: a chunk of a word and marks after it has the
-    ids of both. Chunks, words and marks are remembered in two generations of bounded size.
+    between ASCII white space. Nor does it join letters and marks: a chunk of a word that ends in a letter and marks after
+    it has the ids of both. Chunks, words and marks are remembered in two generations of bounded size.
     """
 
     def __init__(self, path: str, limit: int = CACHE):
@@ -71,7 +83,7 @@ class CachedTokenizer:
                 young[chunk] = known
                 continue
             word = chunk.rstrip(MARKS)
-            if word and len(word) < len(chunk) and b"<|" not in chunk and word.decode("utf-8", "replace")[-1].isalpha():
+            if word and len(word) < len(chunk) and b"<|" not in chunk and _ends_in_letter(word):
                 pairs.append((chunk, word, marks := chunk[len(word) :]))
                 for part in (word, marks):
                     if part not in young:
