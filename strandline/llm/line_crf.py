@@ -215,7 +215,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from at most ``sample`` labelled documents outside the held-out quarter.
 
     Held out are ids whose crc32 (as text) leaves 2 modulo 4. The sample, those of the smallest id hash, is the only
-    thing that reaches the driver, as features of all lines of its documents; these have at most SAMPLE_LINES lines together.
+    thing that reaches the driver, as features of all lines of its documents; these have at most SAMPLE_LINES lines
+    together. Texts under one id are documents of their own, equal ones count once, and each takes a line of that bound more
+    than it has; an id whose texts do not fit any more is left out.
     """
     chosen = (
         labels.where("quality in (0, 1) and doc_id is not null and pmod(crc32(cast(cast(doc_id as string) as binary)), 4) <> 2")
@@ -230,9 +232,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [(k, int(q), *(x.astype(np.float32).tobytes() for x in chain_features(t))) for k, q, t in zip(batch.doc_id, batch.quality, batch.text, strict=True)]
             yield pd.DataFrame(rows, columns=["doc_id", "quality", "features", "lengths"])
 
-    held = cut(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInPandas(extract, "doc_id long, quality int, features binary, lengths binary"))
+    # rows of one id and text are one; each counts as a line more than it has, so that empty texts count too
+    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id", "text"])
+    held = cut(labelled.mapInPandas(extract, "doc_id long, quality int, features binary, lengths binary"))
     # four bytes a length, one length a line
-    sizes = held.groupBy("doc_id").agg(F.sum(F.length("lengths") / 4).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    sizes = held.groupBy("doc_id").agg(F.sum(F.length("lengths") / 4 + 1).cast("long").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     fits, left = [], SAMPLE_LINES
     for r in sizes:
         if r.n <= left:
