@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import shared_folder, table
@@ -44,36 +44,31 @@ RULES = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
 )
 SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string>"
+#: A match: the rule's place in the list, its number, the code points before it and in it, and whether it is long enough.
+MATCH = "struct<ord:int,i:int,gap:bigint,len:bigint,good:boolean>"
+#: A stretch that findings cover.
+MASK = "struct<start:bigint,end:bigint>"
+#: Code points of the pieces into which a text is cut once before stretches are taken out of it.
+PIECE = 4096
 #: Columns of the ledger: a blob, the rule versions it was scanned for in one run, and what they found.
 LEDGER = f"blob string, rules array<string>, spans array<{SPAN}>"
 #: Shares into which the paths of one blob are dealt when findings are joined to them.
 SHARES = 16
 
 
-def find_spans(text: Column, rule: Rule, order: int) -> Column:
-    """Array of SPAN of a rule's leftmost non-overlapping matches, in code points, end exclusive.
+def find_matches(text: Column, rule: Rule, order: int) -> Column:
+    """Array of MATCH of a rule's leftmost non-overlapping matches, in order.
 
-    The pieces between matches and the matches themselves, laid one after the other, give the places.
+    The pieces between matches and the matches themselves, laid one after the other, are the text, so their lengths
+    tell the places.
     """
     pattern = F.lit(rule.pattern)
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     judged = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
-    parts = F.arrays_zip(matches.alias("m"), F.split(text, rule.pattern, -1).alias("gap"), judged.alias("g"))
-    step = F.aggregate(
-        F.slice(parts, 1, F.size(matches)),
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["m"])).cast("long").alias("at"),
-            F.when(
-                F.length(p["g"]) >= rule.least,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["gap"])).cast("long").alias("start"), F.lit(order).alias("ord"), (acc["at"] + F.length(p["gap"]) + F.length(p["m"])).cast("long").alias("end"), F.lit(rule.kind).alias("kind")))),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(rule.pattern), step).otherwise(F.array().cast(f"array<{SPAN}>"))
+    parts = F.slice(F.arrays_zip(matches.alias("m"), F.split(text, rule.pattern, -1).alias("gap"), judged.alias("g")), 1, F.size(matches))
+    length = lambda c: F.length(c).cast("long")
+    row = lambda p, i: F.struct(F.lit(order).alias("ord"), i.alias("i"), length(p["gap"]).alias("gap"), length(p["m"]).alias("len"), (F.length(p["g"]) >= rule.least).alias("good"))
+    return F.when(text.rlike(rule.pattern), F.transform(parts, row)).otherwise(F.array().cast(f"array<{MATCH}>"))
 
 
 def with_blobs(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -92,9 +87,16 @@ def scan_blobs(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RUL
     seen = ledger.select("blob", F.explode("rules").alias("rule")).groupBy("blob").agg(F.collect_set("rule").alias("_seen"))
     due = blobs.join(seen, "blob", "left").withColumn("rules", F.array_except(keys, F.coalesce("_seen", F.array().cast("array<string>"))))
     due = due.where(F.size("rules") > 0)
-    none = F.array().cast(f"array<{SPAN}>")
-    spans = F.concat(*[F.when(F.array_contains("rules", r.key), find_spans(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules)])
-    return due.select("blob", "rules", F.array_sort(spans).alias("spans"))
+    none = F.array().cast(f"array<{MATCH}>")
+    found = F.concat(*[F.when(F.array_contains("rules", r.key), find_matches(F.col("_text"), r, i)).otherwise(none) for i, r in enumerate(rules)])
+    # one row a match, so that places are running sums: linear in the matches of a text; blobs stay where they are
+    each = due.select("blob", "rules", F.explode_outer(found).alias("m")).select("blob", "rules", "m.*")
+    before = Window.partitionBy("blob", "ord").orderBy("i")
+    end = F.sum(F.col("gap") + F.col("len")).over(before)
+    kinds = F.array(*[F.lit(r.kind) for r in rules])
+    span = F.struct((F.col("end") - F.col("len")).alias("start"), "ord", "end", F.get(kinds, F.col("ord")).alias("kind"))
+    placed = each.withColumn("end", end).groupBy("blob").agg(F.first("rules").alias("rules"), F.collect_list(F.when(F.col("good"), span)).alias("spans"))
+    return placed.select("blob", "rules", F.array_sort("spans").alias("spans"))
 
 
 def open_ledger(spark: SparkSession, path: str | None = None) -> tuple[DataFrame, str]:
@@ -116,29 +118,37 @@ def update_ledger(versions: DataFrame, path: str | None = None, rules: tuple[Rul
 
 
 def findings_of(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``blob, spans`` of the ledger's blobs with a finding of the current rule versions."""
+    """``blob, spans, masks`` of the ledger's blobs with a finding of the current rule versions.
+
+    ``masks`` (array of MASK, sorted) are the stretches that spans cover, those that overlap joined.
+    """
     keys = {r.kind: r.key for r in rules}
     named = F.create_map(*[F.lit(x) for kv in keys.items() for x in kv])
     current = F.filter("spans", lambda s: F.array_contains(F.col("rules"), F.element_at(named, s["kind"])))
-    live = ledger.select("blob", current.alias("spans")).where(F.size("spans") > 0)
-    return live.groupBy("blob").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
+    each = ledger.select("blob", F.explode(current).alias("span")).distinct()
+    order = Window.partitionBy("blob").orderBy("span.start", "span.ord", "span.end")
+    reach = F.max("span.end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = each.withColumn("_new", F.coalesce((F.col("span.start") >= reach).cast("int"), F.lit(1)))
+    parts = fresh.withColumn("_part", F.sum("_new").over(order)).groupBy("blob", "_part").agg(F.min("span.start").alias("start"), F.max("span.end").alias("end"), F.collect_list("span").alias("spans"))
+    both = parts.groupBy("blob").agg(F.collect_list("spans").alias("spans"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("masks"))
+    return both.select("blob", F.array_sort(F.flatten("spans")).alias("spans"), "masks")
 
 
 def scan_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
-    """``docs`` with ``blob`` and ``secret_spans`` (array of SPAN, sorted; never null), replacing such columns.
+    """``docs`` with ``blob``, ``secret_spans`` (array of SPAN, sorted) and ``secret_masks`` (array of MASK: what spans cover), replacing such columns.
 
     ``ledger`` is the path of earlier scans (by default a new one): pairs of blob and rule version that it lacks are
     scanned and appended, and findings of the current rule versions are read back and joined to every row of the blob.
-    Null texts are empty. Repeated rows are kept. A blob's rows are joined in SHARES shares, so that one text on very
-    many paths spreads over tasks.
+    Null texts are empty; neither array is ever null. Repeated rows are kept. A blob's rows are joined in SHARES
+    shares, so that one text on very many paths spreads over tasks.
     """
-    versions = with_blobs(docs.drop("secret_spans"), text)
+    versions = with_blobs(docs.drop("secret_spans", "secret_masks"), text)
     found = findings_of(update_ledger(versions, ledger, rules, text), rules)
     shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)))
-    dealt = found.select(F.col("blob"), F.col("spans").alias("_found"), shares.alias("_share"))
+    dealt = found.select(F.col("blob"), F.col("spans").alias("_found"), F.col("masks").alias("_masks"), shares.alias("_share"))
     joined = versions.withColumn("_share", F.pmod(F.spark_partition_id(), F.lit(SHARES))).join(dealt, ["blob", "_share"], "left")
-    spans = F.coalesce("_found", F.array().cast(f"array<{SPAN}>"))
-    return joined.withColumn("secret_spans", spans).drop("_found", "_share").select(*versions.columns, "secret_spans")
+    spans, masks = F.coalesce("_found", F.array().cast(f"array<{SPAN}>")), F.coalesce("_masks", F.array().cast(f"array<{MASK}>"))
+    return joined.withColumn("secret_spans", spans).withColumn("secret_masks", masks).drop("_found", "_masks", "_share").select(*versions.columns, "secret_spans", "secret_masks")
 
 
 def digest(spans: Column) -> Column:
@@ -146,18 +156,26 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redact(text: Column, spans: Column, mark: str = "[secret]") -> Column:
-    """The text with ``mark`` for every span; spans that overlap become one mark."""
-    folded = F.aggregate(
-        spans,
-        F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when((s["start"] < acc["at"]), acc["out"]).otherwise(F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mark))).alias("out"),
-        ),
-    )
-    tail = F.substring(text, (folded["at"] + 1).cast("int"), F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(folded["out"], tail)).otherwise(text)
+def redact(text: Column, masks: Column, mark: str = "[secret]") -> Column:
+    """The text with ``mark`` for every stretch of ``masks`` (sorted, none within another).
+
+    The text is cut into pieces once; what lies between two stretches is taken from the few pieces that hold it, so
+    the cost is linear in the text and in the stretches.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def kept(cut: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / PIECE)
+        held = F.slice(cut, (first + 1).cast("int"), (F.ceil(b / PIECE) - first).cast("int"))
+        return F.when(a < b, F.substring(F.array_join(held, ""), (a - first * PIECE + 1).cast("int"), (b - a).cast("int"))).otherwise("")
+
+    def whole(cut: Column) -> Column:
+        before = lambda m, i: kept(cut, F.coalesce(F.get(masks, i - 1)["end"], F.lit(0).cast("long")), m["start"])
+        tail = kept(cut, F.element_at(masks, -1)["end"], F.length(text).cast("long"))
+        return F.concat(F.array_join(F.transform(masks, before), mark), F.lit(mark), tail)
+
+    # a lambda over one value, so that the text is cut once and not for every stretch
+    return F.when(F.size(masks) > 0, F.element_at(F.transform(F.array(pieces), whole), 1)).otherwise(text)
 
 
 def _of_kinds(spans: Column, kinds: list[str]) -> Column:
