@@ -38,7 +38,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of each secret; ``n_chars`` follows the text."""
     scanned = secret_scan.scan_secrets(docs)
-    text = F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col("secret_spans")))
+    text = F.when(F.col("text").isNotNull(), secret_scan.redact(F.col("text"), F.col("secret_masks")))
     clean = scanned.withColumn("text", text)
     changed = F.size("secret_spans") > 0
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
