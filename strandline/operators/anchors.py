@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
@@ -68,13 +68,21 @@ def supported(edges: DataFrame, least: int = 30, reference: str | None = None) -
     return edges.where(ok | F.array_contains("samples", reference) if reference is not None else ok)
 
 
+def anchor_name(contig: str, pos: str, k: int) -> Column:
+    """Name of an anchor: A, its contig, and the number of its stretch of ``k + 1`` bases, of which each has one anchor."""
+    return F.format_string("A%s_%06d", F.col(contig).cast("string"), F.floor(F.col(pos) / (k + 1)).cast("int"))
+
+
 def build(reads: DataFrame, reference: DataFrame, k: int, key: str, least: int = 30) -> tuple[DataFrame, DataFrame]:
-    """(anchors, edges) of reads (``key, sample, seq``) against a reference (``contig, seq``)."""
+    """(anchors, edges) of reads (``key, sample, seq``) against a reference (``contig, seq``).
+
+    An anchor is named by its contig and its place there, so anchors of different contigs never share a name.
+    """
     unique = unique_kmers(reference, k)
     found = positions(reads, unique, k, key, ("sample",))
     shared = in_every_sample(found, key)
     on_ref = positions(reference.withColumn("sample", F.lit("reference")), shared, k, "contig").select("contig", "kmer", "pos")
-    anchors = spaced(on_ref, k).withColumn("name", F.format_string("A%06d", F.floor(F.col("pos") / (k + 1)).cast("int")))
+    anchors = spaced(on_ref, k).withColumn("name", anchor_name("contig", "pos", k))
     edges = supported(merge_edges(anchor_edges(found, anchors, reads, k, key), key), least)
     return anchors, edges
 

@@ -97,19 +97,40 @@ def aligned_pairs(alignments: DataFrame, key: list[str]) -> DataFrame:
     return rows.select("_k.*", (F.col("r") + F.col("j")).alias("ref_pos"), (F.col("h") + F.col("j")).alias("hap_pos"))
 
 
+def star_pairs(alignments: DataFrame, order: str) -> DataFrame:
+    """``hap, allele, n, ref_pos, hap_pos`` of bases of alleles (``allele``, the read) aligned to haplotypes (``hap``, the reference).
+
+    ``ref_pos`` is the allele's place and ``n`` the number of the alignment, from 1, among those of its allele and haplotype.
+    """
+    n = F.row_number().over(Window.partitionBy("hap", "allele").orderBy(order))
+    rows = aligned_pairs(alignments.withColumn("n", n), ["hap", "allele", "n"])
+    return rows.select("hap", "allele", "n", F.col("hap_pos").alias("ref_pos"), F.col("ref_pos").alias("hap_pos"))
+
+
 def site_matches(sites: DataFrame, pairs: DataFrame, haps: DataFrame, stars: DataFrame, context: int = 20) -> DataFrame:
     """``hap, allele, pos, ref, alt`` of sites at which a haplotype has what the allele has.
 
-    ``sites`` (``allele, pos, ref, alt, offset``), ``pairs`` (``hap, allele, ref_pos, hap_pos``), sequences ``haps`` (``hap, seq``) and
-    ``stars`` (``allele, seq``). Substitutions compare the bases, others the bases and ``context`` on both sides.
+    ``sites`` (``allele, pos, ref, alt, offset``), ``pairs`` (``hap, allele, ref_pos, hap_pos``: places in the allele and the
+    haplotype; see star_pairs), sequences ``haps`` (``hap, seq``) and ``stars`` (``allele, seq``). At a site that changes no
+    length, the haplotype must have the site's ``alt``. At others, it must have the allele's bases from ``context`` before
+    the site to ``context`` after ``alt``, as far as either sequence goes; of the haplotype, only the aligned segment counts.
+    With ``n`` in ``pairs``, a further alignment of one allele is a haplotype of its own, with its number after the name.
     """
-    at = sites.withColumn("ref_pos", F.col("pos") + F.col("offset")).join(pairs, ["allele", "ref_pos"])
-    both = at.join(haps.select("hap", F.col("seq").alias("_h")), "hap").join(stars.select("allele", F.col("seq").alias("_s")), "allele")
-    n = F.length("alt")
-    point = F.substring("_h", F.col("hap_pos") + 1, n) == F.substring("_s", F.col("ref_pos") + 1, n)
-    lo_h, lo_s = F.greatest(F.col("hap_pos") - context, F.lit(0)), F.greatest(F.col("ref_pos") - context, F.lit(0))
-    around = F.substring("_h", lo_h + 1, n + 2 * context) == F.substring("_s", lo_s + 1, n + 2 * context)
-    return both.where(F.when(F.length("ref") == n, point).otherwise(around)).select("hap", "allele", "pos", "ref", "alt")
+    numbered = "n" in pairs.columns
+    by = ["hap", "allele", *(["n"] if numbered else [])]
+    reach = pairs.groupBy(*by).agg(F.min("hap_pos").alias("_first"), F.max("hap_pos").alias("_last"))
+    at = sites.withColumn("ref_pos", F.col("pos") + F.col("offset")).join(pairs, ["allele", "ref_pos"]).join(reach, by)
+    both = at.join(haps.select("hap", F.upper("seq").alias("_h")), "hap").join(stars.select("allele", F.upper("seq").alias("_s")), "allele")
+    n, place = F.length("alt"), F.col("hap_pos") - F.col("_first")
+    segment = F.substring("_h", F.col("_first") + 1, F.col("_last") - F.col("_first") + 1)
+
+    def around(seq: Column, pos: Column) -> Column:
+        start = F.greatest(pos - context, F.lit(0))
+        return F.substring(seq, start + 1, pos + n + context - start)
+
+    same = F.when(F.length("ref") == n, F.substring(segment, place + 1, n) == F.upper("alt")).otherwise(around(segment, place) == around(F.col("_s"), F.col("ref_pos")))
+    name = F.when(F.col("n") > 1, F.concat_ws("_", "hap", "n")).otherwise(F.col("hap").cast("string")) if numbered else F.col("hap")
+    return both.where(same).select(name.alias("hap"), "allele", "pos", "ref", "alt")
 
 
 def count_sites(matches: DataFrame, sites: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ def q_aligned_pairs(spark, d):
 
 
 def q_site_matches(spark, d):
-    """Sites at which a page has what its benchmark item has; bases around insertions count within three."""
+    """Sites at which a page has what its benchmark item has: the changed base, or around insertions all bases within three."""
     sites, pairs, pages, items = _site_parts(spark, d)
     return T.site_matches(sites, pairs, pages, items, 3)
 
@@ -166,9 +166,12 @@ _SITES = f"""{V.with_views('bait', 'haps')}, items AS (SELECT item_id AS allele,
   st AS (SELECT allele, pos, substr(seq, pos + 1, 1) AS ref, substr(seq, pos + 1, 1 + pos % 2) AS alt, seq FROM (SELECT allele, seq, unnest(range(0, 43, 7)) AS pos FROM items)),
   sites AS (SELECT *, CAST(coalesce(sum(length(alt) - length(ref)) OVER (PARTITION BY allele ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS shift FROM st),
   pairs AS (SELECT hap, hap % 50 AS allele, hap % 3 + j + CASE WHEN j >= 25 THEN 2 ELSE 0 END AS ref_pos, hap % 9 + j + CASE WHEN j >= 20 THEN 1 ELSE 0 END AS hap_pos FROM (SELECT hap, unnest(range(0, 85)) AS j FROM haps))"""
-_MATCHES = f"""{_SITES}, z AS (SELECT p.hap, s.allele, s.pos, s.ref, s.alt, CASE WHEN length(alt) = 1 THEN substr(h.seq, hap_pos + 1, 1) = substr(s.seq, ref_pos + 1, 1)
-    ELSE substr(h.seq, greatest(hap_pos - 3, 0) + 1, 8) = substr(s.seq, greatest(ref_pos - 3, 0) + 1, 8) END AS good
-  FROM sites s JOIN pairs p ON p.allele = s.allele AND p.ref_pos = s.pos + s.shift JOIN haps h ON h.hap = p.hap), hits AS (SELECT hap, allele, pos, ref, alt FROM z WHERE good)"""
+_MATCHES = f"""{_SITES}, reach AS (SELECT hap, min(hap_pos) AS a, max(hap_pos) AS b FROM pairs GROUP BY hap),
+  y AS (SELECT p.hap, s.allele, s.pos, s.ref, s.alt, s.seq, ref_pos, hap_pos - a AS place, substr(h.seq, a + 1, b - a + 1) AS seg
+    FROM sites s JOIN pairs p ON p.allele = s.allele AND p.ref_pos = s.pos + s.shift JOIN haps h ON h.hap = p.hap JOIN reach ON reach.hap = p.hap),
+  z AS (SELECT *, CASE WHEN length(alt) = length(ref) THEN substr(seg, place + 1, length(alt)) = alt
+    ELSE seg[greatest(place - 3, 0) + 1 : place + length(alt) + 3] = seq[greatest(ref_pos - 3, 0) + 1 : ref_pos + length(alt) + 3] END AS good FROM y),
+  hits AS (SELECT hap, allele, pos, ref, alt FROM z WHERE good)"""
 _CALLERS = """WITH a AS (SELECT l_partkey AS repeat, count(*) AS n_haps FROM lineitem GROUP BY 1), c AS (SELECT DISTINCT x.l_partkey AS repeat FROM lineitem x JOIN lineitem y ON x.l_partkey = y.l_partkey AND x.l_suppkey = y.l_suppkey + y.l_orderkey % 2 WHERE y.l_returnflag = 'R' AND y.l_linenumber = 1),
   r AS (SELECT a.repeat, n_haps, c.repeat IS NOT NULL AS confirmed FROM a LEFT JOIN c ON a.repeat = c.repeat)"""
 _B = "substr('ACGT', CAST({0} % 4 + 1 AS BIGINT), 1)"

@@ -37,8 +37,12 @@ def loci(spark: SparkSession, items: Sequence[str], padding: int = 0) -> DataFra
 
 
 def fasta(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """``id, description, seq`` of FASTA files (compressed ones by their ending)."""
-    raw = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep=">").where("trim(value) <> ''")
+    """``id, description, seq`` of FASTA files (compressed ones by their ending).
+
+    A record starts where a line begins with ``>``; other such signs are text. Files are split between records.
+    """
+    # the separator takes the sign of every record but a file's first one
+    raw = spark.read.text(paths if isinstance(paths, str) else list(paths), lineSep="\n>").where("trim(value) <> ''").select(F.regexp_replace("value", r"^\s*>", "").alias("value"))
     head = F.regexp_extract("value", r"^([^\n\r]*)", 1)
     body = F.regexp_replace(F.regexp_replace("value", r"^[^\n\r]*", ""), r"\s", "")
     return raw.select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), F.trim(F.regexp_replace(head, r"^\S*", "")).alias("description"), F.upper(body).alias("seq"))

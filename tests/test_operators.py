@@ -110,13 +110,24 @@ def test_anchor_graph(spark):
     assert [r.pos for r in rows] == [8, 16, 24] and all(ref[r.pos : r.pos + 7] == r.kmer for r in rows)
     steps = {(r.src, r.dst): (r.seq, r.reads, r.samples) for r in edges.collect()}
     assert len(steps) == 4 and all(v[1] == ["a0", "a1", "b0", "b1"] and v[2] == ["a", "b"] for v in steps.values())
-    assert "".join(v[0] for _, v in sorted(steps.items(), key=lambda x: ["SOURCE", "A000001", "A000002", "A000003"].index(x[0][0]))) == ref
-    chain = {r.name: r.depth for r in A.backbone(A.furthest_next(edges, anchors), "A000001").collect()}
-    assert chain == {"A000001": 0, "A000002": 1, "A000003": 2}
-    paths = A.series_parallel(edges, spark.createDataFrame([("A000001", "A000003")], "start string, stop string")).collect()
+    assert "".join(v[0] for _, v in sorted(steps.items(), key=lambda x: ["SOURCE", "Ac_000001", "Ac_000002", "Ac_000003"].index(x[0][0]))) == ref
+    chain = {r.name: r.depth for r in A.backbone(A.furthest_next(edges, anchors), "Ac_000001").collect()}
+    assert chain == {"Ac_000001": 0, "Ac_000002": 1, "Ac_000003": 2}
+    paths = A.series_parallel(edges, spark.createDataFrame([("Ac_000001", "Ac_000003")], "start string, stop string")).collect()
     assert len(paths) == 1 and paths[0].seq == ref[8:24]
 
 
+def test_anchors_of_two_contigs_keep_apart(spark):
+    one, two = "TTGACCATGCAAGTCCGATTACGGATCTTGCAACC", "GGCATTCAGTACCGTTAGACTCCTGAGTTATCGGA"
+    refs = spark.createDataFrame([("c", one), ("d", two)], "contig string, seq string")
+    reads = spark.createDataFrame([(f"{s}{c}{i}", s, x) for s in "ab" for c, x in (("c", one), ("d", two)) for i in range(2)], "read string, sample string, seq string")
+    anchors, edges = A.build(reads, refs, 7, "read", 2)
+    names = [r.name for r in anchors.collect()]
+    assert len(names) == len(set(names)) == 6
+    steps = {(r.src, r.dst): r.reads for r in edges.collect()}
+    assert len(steps) == 8 and all({x[1] for x in reads_} == {(src + dst).replace("SOURCE", "").replace("SINK", "")[1]} for (src, dst), reads_ in steps.items())
+
+
 def test_clusters(spark):
     rows = [("g", f"r{i}", f"v{i % 2}{j}") for i in range(8) for j in range(3)] + [("g", "odd", "x")]
     variants = spark.createDataFrame(rows, "g string, read string, v string")

@@ -18,6 +18,25 @@ def test_fasta_and_fastq_round_trip(spark, tmp_path):
     assert {(r.id, r.description, r.seq, r.qual) for r in R.sequences(spark, paths).collect()} == {("one", "first", "ACGT", None), ("two", "", "TT", None), ("q1", "d", "ACG", "@II")}
 
 
+def test_fasta_headers_hold_signs(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">s1 has A>G change\nACGT\n>s2>x\r\nAC\r\nGG\r\n\n>s3\n>s4 >\nTT")
+    want = {("s1", "has A>G change", "ACGT"), ("s2>x", "", "ACGG"), ("s3", "", ""), ("s4", ">", "TT")}
+    assert {(r.id, r.description, r.seq) for r in R.fasta(spark, f"{tmp_path}/a.fa").collect()} == want
+    assert {(r.id, r.seq) for r in R.sequences(spark, [f"{tmp_path}/a.fa"]).collect()} == {(a, c) for a, _, c in want}
+
+
+def test_fasta_is_split_between_records(spark, tmp_path):
+    records = {f"r{i}": "ACGT" * (i % 50) for i in range(400)}
+    (tmp_path / "a.fa").write_text("".join(f">{n} a>b\n{s}\n" for n, s in records.items()))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = R.fasta(spark, f"{tmp_path}/a.fa")
+        assert rows.rdd.getNumPartitions() > 4 and {r.id: r.seq for r in rows.collect()} == records
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_pairs(spark, tmp_path):
     rows = spark.createDataFrame([("p", False, "ACG", "ABC"), ("p", True, "AAC", "XYZ"), ("lone", False, "A", "I")], "qname string, is_reverse boolean, seq string, qual string")
     assert W.paired_fastq(rows, f"{tmp_path}/p") == 1
