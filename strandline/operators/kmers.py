@@ -229,19 +229,20 @@ def collapse_colors(kmers: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def color_table(kmers: DataFrame, colors: tuple[str, ...]) -> DataFrame:
-    """``cn_kmer`` and, for each color, its total and forward coverage; 0 where the color lacks the k-mer."""
+def color_table(kmers: DataFrame, colors: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, cn_kmer`` and, for each color, its total and forward coverage; 0 where the color lacks the k-mer."""
     aggs = []
     for c in colors:
         aggs += [F.sum(F.when(F.col("color") == c, F.col("cov")).otherwise(0)).alias(f"{c}_cov"), F.sum(F.when(F.col("color") == c, F.col("cov_fw")).otherwise(0)).alias(f"{c}_fw")]
-    return kmers.groupBy("cn_kmer").agg(*aggs)
+    return kmers.groupBy(*keys, "cn_kmer").agg(*aggs)
 
 
-def features(table: DataFrame) -> DataFrame:
+def features(table: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The six features of a color table with long, short and truth, and ``label``: whether the truth has the k-mer."""
     fw, cov = F.col("short_fw"), F.col("short_cov")
     k = F.col("cn_kmer")
     return table.select(
+        *keys,
         "cn_kmer",
         (F.col("long_cov") > 0).cast("double").alias("in_long"),
         cov.cast("double").alias("short_cov"),

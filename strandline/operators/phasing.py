@@ -128,6 +128,7 @@ def phase_windows(cells: DataFrame, length: int = SITES, stride: int = STRIDE, r
 
     Each window is turned so that it agrees with the sites stitched before it, and adds the sites after them.
     """
+    kind = dict(cells.dtypes)["locus"]
     win = windowed_cells(cells, length, stride)
     chosen = win.join(best_reads(win, reads), ["locus", "window", "read"])
 
@@ -136,7 +137,7 @@ def phase_windows(cells: DataFrame, length: int = SITES, stride: int = STRIDE, r
         _, h1, h2, _ = solve(matrix, weights)
         return pd.DataFrame({"locus": frame["locus"].iat[0], "window": frame["window"].iat[0], "site": sites, "h1": h1, "h2": h2})
 
-    solved = chosen.select("locus", "window", "read", "site", "allele", "weight").groupBy("locus", "window").applyInPandas(run, "locus long, window int, site long, h1 int, h2 int")
+    solved = chosen.select("locus", "window", "read", "site", "allele", "weight").groupBy("locus", "window").applyInPandas(run, f"locus {kind}, window int, site long, h1 int, h2 int")
 
     def stitch(frame: pd.DataFrame) -> pd.DataFrame:
         tail: dict[int, int] = {}
@@ -150,7 +151,7 @@ def phase_windows(cells: DataFrame, length: int = SITES, stride: int = STRIDE, r
         h1 = np.array([tail[s] for s in sites], dtype=int)
         return pd.DataFrame({"locus": frame["locus"].iat[0], "site": sites, "h1": h1, "h2": 1 - h1})
 
-    return solved.groupBy("locus").applyInPandas(stitch, "locus long, site long, h1 int, h2 int")
+    return solved.groupBy("locus").applyInPandas(stitch, f"locus {kind}, site long, h1 int, h2 int")
 
 
 def assign_reads(cells: DataFrame, haplotypes: DataFrame) -> DataFrame:

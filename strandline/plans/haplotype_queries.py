@@ -79,7 +79,7 @@ def _anchor_parts(spark, d):
     found = cut(A.positions(reads, K.unique_kmers(ref, K_ANCHOR), K_ANCHOR, "doc_id", ("sample",)))
     shared = A.in_every_sample(found, "doc_id")
     on_ref = A.positions(ref.withColumn("sample", F.lit("reference")), shared, K_ANCHOR, "contig").select("contig", "kmer", "pos")
-    named = A.spaced(on_ref, K_ANCHOR).withColumn("name", F.format_string("A%d_%06d", "contig", F.floor(F.col("pos") / (K_ANCHOR + 1)).cast("int")))
+    named = A.spaced(on_ref, K_ANCHOR).withColumn("name", A.anchor_name("contig", "pos", K_ANCHOR))
     return reads, found, named
 
 
@@ -194,8 +194,7 @@ def q_superbubbles(spark, d):
     """Bubbles of the word graph of each benchmark item."""
     w = V.read(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), r"[^a-zà-ÿ]+")).alias("i", "word"))
     e = w.alias("x").join(w.alias("y"), (F.col("x.item_id") == F.col("y.item_id")) & (F.col("y.i") == F.col("x.i") + 1)).select(F.concat_ws("|", "x.item_id", "x.word").alias("src"), F.concat_ws("|", "y.item_id", "y.word").alias("dst")).where("src <> dst").distinct()
-    part = e.select(F.col("src").alias("node"), F.element_at(F.split("src", r"\|"), 1).alias("component")).distinct()
-    return G.superbubbles(e, part)
+    return G.superbubbles(e)
 
 
 _C = f"{V.with_views('alleles')}, tc AS (SELECT site, allele, row_number() OVER (PARTITION BY site ORDER BY count(*) DESC, allele) AS rn FROM alleles GROUP BY site, allele), cells AS (SELECT a.read, a.site, CASE WHEN rn <= 2 THEN rn - 1 END AS allele, w AS weight FROM alleles a JOIN tc ON a.site = tc.site AND a.allele = tc.allele)"

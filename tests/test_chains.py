@@ -62,16 +62,16 @@ def test_correction_by_file_and_by_window(spark):
     assert all(len(r.qual) == len(g) for r in got.values())
     far = spark.createDataFrame([(99, _genome(22, 60))], "s int, seq string")
     pieces = spark.createDataFrame([("l", t, f"r{i}", s[a:z]) for i, s in ((1, wrong[1]), (3, g)) for t, (a, z) in enumerate(((0, 90), (90, 240)))], "locus string, tile int, read string, seq string")
-    windows = {r.read: (r.seq, r.replaced) for r in C.correct_windows(pieces, shorts.union(far), K_SIZE, "s", model, None).collect()}
-    assert windows == {"r1": (g, 1), "r3": (g, 0)}
+    rows = C.correct_windows(pieces, shorts.union(far), K_SIZE, "s", model, None).collect()
+    assert {r.read: (r.seq, r.replaced) for r in rows} == {"r1": (g, 1), "r3": (g, 0)} and all(len(r.qual) == len(g) for r in rows)
 
 
 def test_co_assembly_tells_two_haplotypes_apart(spark):
     one = _genome(12, 120)
     two = _put(_put(one, 40, "A"), 80, "A")
-    longs = spark.createDataFrame([(i, (one, two)[i % 2]) for i in range(4)], "id int, seq string")
-    got = {r.haplotype: r.seq for r in C.co_assemble(longs, longs, K_SIZE, "id", threshold=None).collect()}
-    assert set(got) == {1, 2} and set(got.values()) == {min(x, _flip(x)) for x in (one, two)}
+    longs = spark.createDataFrame([("l", i, (one, two)[i % 2]) for i in range(4)], "locus string, id int, seq string")
+    got = {r.haplotype: r.seq for r in C.co_assemble(longs, longs, K_SIZE, "id", threshold=None, least=50).collect()}
+    assert set(got) == {1, 2} and set(got.values()) == {one, two}
 
 
 def test_staging_of_all_files_at_all_loci(spark):
@@ -107,6 +107,40 @@ def test_typing_from_sites(spark):
     assert {(r.hap, r.call, r.sites) for r in T.call_report(calls, counts).collect()} == {("h1", "x1", "2/2"), ("h2", "none", None)}
 
 
+def _script_matches(site, star, place, segment, context):
+    """A site's test in words: the changed bases, or all bases around an insertion or deletion, as far as sequences go."""
+    pos, ref, alt = site
+    if len(ref) == len(alt):
+        return segment[place : place + len(alt)] == alt
+    window = lambda s, p: s[max(0, p - context) : p + len(alt) + context]
+    return window(segment, place) == window(star, pos)
+
+
+def test_sites_by_alt_and_by_aligned_segment(spark):
+    rng = random.Random(31)
+    star = _genome(30, 60)
+    # the allele lacks its own alt at 10; 3 and 57 lie near its ends; 30 and 40 change length
+    sites = [(10, star[10], "ACGT"[("ACGT".index(star[10]) + 1) % 4]), (20, "A", star[20]), (3, star[3] + "T", star[3]), (30, star[30], star[30:32]), (40, star[40:42], star[40]), (57, star[57], star[57:59])]
+    haps, rows = {}, []
+    for h in range(30):
+        start, stop = rng.choice([(0, 60), (0, 60), (2, 60), (0, 59)])
+        lead, body = _genome(h + 40, rng.choice([0, 4, 30])), star[start:stop]
+        for at in rng.sample([10, 20, 3, 5, 30, 31, 45, 57, 58], rng.choice([0, 1, 2])):
+            if start <= at < stop:
+                body = _put(body, at - start, rng.choice("ACGT"))
+        haps[f"h{h}"] = (lead + body + _genome(h + 90, rng.choice([0, 25])), len(lead), start, stop)
+        rows.append((f"h{h}", "x", len(lead), (f"{start}S" if start else "") + f"{stop - start}=" + (f"{60 - stop}S" if stop < 60 else ""), h))
+    want = set()
+    for h, (seq, lead, start, stop) in haps.items():
+        want |= {(h, *s) for s in sites if start <= s[0] < stop and _script_matches(s, star, s[0] - start, seq[lead : lead + stop - start], 20)}
+    aln = spark.createDataFrame([*rows, ("h0", "x", *rows[0][2:4], 99)], "hap string, allele string, pos int, cigar string, o int")
+    defined = spark.createDataFrame([("x", *s, 0) for s in sites], "allele string, pos int, ref string, alt string, offset int")
+    got = T.site_matches(defined, T.star_pairs(aln, "o"), spark.createDataFrame([(h, x[0]) for h, x in haps.items()], "hap string, seq string"), spark.createDataFrame([("x", star)], "allele string, seq string"))
+    found = {(r.hap, r.pos, r.ref, r.alt) for r in got.collect()}
+    assert found == want | {("h0_2", *x[1:]) for x in want if x[0] == "h0"}
+    assert len({x[1] for x in want}) >= 4 and any(x[1] == 3 for x in want)
+
+
 def test_genomic_matches(spark):
     rows = [("x1", "h1", "100=", "7000", 1), ("x2", "h1", "90=10X", "7000", 2), ("x3", "h1", "200=", "10", 3), ("x1", "h1", "50=", "8000", 4), ("x1", "h2", "9=", "9000", 5), ("x4", "h1", "300=", None, 6)]
     aln = spark.createDataFrame([(q, c, g, {"AS": s} if s else {}, o) for q, c, g, s, o in rows], "qname string, contig string, cigar string, tags map<string,string>, o int")

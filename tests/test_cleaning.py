@@ -87,13 +87,14 @@ def test_paths_are_ranked_and_supported(spark):
     one = _put(g, 100, "A")
     t = _table(spark, [g, one], _kmers(g))
     m = G.unitigs(t)
-    paths = G.bubble_paths(t, m)
-    rows = G.path_kmers(paths, m)
-    whole = rows.groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("step", "offset", "node"))).alias("x")).select("path_id", F.transform("x", lambda x: x["node"]).alias("path"))
-    seqs = {r.seq for r in whole.select(S.contig_of_path("path").alias("seq")).collect()}
+    found, inside = G.bubbles(G.unitig_edges(t, m))
+    best = G.best_paths(t, m, found, inside)
+    rows = G.path_nodes(best, m)
+    whole = rows.groupBy("entry", "exit", "place").agg(F.array_sort(F.collect_list(F.struct("step", "offset", "node"))).alias("x")).select(F.concat_ws(" ", "entry", "place").alias("path_id"), "place", F.transform("x", lambda x: x["node"]).alias("path"))
+    seqs = {(r.place, r.seq) for r in whole.select("place", S.contig_of_path("path").alias("seq")).collect()}
     # 15 k-mers differ, and with both ends a path is 17 k-mers, on either strand
-    want = {x[100 - K_SIZE : 100 + K_SIZE + 1] for x in (g, one)}
-    assert seqs == want | {_flip(x) for x in want}
+    want = {(i + 1, x[100 - K_SIZE : 100 + K_SIZE + 1]) for i, x in enumerate((g, one))}
+    assert seqs == want | {(i, _flip(x)) for i, x in want} and {r.n for r in best.collect()} == {17}
     ranked = G.rank_paths(whole.select(F.lit("s").alias("start"), F.lit("e").alias("stop"), "path"), t.select("cn_kmer", "score"), 1).collect()
     assert len(ranked) == 1 and ranked[0].value == 1.0
     reads = spark.createDataFrame([(1, g), (2, one), (3, g[:50])], "id int, seq string")
@@ -144,7 +145,7 @@ def test_qualities_follow_scores(spark):
     one = _genome(12, 200)
     table = _table(spark, [one], _kmers(one))
     reads = spark.createDataFrame([(0, one), (9, _put(one, 100, "C"))], "id int, seq string")
-    quals = {r.id: r.qual for r in C.score_qualities(reads, table, K_SIZE, "id").collect()}
+    quals = {r.id: r.qual for r in C.score_qualities(reads, table, K_SIZE, ["id"]).collect()}
     assert all(len(q) == 200 for q in quals.values()) and quals[9][100] == "!" and quals[0][100] > "!"
 
 
