@@ -174,3 +174,28 @@ def test_low_complexity_and_screen(spark):
     bait = spark.createDataFrame([("ACGTTGCATGCCGATC",)], "seq string")
     reads = spark.createDataFrame([(1, "ACGTTGCATGCCGATC"), (2, "GATCGGCATGCAACGT"), (3, "TTTTTTTTTTTTTTTT"), (4, "")], "id long, seq string")
     assert {r.id for r in K.screen(reads, bait, 5, 70.0, "id").collect()} == {1, 2}
+
+
+def test_overlaps_of_intervals_of_any_length(spark):
+    """Pairs as by brute force, from single bases to 100 million, negative starts and empty intervals too; two bins an interval at most."""
+    import random
+
+    from strandline.operators import intervals as I
+
+    rng = random.Random(8)
+
+    def some(n):
+        rows = []
+        for i in range(n):
+            start = rng.choice([rng.randint(-5_000, 120_000_000), rng.randint(0, 4_000)])
+            rows.append((i, rng.choice("cd"), start, start + rng.choice([0, 1, 7, 1_000, 1_001, 8_000, 60_000, 5_000_000, 100_000_000])))
+        return rows
+
+    left, right = some(150), some(120)
+    a, b = (spark.createDataFrame(x, f"{k} int, contig string, start long, stop long") for k, x in (("x", left), ("y", right)))
+    got = [(r.x, r.y, r.contig, r.a_start, r.a_stop, r.b_start, r.b_stop) for r in I.overlap_join(a, b, "x", "y").collect()]
+    want = {(i, j, c, s, e, t, f) for i, c, s, e in left for j, d, t, f in right if c == d and s < f and t < e}
+    assert len(got) == len(want) > 500 and set(got) == want
+    for side, frame, key in (("a", a, "x"), ("b", b, "y")):
+        spread = I._binned(I._classed(frame, I.BIN, key, side).withColumnRenamed("_class", "_level"), I.BIN, side)
+        assert spread.groupBy(key).count().agg({"count": "max"}).first()[0] <= 2
