@@ -18,8 +18,8 @@ from strandline.functions import sequence as S
 from strandline.operators.kmers import infer_edges, occurrences
 from strandline.operators.lineage import components, cut
 
-#: Largest component that a walk takes.
-MAX_COMPONENT = 200_000
+#: Most edges of a component that one task takes, and of a graph that is not split into components first.
+MAX_COMPONENT, WHOLE = 200_000, 20_000
 #: Most edges of a bubble whose best paths one task finds; those of a larger one are found in rounds of joins.
 BUBBLE = 200_000
 #: What stands for the logarithm's argument where a score is 0.
@@ -274,12 +274,12 @@ def _sweep(graph: DataFrame, starts: DataFrame, limit: int) -> tuple[DataFrame,
     return found.transform(cut), held, front.select("entry").distinct()
 
 
-def bubbles(edges: DataFrame, limit: int = 4) -> tuple[DataFrame, DataFrame]:
-    """(bubbles ``entry, exit, interior, is_nested``, inside ``entry, exit, node``) of all superbubbles of ``src, dst``.
+def _bubbles_by_joins(edges: DataFrame, limit: int = 4) -> tuple[DataFrame, DataFrame]:
+    """What bubbles returns, for components of any size.
 
     Nodes that branch are swept for an exit (see _sweep), at most ``limit`` rounds at first. What is found is contracted to an
     edge that stands for its inside, and the sweeps that were not done begin anew on the smaller graph with twice the
-    rounds, until all are. No component is gathered anywhere. A bubble whose ends both lie in another one is nested.
+    rounds, until all are. No component is gathered anywhere.
     """
     graph = edges.select("src", "dst", F.lit(0).cast("long").alias("hidden")).distinct().transform(cut)
     starts = graph.groupBy(F.col("src").alias("entry")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("entry").transform(cut)
@@ -315,6 +315,79 @@ def bubbles(edges: DataFrame, limit: int = 4) -> tuple[DataFrame, DataFrame]:
         inside = inside.union(fresh).transform(cut)
 
 
+def find_superbubble(start: object, nexts: dict, into: dict) -> tuple[object, set] | None:
+    """(exit, nodes inside) of the superbubble that starts at a node, or None: _sweep for one entry.
+
+    ``nexts`` are the nodes after each one, ``into`` the number of edges into each.
+    """
+    left: dict = {}
+    ready, inside = [start], set()
+    while ready:
+        node = ready.pop()
+        after = nexts.get(node)
+        if not after or start in after:
+            return None
+        inside.add(node)
+        for child in after:
+            left[child] = left.get(child, into[child]) - 1
+            if not left[child]:
+                ready.append(child)
+        if len(ready) == 1 and len(left) == len(inside):
+            inside.discard(start)
+            return None if start in nexts.get(ready[0], ()) else (ready[0], inside)
+    return None
+
+
+def _bubbles_in_groups(rows: DataFrame) -> DataFrame:
+    """``entry, exit, interior, is_nested, nodes`` of the bubbles of whole components (``part, src, dst``), each in one task."""
+    kind = rows.schema["src"].dataType.simpleString()
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        name = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+        written: dict = {}
+        nexts: dict = {}
+        into: dict = {}
+        for a, b in zip(frame["src"], frame["dst"], strict=True):
+            x, y = name(a), name(b)
+            written[x], written[y] = a, b
+            nexts.setdefault(x, set()).add(y)
+            into[y] = into.get(y, 0) + 1
+        found = {(x, hit[0]): hit[1] for x, after in nexts.items() if len(after) > 1 and (hit := find_superbubble(x, nexts, into))}
+        # the bubbles that hold each node inside; the nodes of a nested one all lie in one of them
+        around: dict = {}
+        for pair, inside in found.items():
+            for x in inside:
+                around.setdefault(x, []).append(pair)
+        out = []
+        for (x, y), inside in found.items():
+            nested = any(len(found[o]) > len(inside) and {x, y} <= found[o] | set(o) for o in around[next(iter(inside))] if o != (x, y))
+            out.append((written[x], written[y], len(inside), nested, [written[z] for z in inside]))
+        return pd.DataFrame(out, columns=["entry", "exit", "interior", "is_nested", "nodes"])
+
+    return rows.groupBy("part").applyInPandas(run, f"entry {kind}, exit {kind}, interior int, is_nested boolean, nodes array<{kind}>")
+
+
+def bubbles(edges: DataFrame, largest: int = MAX_COMPONENT, limit: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(bubbles ``entry, exit, interior, is_nested``, inside ``entry, exit, node``) of all superbubbles of ``src, dst``.
+
+    Components of at most ``largest`` edges are searched in one task each; larger ones by sweeps that are joins (see
+    _bubbles_by_joins). Both find the same. A bubble whose ends both lie in a larger one is nested.
+    """
+    rows = edges.select("src", "dst").distinct().transform(cut)
+    if rows.count() <= min(largest, WHOLE):
+        small, large = rows.withColumn("part", F.lit(0)), None
+    else:
+        part = rows.join(components(rows).select(F.col("node").alias("src"), F.xxhash64("component").alias("part")), "src").select("part", "src", "dst").transform(cut)
+        size = part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest)
+        small, large = part.join(size, "part", "left_anti"), part.join(size, "part", "left_semi").select("src", "dst").transform(cut)
+    held = _bubbles_in_groups(small).transform(cut)
+    found, inside = held.drop("nodes"), held.select("entry", "exit", F.explode("nodes").alias("node"))
+    if large is not None and not large.isEmpty():
+        more, within = _bubbles_by_joins(large, limit)
+        found, inside = found.union(more), inside.union(within)
+    return found, inside
+
+
 def superbubbles(edges: DataFrame) -> DataFrame:
     """``entry, exit, interior, is_nested`` of all superbubbles of ``src, dst``, in the direction of the edges (see bubbles)."""
     return bubbles(edges)[0]

@@ -42,21 +42,25 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     return held.withColumn("_part", part).join(offsets, "_part").withColumn(name, F.col("_start") + within).drop("_part", "_start", "_place")
 
 
-def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "src", b: str = "dst", rounds: int = 100) -> DataFrame:
     """``node, component``: the smallest node that each node of the undirected edges is joined with.
 
-    Each round a node's label becomes the smallest among its neighbours' and its label's own label, so labels travel along
-    edges and jump along earlier jumps; rounds grow with the logarithm of the longest way.
+    Rounds of two steps: every node hands its smallest neighbour to its larger ones, then the smallest to all that are not
+    larger (large and small stars; Kiveris and others, 2014), until no edge changes. A node's neighbours meet in aggregates
+    and joins alone, and rounds grow with the logarithm of the longest way.
     """
-    both = cut(edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct())
-    labels = cut(both.groupBy("x").agg(F.least("x", F.min("y")).alias("low")))
+    links = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    mark = None
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("x").alias("y"), "low"), "y").groupBy("x").agg(F.min("low").alias("low"))
-        # the label's root takes what its members have seen, and members take what their root has
-        seen = labels.join(near.withColumnRenamed("low", "near"), "x").select("x", "low", "near")
-        roots = seen.groupBy(F.col("low").alias("root")).agg(F.min("near").alias("down"))
-        new = cut(seen.join(roots, F.col("low") == F.col("root")).select("x", "low", F.least("low", "near", "down").alias("new")))
-        labels = new.select("x", F.col("new").alias("low"))
-        if new.where("new <> low").isEmpty():
-            return labels.select(F.col("x").alias("node"), F.col("low").alias("component"))
+        now = tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == mark:
+            nodes = edges.select(F.col(a).alias("node")).union(edges.select(b)).distinct()
+            return nodes.join(links.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
+        mark = now
+        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        links = cut(small.where("u <> v").distinct())
     raise RuntimeError("components did not settle")

@@ -213,7 +213,7 @@ def test_components(spark, seed):
     from strandline.operators.lineage import components
 
     rng = random.Random(seed)
-    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(i, i + 1) for i in range(200, 260)]
+    pairs = [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(i, i + 1) for i in range(200, 700)]
     parent = {x: x for p in pairs for x in p}
 
     def root(x):
