@@ -6,7 +6,7 @@ With ``keys``, every step works on one graph for each of their values, all at on
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
@@ -18,16 +18,16 @@ from strandline.operators import phasing as P
 from strandline.operators.lineage import cut
 
 
-def scored_graph(long_: DataFrame, short: DataFrame, k: int, model: PipelineModel | None = None, threshold: float | None = 0.1, keys: G.Keys = ()) -> DataFrame:
+def scored_graph(long_: DataFrame, short: DataFrame, k: int, model: PipelineModel | None = None, threshold: float | None = 0.1, keys: G.Keys = (), score: Column | None = None) -> DataFrame:
     """The k-mer table of long and short reads with ``sources`` and ``score``, cleaned unless ``threshold`` is None.
 
-    The model scores k-mers by the six features; without one, all score 1.
+    The model scores k-mers by the six features; without one, ``score`` does (a column of the merged table), or all score 1.
     """
     tables = [K.count_kmers(x, k, keys).withColumn("color", F.lit(c)) for c, x in (("long", long_), ("short", short))]
     both = tables[0].union(tables[1]).transform(cut)
     merged = K.collapse_colors(both, keys)
     if model is None:
-        table = merged.withColumn("score", F.lit(1.0))
+        table = merged.withColumn("score", F.lit(1.0) if score is None else score)
     else:
         rows = K.features(K.color_table(both.withColumn("truth", F.lit(0)), ("long", "short", "truth"), keys), keys)
         table = merged.join(M.score(rows, model).select(*keys, "cn_kmer", "score"), [*keys, "cn_kmer"])
@@ -64,7 +64,7 @@ def _qualities(reads: DataFrame, logs: DataFrame, k: int, by: list[str]) -> Data
     return reads.select(*by).join(listed, by, "left").select(*by, F.coalesce("qual", F.lit("")).alias("qual"))
 
 
-def correct_windows(pieces: DataFrame, short: DataFrame, k: int, short_key: str, model: PipelineModel | None = None, threshold: float | None = 0.1) -> DataFrame:
+def correct_windows(pieces: DataFrame, short: DataFrame, k: int, short_key: str, model: PipelineModel | None = None, threshold: float | None = 0.1, score: Column | None = None) -> DataFrame:
     """``locus, read, seq, qual, replaced``: reads corrected window by window and put together again, in order of windows.
 
     ``pieces`` (``locus, tile, read, seq``) are the parts of long reads in the windows of each locus. Every window has a graph
@@ -74,7 +74,7 @@ def correct_windows(pieces: DataFrame, short: DataFrame, k: int, short_key: str,
     """
     keys = ("locus", "tile")
     near = K.recruit_distinct(short, pieces, k, short_key, keys).select(*keys, short_key).join(short.select(short_key, "seq"), short_key)
-    table = scored_graph(pieces, near, k, model, threshold, keys).transform(cut)
+    table = scored_graph(pieces, near, k, model, threshold, keys, score).transform(cut)
     fixed = G.correct_reads(pieces, table, k, "read", keys=keys).transform(cut)
     whole = fixed.groupBy("locus", "read").agg(S.ordered_concat("tile", "seq").alias("seq"), F.sum("replaced").alias("replaced")).transform(cut)
     at = K.windows_of(whole, k, ["locus", "read"]).select("locus", "read", "pos", F.least("kmer", "rc").alias("cn_kmer"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
 from strandline.operators import anchors as A
+from strandline.operators import coassembly as C
 from strandline.operators import graph as G
 from strandline.operators import haplotypes as H
 from strandline.operators import kmers as K
@@ -182,14 +183,36 @@ def q_clean(spark, d):
 
 
 def q_correct(spark, d):
-    """Documents with a benchmark passage, their poor stretches replaced by ways through the benchmark's k-mers."""
+    """All documents, their poor stretches replaced by ways through the benchmark's k-mers."""
     t = K.count_kmers(V.bait(spark, d), 15, score=True)
-    r = V.reads(spark, d)
-    near = K.occurrences(r, 15, ["doc_id"]).join(t.select("cn_kmer"), "cn_kmer", "left_semi").select("doc_id").distinct()
-    fixed = G.correct_reads(r.join(near, "doc_id", "left_semi").select("doc_id", "seq"), t, 15, "doc_id")
+    fixed = G.correct_reads(V.reads(spark, d).select("doc_id", "seq"), t, 15, "doc_id")
     return fixed.select("doc_id", F.md5("seq").alias("seq_md5"), "replaced")
 
 
+def q_windowed_correction(spark, d):
+    """Two plain copies of each benchmark item and one with a wrong base in every window of 100, corrected window by window with pieces of the documents."""
+    tiles = V.bait(spark, d).select("item_id", F.explode(S.tiles("seq", 100)).alias("t")).select("item_id", F.floor(F.col("t.start") / 100).cast("int").alias("tile"), F.col("t.seq").alias("seq"))
+    wrong = F.concat(F.left("seq", F.lit(45)), F.translate(F.substring("seq", 46, 1), "ACGT", "CGTA"), F.substring("seq", F.lit(47), F.length("seq")))
+    copies = tiles.select(F.col("item_id").alias("locus"), "tile", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("read"), "seq")
+    pieces = copies.withColumn("seq", F.when((F.col("read") == 2) & (F.length("seq") >= 90), wrong).otherwise(F.col("seq")))
+    shorts = V.reads(spark, d).select(F.explode(S.tiles("seq", 100)).alias("t"), "doc_id").select(F.concat_ws("_", "doc_id", "t.start").alias("short"), F.col("t.seq").alias("seq"))
+    fixed = C.correct_windows(pieces, shorts, 15, "short", threshold=None, score=F.when(F.col("cov") >= 2, 0.99).otherwise(0.01))
+    return fixed.select("locus", "read", F.md5("seq").alias("seq_md5"), "replaced", F.length("qual").alias("n_quals"))
+
+
+def q_co_assembly(spark, d):
+    """Two haplotypes of each benchmark item, which differ by a base and by seven bases, from copies on either strand."""
+    third = F.floor(F.length("seq") / 3).cast("int")
+    one = V.bait(spark, d).select(F.col("item_id").alias("locus"), "seq", third.alias("at"))
+    base = F.translate(F.substring("seq", F.col("at") + 1, F.lit(1)), "ACGT", "CGTA")
+    other = F.concat(F.left("seq", F.col("at")), base, F.substring("seq", F.col("at") + 2, F.col("at") - 1), F.lit("GATTACA"), F.substring("seq", 2 * F.col("at") + 1, F.length("seq")))
+    both = one.select("locus", F.explode(F.array("seq", other)).alias("seq"))
+    reads = both.select("locus", F.posexplode(F.array("seq", S.reverse_complement("seq"), "seq")).alias("i", "seq"))
+    reads = reads.select("locus", F.xxhash64("i", "seq").alias("read"), "seq")
+    found = C.co_assemble(reads, reads, 15, "read", threshold=None, least=40)
+    return found.select("locus", F.md5(S.canonical("seq")).alias("seq_md5"))
+
+
 def q_superbubbles(spark, d):
     """Bubbles of the word graph of each benchmark item."""
     w = V.read(spark, d, "benchmark").select("item_id", F.posexplode(F.split(F.lower("text"), r"[^a-zà-ÿ]+")).alias("i", "word"))
@@ -260,4 +283,12 @@ ORACLES = {
       SELECT md5(repeat) AS repeat_md5, CAST(len(regexp_extract_all(repeat, 'CAG')) + len(regexp_extract_all(regexp_extract(repeat, 'CAG(.*CAG)?'), 'GTC')) AS BIGINT) AS n_repeats, n_haps, CAST(len(regexp_extract_all(repeat, 'CAGC')) AS BIGINT) AS cagc, CAST(len(regexp_extract_all(regexp_replace(repeat, 'CAGC', '....', 'g'), 'GTC')) AS BIGINT) AS gtc FROM g""",
     "q_set_compare": f"WITH a AS {_GOLD.format('benchmark')}, b AS {_GOLD.format('(SELECT text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))')} SELECT coalesce(a.word, b.word) AS word, CASE WHEN a.word IS NULL THEN 'b' WHEN b.word IS NULL THEN 'a' ELSE 'both' END AS side FROM a FULL JOIN b ON a.word = b.word",
 }
+ORACLES |= {
+    # what was planted comes back
+    "q_windowed_correction": f"""{V.with_views('bait')}, t AS (SELECT item_id AS locus, seq, unnest([0, 1, 2]) AS read FROM bait)
+      SELECT locus, read, md5(seq) AS seq_md5, CAST(CASE WHEN read = 2 THEN length(seq) // 100 + CASE WHEN length(seq) % 100 >= 90 THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS replaced, CAST(length(seq) AS INTEGER) AS n_quals FROM t WHERE length(seq) > 0""",
+    "q_co_assembly": f"""{V.with_views('bait')}, o AS (SELECT item_id AS locus, seq, CAST(length(seq) // 3 AS INTEGER) AS n FROM bait),
+      h AS (SELECT locus, seq FROM o UNION ALL SELECT locus, substr(seq, 1, n) || translate(substr(seq, n + 1, 1), 'ACGT', 'CGTA') || substr(seq, n + 2, n - 1) || 'GATTACA' || substr(seq, 2 * n + 1) FROM o)
+      SELECT locus, md5(least(seq, {V.rc('seq')})) AS seq_md5 FROM h""",
+}
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}
