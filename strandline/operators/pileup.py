@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import sequence as S
 from strandline.operators.intervals import BIN, base_at, overlap_join
@@ -22,22 +23,31 @@ def parse_cigar(cigar: Column | str) -> Column:
     return F.transform(parts, lambda p: F.struct(F.right(p, F.lit(1)).alias("op"), F.regexp_extract(p, "[0-9]+", 0).cast("int").alias("len")))
 
 
-_OP = re.compile("([0-9]+)([MIDNSHP=X])")
+_KINDS = "MIDNSHP=X"
 
 
-def _offsets(cigars: pd.Series) -> pd.DataFrame:
-    """Operations, lengths and running offsets of CIGARs as arrays; one pass over the operations of all of them."""
-    found = [_OP.findall(c) if c else [] for c in cigars]
-    ends = np.cumsum([len(f) for f in found])
-    ops = np.array([op for f in found for _, op in f], dtype=object)
-    size = np.array([int(n) for f in found for n, _ in f], dtype=np.int64)
-    out = {"op": np.split(ops, ends[:-1]), "len": np.split(size, ends[:-1])}
-    for name, moving in (("ref", ON_REF), ("read", ON_READ)):
-        step = np.where(np.isin(ops, moving), size, 0) if len(ops) else size
-        # the sum before each operation, less what came before its own CIGAR
-        before = np.concatenate([[0], np.cumsum(step)])
-        out[name] = [x - before[e - len(x)] for x, e in zip(np.split(before[:-1], ends[:-1]), ends, strict=True)]
-    return pd.DataFrame({name: pd.Series(list(x), dtype=object) for name, x in out.items()})
+def _operations(cigars: list[str | None]) -> tuple[np.ndarray, ...]:
+    """(row, number in its row, kind in _KINDS, length, offset on the reference, offset on the read) of all operations of some CIGARs.
+
+    The texts are laid one after the other, and all numbers and sums are made at once.
+    """
+    text = np.frombuffer("\n".join(["", *(c or "" for c in cigars), ""]).encode(), np.uint8)
+    signs = np.flatnonzero((text < 48) | (text > 57))
+    digits = np.flatnonzero((text >= 48) & (text <= 57))
+    after = np.searchsorted(signs, digits)
+    values = np.bincount(after, (text[digits] - 48.0) * 10.0 ** (signs[after] - 1 - digits), len(signs)).astype(np.int64)
+    kind = np.full(256, -1, np.int8)
+    kind[np.frombuffer(_KINDS.encode(), np.uint8)] = range(len(_KINDS))
+    whole = (kind[text[signs]] >= 0) & (signs > 0)
+    whole[whole] = np.isin(signs[whole] - 1, digits, assume_unique=True)
+    row = (np.cumsum(text[signs] == 10) - 1)[whole]
+    ops, size = kind[text[signs[whole]]], values[whole]
+    first = np.searchsorted(row, row)
+    offsets = []
+    for moving in (ON_REF, ON_READ):
+        before = np.concatenate([[0], np.cumsum(np.where(np.isin(ops, [_KINDS.index(m) for m in moving]), size, 0))])[:-1]
+        offsets.append(before - before[first] if len(before) else before)
+    return row, np.arange(len(row)) - first, ops, size, *offsets
 
 
 def cigar_offsets(alignments: DataFrame, key: str, cigar: str = "cigar", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -45,11 +55,20 @@ def cigar_offsets(alignments: DataFrame, key: str, cigar: str = "cigar", keep: t
 
     Running sums are made batch by batch in linear time, from the CIGAR alone; no shuffle is needed.
     """
-    arrays = F.pandas_udf(_offsets, "op array<string>, len array<int>, ref array<int>, read array<int>")
-    rows = alignments.select(key, *keep, arrays(F.col(cigar)).alias("_o"))
-    zipped = F.arrays_zip(F.col("_o.op").alias("op"), F.col("_o.len").alias("len"), F.col("_o.ref").alias("ref"), F.col("_o.read").alias("read"))
-    exploded = rows.select(key, *keep, F.posexplode(zipped).alias("i", "x"))
-    return exploded.select(key, *keep, "i", "x.op", "x.len", F.col("x.ref").alias("ref_off"), F.col("x.read").alias("read_off"))
+    names = (key, *keep)
+    fields = [f for name in names for f in alignments.schema if f.name == name]
+    more = [T.StructField(name, kind) for name, kind in (("i", T.IntegerType()), ("op", T.StringType()), *((c, T.IntegerType()) for c in ("len", "ref_off", "read_off")))]
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.array(list(_KINDS))
+        for batch in batches:
+            row, i, ops, *numbers = _operations(batch.column(len(names)).to_pylist())
+            at = pa.array(row)
+            columns = [batch.column(c).take(at) for c in range(len(names))]
+            columns += [pa.array(i.astype(np.int32)), kinds.take(pa.array(ops)), *(pa.array(n.astype(np.int32)) for n in numbers)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *(f.name for f in more)])
+
+    return alignments.select(*names, F.col(cigar).alias("_cigar")).mapInArrow(expand, T.StructType([*fields, *more]))
 
 
 def reference_length(cigar: Column | str) -> Column:

@@ -199,3 +199,23 @@ def test_overlaps_of_intervals_of_any_length(spark):
     for side, frame, key in (("a", a, "x"), ("b", b, "y")):
         spread = I._binned(I._classed(frame, I.BIN, key, side).withColumnRenamed("_class", "_level"), I.BIN, side)
         assert spread.groupBy(key).count().agg({"count": "max"}).first()[0] <= 2
+
+
+def test_operations_of_odd_cigars():
+    """All CIGARs at once as one by one, with what is no operation left out."""
+    import random
+    import re
+
+    from strandline.operators import pileup as U
+
+    rng = random.Random(3)
+    texts = [None, "", "*", "5M", "M5", "12", "3S10M2I4D1X9=", "10M*3D", "é5M7", "007M", "0M5I", *["".join(rng.choice(["5M", "12I", "3", "D", "100N", "=", "7S", "x"]) for _ in range(6)) for _ in range(200)]]
+    want = []
+    for r, text in enumerate(texts):
+        ref = read = 0
+        for i, (n, op) in enumerate(re.findall("([0-9]+)([MIDNSHP=X])", text or "")):
+            want.append((r, i, U._KINDS.index(op), int(n), ref, read))
+            ref += int(n) * (op in "MDN=X")
+            read += int(n) * (op in "MIS=X")
+    assert [tuple(map(int, x)) for x in zip(*U._operations(texts), strict=True)] == want
+    assert all(len(x) == 0 for x in U._operations([None, ""]))
