@@ -139,10 +139,34 @@ def supported_paths(edges: DataFrame, ends: DataFrame, depth: int | None = None)
     return done
 
 
-def series_parallel(edges: DataFrame, ends: DataFrame, depth: int | None = None) -> DataFrame:
-    """``src, dst, seq, reads``: supported paths between neighbours of the backbone, equal sequences merged."""
-    rows = supported_paths(edges, ends, depth).select("start", "stop", "seq", F.explode("reads").alias("r"))
-    return rows.groupBy(F.col("start").alias("src"), F.col("stop").alias("dst"), "seq").agg(F.array_sort(F.collect_set("r")).alias("reads"))
+def series_parallel(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """``src, dst, seq, reads``: what supported_paths finds between the given ends, equal sequences merged, without listing paths.
+
+    Anchors that are no end are taken out, many at a time: each edge into one is joined with each edge out of it that has
+    reads in common with it, and the two become one of their joint sequence and common reads. Those taken out in a round are
+    no neighbours: each comes first among its neighbours in an order that is drawn anew every round, so rounds grow with the
+    logarithm of the anchors, and a read adds a row for each edge it is left on. An edge never passes an anchor twice.
+    Ends do not lie within one another's paths.
+    """
+    fixed = ends.select(F.col("start").alias("node")).union(ends.select("stop")).distinct().transform(cut)
+    live = edges.select("src", "dst", "seq", F.transform("reads", lambda r: r.cast("string")).alias("reads"), F.array().cast("array<string>").alias("via")).where("src <> dst").transform(cut)
+    for turn in itertools.count():
+        inner = live.select(F.col("src").alias("node")).union(live.select("dst")).distinct().join(fixed, "node", "left_anti").transform(cut)
+        if inner.isEmpty():
+            break
+        links = live.select("src", "dst").distinct()
+        both = links.union(links.select("dst", "src")).join(inner.withColumnRenamed("node", "src"), "src", "left_semi").join(inner.withColumnRenamed("node", "dst"), "dst", "left_semi")
+        order = lambda c: F.struct(F.xxhash64(F.lit(turn), F.col(c)), F.col(c))
+        later = both.where(order("dst") < order("src")).select(F.col("src").alias("node")).distinct()
+        out = inner.join(later, "node", "left_anti").transform(cut)
+        into = live.join(out.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("dst").alias("node"), F.col("src").alias("a"), F.col("seq").alias("s"), F.col("reads").alias("r"), F.col("via").alias("v"))
+        onward = live.join(out.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("node"), F.col("dst").alias("b"), F.col("seq").alias("s2"), F.col("reads").alias("r2"), F.col("via").alias("v2"))
+        met = into.join(onward, "node").where((F.col("a") != F.col("b")) & ~F.arrays_overlap("v", "v2") & ~F.array_contains("v2", F.col("a")) & ~F.array_contains("v", F.col("b")))
+        made = met.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.concat("s", "s2").alias("seq"), F.array_intersect("r", "r2").alias("reads"), F.concat("v", F.array("node"), "v2").alias("via")).where("size(reads) > 0")
+        rest = live.join(out.withColumnRenamed("node", "dst"), "dst", "left_anti").join(out.withColumnRenamed("node", "src"), "src", "left_anti").select("src", "dst", "seq", "reads", "via")
+        live = rest.union(made).transform(cut)
+    rows = live.join(ends.select(F.col("start").alias("src"), F.col("stop").alias("dst")).distinct(), ["src", "dst"], "left_semi").select("src", "dst", "seq", F.explode("reads").alias("r"))
+    return rows.groupBy("src", "dst", "seq").agg(F.array_sort(F.collect_set("r")).alias("reads"))
 
 
 def single_sample(edges: DataFrame, choices: DataFrame, sample: str) -> DataFrame:

@@ -128,6 +128,31 @@ def test_anchors_of_two_contigs_keep_apart(spark):
     assert len(steps) == 8 and all({x[1] for x in reads_} == {(src + dst).replace("SOURCE", "").replace("SINK", "")[1]} for (src, dst), reads_ in steps.items())
 
 
+def test_series_parallel_equals_supported_paths(spark):
+    """Random anchor graphs, with cycles and reads that pass an anchor twice, against the paths themselves."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    rows, ends = [], []
+    for g in range(12):
+        spine = [f"{g}b{i}" for i in range(3)]
+        ends += list(zip(spine, spine[1:], strict=False))
+        held = {}
+        for r in range(6):
+            for x, y in zip(spine, spine[1:], strict=False):
+                walk = [x, *rng.choices([f"{x}_{i}" for i in range(4)], k=rng.randint(0, 4)), y]
+                for a, b in zip(walk, walk[1:], strict=False):
+                    held.setdefault((a, b, rng.choice(["A", "C"])), set()).add(f"{g}r{r}")
+        rows += [(a, b, f"{a[-1]}{s}{b[-1]}", sorted(x)) for (a, b, s), x in held.items()]
+    edges = spark.createDataFrame(rows, "src string, dst string, seq string, reads array<string>")
+    pairs = spark.createDataFrame(ends, "start string, stop string")
+    paths = A.supported_paths(edges, pairs).select("start", "stop", "seq", F.explode("reads").alias("r")).groupBy("start", "stop", "seq").agg(F.array_sort(F.collect_set("r")).alias("reads"))
+    want = {(r.start, r.stop, r.seq, tuple(r.reads)) for r in paths.collect()}
+    assert {(r.src, r.dst, r.seq, tuple(r.reads)) for r in A.series_parallel(edges, pairs).collect()} == want and len(want) > 60
+
+
 def test_clusters(spark):
     rows = [("g", f"r{i}", f"v{i % 2}{j}") for i in range(8) for j in range(3)] + [("g", "odd", "x")]
     variants = spark.createDataFrame(rows, "g string, read string, v string")
