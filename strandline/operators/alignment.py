@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
+from strandline.operators.intervals import overlap_join
 from strandline.operators.kmers import windows_of
 from strandline.operators.lineage import cut
+from strandline.operators.pileup import reference_length
 
 #: Lengths of the words that are chained, the shorter ones between the longer ones.
 WORDS = (21, 13, 8)
@@ -229,3 +231,17 @@ def consensus(reads: DataFrame, group: list[str], key: str, rounds: int = 16) ->
     counts = rows.groupBy(*group, "place", "shown").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy(*group, "place").agg(F.min(F.struct((-F.col("n")).alias("m"), F.col("shown").alias("s")))["s"].alias("s"))
     return best.groupBy(*group).agg(S.ordered_concat("place", S.ungapped("s")).alias("seq"))
+
+
+def locus_consensus(alignments: DataFrame, loci: DataFrame, key: str, locus: str) -> DataFrame:
+    """``locus, seq``: the consensus (see consensus) of all whole reads that overlap each locus.
+
+    ``alignments`` (``key, contig, pos, cigar, seq``) hold reads on the reference's strand, as alignment files do; rows without
+    sequence (secondary ones) do not count, and a read of several alignments counts once a locus. ``loci`` have ``locus,
+    contig, start, stop``. A locus without reads gives no row.
+    """
+    stop = F.col("pos") + reference_length("cigar")
+    spans = alignments.where("contig is not null and seq is not null").select("contig", key, F.col("pos").alias("start"), stop.alias("stop"))
+    met = overlap_join(spans, loci, key, locus).select(locus, key).distinct()
+    longest = alignments.where("seq is not null").groupBy(key).agg(F.max_by("seq", F.struct(F.length("seq"), F.col("seq"))).alias("seq"))
+    return consensus(met.join(longest, key).select(locus, key, "seq").transform(cut), [locus], key)

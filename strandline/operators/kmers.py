@@ -184,8 +184,8 @@ def screen(reads: DataFrame, bait: DataFrame, k: int, percent: float, key: str,
     """``key, hits, length`` of reads whose bait k-mers, over the compressed read's length, exceed ``percent``.
 
     Occurrences count. The bait is a set; one of at most BAIT k-mers of PACKED bases or fewer is broadcast as numbers and
-    met where the reads lie, another one is joined. ``keep`` is a further predicate on ``hits`` and ``length``. A read of
-    length 0 has no k-mers and is out.
+    met where the reads lie, another one is joined. ``keep`` is a further predicate on ``hits``, ``length`` and the columns
+    of ``reads``. A read of length 0 has no k-mers and is out.
     """
     wanted = compressed_kmers(bait, k, (), "seq").select("cn_kmer").distinct()
     kind = dict(reads.dtypes)[key]
@@ -206,7 +206,7 @@ def screen(reads: DataFrame, bait: DataFrame, k: int, percent: float, key: str,
     hits = rest if hits is None else hits.union(rest)
     sums = hits.groupBy(key).agg(F.sum("hits").alias("hits"), F.max("length").alias("length"))
     out = sums.where(F.col("hits") / F.col("length") > percent / 100.0)
-    return out if keep is None else out.where(keep)
+    return out if keep is None else out.join(reads.drop("hits", "length"), key).where(keep).select(key, "hits", "length")
 
 
 def recruit_distinct(short: DataFrame, long_: DataFrame, k: int, key: str, window: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:

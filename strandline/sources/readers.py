@@ -205,6 +205,27 @@ def keep_order(rows: DataFrame, order: str) -> DataFrame:
     return numbered(rows, [order], "ord")
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: str, right_order: str) -> DataFrame:
+    """Rows of two sources side by side, the first of each with the first and so on, as ``ord`` and columns with ``from_`` and ``to_`` before their names.
+
+    As many as the shorter one has. Places come from range partitions, so neither source passes through one task.
+    """
+    a, b = keep_order(left, left_order), keep_order(right, right_order)
+    named = lambda rows, source, mark: rows.select("ord", *[F.col(c).alias(f"{mark}_{c}") for c in source.columns if c != "ord"])
+    return named(a, left, "from").join(named(b, right, "to"), "ord")
+
+
+def concatenated(parts: dict[str, DataFrame], source: str = "source") -> DataFrame:
+    """All rows of several tables, by column name (null where a table lacks one), with ``source``, the table's name."""
+    out = None
+    for name, rows in parts.items():
+        part = rows.withColumn(source, F.lit(name))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("nothing to concatenate")
+    return out
+
+
 def read_groups(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """``rg, sample`` of the read groups in the headers of SAM text."""
     lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).where("value like '@RG%'")

@@ -197,3 +197,17 @@ def test_two_haplotypes_of_two_loci(spark):
     for r in C.co_assemble(longs, shorts, K_SIZE, "id", threshold=None, least=100).collect():
         got.setdefault(r.locus, []).append(min(r.seq, _flip(r.seq)))
     assert {x: sorted(y) for x, y in got.items()} == {x: sorted(min(s, _flip(s)) for s in y) for x, y in truth.items()}
+
+
+def test_consensus_of_reads_over_loci(spark):
+    g = _genome(16, 700)
+    rng = random.Random(16)
+    rows = []
+    for i, (a, z) in enumerate([(0, 300), (20, 320), (10, 310), (350, 690), (360, 700), (340, 680), (400, 700)]):
+        s = _put(g[a:z], rng.randint(60, z - a - 60))
+        rows.append((f"r{i}", "c", a, f"{z - a}M", s))
+    rows += [("r0", "c", 500, "300M", None), ("far", "d", 0, "200M", _genome(17, 200)), ("un", None, None, None, "ACGT")]
+    aln = spark.createDataFrame(rows, "qname string, contig string, pos long, cigar string, seq string")
+    loci = spark.createDataFrame([("one", "c", 100, 150), ("two", "c", 450, 460), ("none", "e", 0, 9)], "name string, contig string, start long, stop long")
+    got = {r.name: r.seq for r in L.locus_consensus(aln, loci, "qname", "name").collect()}
+    assert got == {"one": g[:320], "two": g[340:700]}

@@ -186,6 +186,8 @@ def test_screens_by_number_and_by_join_agree(spark, monkeypatch):
     monkeypatch.setattr(K, "BAIT", 10)
     assert got == {(r.id, r.hits, r.length) for r in K.screen(reads, bait, 7, 30.0, "id").collect()} and len(got) >= 8
     assert 91 in {x[0] for x in got}
+    kept = K.screen(reads.withColumn("lane", F.col("id") % 2), bait, 7, 30.0, "id", keep=(F.col("lane") == 0) & (F.col("hits") > 1)).collect()
+    assert {r.id for r in kept} == {x[0] for x in got if x[0] % 2 == 0 and x[1] > 1}
 
 
 def _dust(s, window=64, limit=2.0):

@@ -77,3 +77,22 @@ def test_variants_and_matrix(spark, tmp_path):
     cells = spark.createDataFrame([(1, 5, 0, 7), (2, 6, 1, 3)], "read int, site int, allele int, weight int")
     W.matrix(cells, f"{tmp_path}/m", [5, 6])
     assert sorted(tuple(r) for r in R.tsv(spark, f"{tmp_path}/m").collect()) == [("1", "0,7", "-,1"), ("2", "-,1", "1,3")]
+
+
+def test_rows_side_by_side_and_one_after_another(spark):
+    left = spark.createDataFrame([("c", 5), ("a", 3), ("b", 4)], "name string, at int")
+    right = spark.createDataFrame([(9, "x"), (7, "y")], "at int, name string")
+    got = {tuple(r) for r in R.zipped(left, right, "at", "at").select("ord", "from_name", "from_at", "to_name", "to_at").collect()}
+    assert got == {(0, "a", 3, "y", 7), (1, "b", 4, "x", 9)}
+    assert R.zipped(left, right.limit(0), "at", "at").count() == 0
+    both = R.concatenated({"l": left, "r": right.drop("at")})
+    assert {tuple(r) for r in both.select("name", "at", "source").collect()} == {("c", 5, "l"), ("a", 3, "l"), ("b", 4, "l"), ("x", None, "r"), ("y", None, "r")}
+
+
+def test_unaligned_reads_and_read_groups(spark, tmp_path):
+    (tmp_path / "a.sam").write_text("@RG\tID:g\tSM:s1\n@RG\tID:h\n@SQ\tSN:c\tLN:9\nr1\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\tRG:Z:g\nr2\t0\tc\t1\t9\t2M\t*\t0\t0\tGG\tII\n")
+    assert [tuple(r) for r in R.read_groups(spark, f"{tmp_path}/a.sam").collect()] == [("g", "s1")]
+    rows = R.sam(spark, f"{tmp_path}/a.sam").selectExpr("*", "'s1' as sample")
+    assert [(r.seq, r.qual) for r in R.unaligned(rows).collect()] == [("AC", "II")]
+    both = R.keep_order(rows, "qname").collect()
+    assert {(r.qname, r.ord) for r in both} == {("r1", 0), ("r2", 1)}
