@@ -123,14 +123,21 @@ def aligned_bases(alignments: DataFrame, key: str, legacy_insertion: bool = Fals
     ops = cigar_offsets(alignments, key, keep=("contig", "pos", "seq", "qual"))
     w = Window.partitionBy(key).orderBy("i")
     after = ops.withColumn("_op2", F.lead("op").over(w)).withColumn("_len2", F.lead("len").over(w))
-    rows = after.where(F.col("op").isin("M", "=", "X")).select("*", F.explode(F.sequence(F.lit(0), F.col("len") - 1)).alias("j"))
-    last = (F.col("j") == F.col("len") - 1) & (F.col("_op2") == "I")
-    n = F.when(last, F.col("_len2") + (0 if legacy_insertion else 1)).otherwise(1)
-    at = F.col("read_off") + F.col("j") + 1
-    bases, quals = F.substring("seq", at, n), F.substring("qual", at, n)
-    if legacy_insertion:
-        bases, quals = (F.when(last, F.concat(F.substring(c, at, F.lit(1)), b)).otherwise(b) for c, b in (("seq", bases), ("qual", quals)))
-    return rows.select(key, "contig", (F.col("pos") + F.col("ref_off") + F.col("j")).alias("pos"), bases.alias("bases"), quals.alias("quals"))
+    rows = after.where(F.col("op").isin("M", "=", "X") & (F.col("len") > 0))
+    # each operation's part is taken out of the read once and cut into its bases, so a read of any length costs linear time
+    at = F.col("read_off") + 1
+    none = F.array().cast("array<string>")
+    parts = [F.substring(c, at, F.col("len")) for c in ("seq", "qual")]
+    zipped = F.arrays_zip(F.split(parts[0], "").alias("b"), F.coalesce(F.split(parts[1], ""), none).alias("q"))
+    extra = [F.when(F.col("_op2") == "I", F.substring(c, at + F.col("len"), F.col("_len2"))).otherwise("") for c in ("seq", "qual")]
+    spots = rows.select(key, "contig", "pos", "ref_off", "len", "_len2", extra[0].alias("_b"), extra[1].alias("_q"), F.posexplode(zipped).alias("j", "x"))
+    last = (F.col("j") == F.col("len") - 1) & (F.col("_b") != "")
+
+    def shown(own: str, more: str) -> Column:
+        whole = F.concat(own, more)
+        return F.when(last, F.concat(own, F.substring(whole, F.lit(1), F.col("_len2"))) if legacy_insertion else whole).otherwise(F.col(own))
+
+    return spots.select(key, "contig", (F.col("pos") + F.col("ref_off") + F.col("j")).alias("pos"), shown("x.b", "_b").alias("bases"), shown("x.q", "_q").alias("quals"))
 
 
 def assemble_pileup(bases: DataFrame, loci: DataFrame, key: str, locus: str, bin_size: int = BIN) -> DataFrame:
