@@ -7,9 +7,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.lineage import cut, numbered
+
 #: Most reads of a window (states are its subsets), sites of a window, and step between windows.
 READS, SITES, STRIDE = 12, 60, 15
 LIMIT = 15
+#: Earlier windows that may share sites with one, up to which all their turns are worked out for a block.
+BITS = 8
 
 
 def partition_costs(alleles: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -107,11 +111,16 @@ def site_windows(cells: DataFrame, length: int = SITES, stride: int = STRIDE) ->
 
 
 def windowed_cells(cells: DataFrame, length: int = SITES, stride: int = STRIDE) -> DataFrame:
-    """Cells with ``window`` and ``rank``, the number of their site in the locus; a cell is in each window over it."""
-    sites = cells.select("locus", "site").distinct()
-    ranked = sites.withColumn("rank", F.row_number().over(Window.partitionBy("locus").orderBy("site")) - 1)
-    wins = site_windows(cells, length, stride)
-    return cells.join(ranked, ["locus", "site"]).join(wins, "locus").where("rank >= first and rank < last").drop("first", "last")
+    """Cells with ``window`` and ``rank``, the number of their site in the locus; a cell is in each window over it.
+
+    Ranks come from range partitions and windows from the rank alone, so a locus of any number of sites spreads over tasks.
+    """
+    placed = numbered(cells.select("locus", "site").distinct(), ["locus", "site"], "_n")
+    size = placed.groupBy("locus").agg(F.min("_n").alias("_from"), F.count(F.lit(1)).alias("_sites"))
+    ranked = placed.join(size, "locus").select("locus", "site", (F.col("_n") - F.col("_from")).alias("rank"), "_sites")
+    first = F.greatest(F.floor((F.col("rank") - length) / stride) + 1, F.lit(0))
+    last = F.least(F.floor(F.col("rank") / stride), F.greatest(F.ceil((F.col("_sites") - length) / stride), F.lit(0)))
+    return cells.join(ranked, ["locus", "site"]).where(first <= last).withColumn("window", F.explode(F.sequence(first.cast("int"), last.cast("int")))).drop("_sites")
 
 
 def best_reads(windowed: DataFrame, n: int = READS) -> DataFrame:
@@ -126,7 +135,7 @@ def best_reads(windowed: DataFrame, n: int = READS) -> DataFrame:
 def phase_windows(cells: DataFrame, length: int = SITES, stride: int = STRIDE, reads: int = READS) -> DataFrame:
     """``locus, site, h1, h2``: windows of the best reads are solved on their own, then stitched in order.
 
-    Each window is turned so that it agrees with the sites stitched before it, and adds the sites after them.
+    Each window is turned so that it agrees with the sites stitched before it (ties: as it is), and adds the sites after them.
     """
     kind = dict(cells.dtypes)["locus"]
     win = windowed_cells(cells, length, stride)
@@ -135,23 +144,74 @@ def phase_windows(cells: DataFrame, length: int = SITES, stride: int = STRIDE, r
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         matrix, weights, _, sites = _dense(frame)
         _, h1, h2, _ = solve(matrix, weights)
-        return pd.DataFrame({"locus": frame["locus"].iat[0], "window": frame["window"].iat[0], "site": sites, "h1": h1, "h2": h2})
-
-    solved = chosen.select("locus", "window", "read", "site", "allele", "weight").groupBy("locus", "window").applyInPandas(run, f"locus {kind}, window int, site long, h1 int, h2 int")
-
-    def stitch(frame: pd.DataFrame) -> pd.DataFrame:
-        tail: dict[int, int] = {}
-        for _, part in frame.sort_values(["window", "site"]).groupby("window"):
-            shared = [(tail[s], a) for s, a in zip(part["site"], part["h1"], strict=True) if s in tail]
-            same = sum(x == y for x, y in shared)
-            turn = same < len(shared) - same
-            for s, a in zip(part["site"], part["h1"], strict=True):
-                tail.setdefault(s, 1 - a if turn else a)
-        sites = sorted(tail)
-        h1 = np.array([tail[s] for s in sites], dtype=int)
-        return pd.DataFrame({"locus": frame["locus"].iat[0], "site": sites, "h1": h1, "h2": 1 - h1})
-
-    return solved.groupBy("locus").applyInPandas(stitch, f"locus {kind}, site long, h1 int, h2 int")
+        return pd.DataFrame({"locus": frame["locus"].iat[0], "window": frame["window"].iat[0], "site": sites, "h1": h1})
+
+    solved = cut(chosen.select("locus", "window", "read", "site", "allele", "weight").groupBy("locus", "window").applyInPandas(run, f"locus {kind}, window int, site long, h1 int"))
+    return stitch(solved, -(-length // stride) - 1)
+
+
+def stitch(solved: DataFrame, reach: int, block: int = 1024) -> DataFrame:
+    """``locus, site, h1, h2`` of solved windows ``locus, window, site, h1``; a site takes the first window that has it.
+
+    Windows that share a site are at most ``reach`` apart. A window is turned where it disagrees with more than half of
+    the sites that earlier windows gave, as these were turned themselves. So its turn depends on the turns of the
+    ``reach`` windows before it, and on how far it agrees with each, one number a pair. A block of windows thus maps
+    every state (those turns) to one state; blocks are worked on apart, one fold over their maps gives the state
+    each starts with, and they are gone through again from there. With a reach over BITS a locus is one block.
+    """
+    kind = dict(solved.dtypes)["locus"]
+    given = solved.groupBy("locus", "site").agg(F.min(F.struct("window", "h1")).alias("g")).select("locus", "site", F.col("g.window").alias("given"), F.col("g.h1").alias("value"))
+    agree = F.sum(F.when(F.col("h1") == F.col("value"), 1).otherwise(-1))
+    pairs = solved.join(given, ["locus", "site"]).where("given < window").groupBy("locus", "window", "given").agg(agree.alias("agree"))
+    number = F.floor(F.col("window") / block) if reach <= BITS else F.lit(0).cast("long")
+    blocks = cut(pairs.select("locus", number.alias("block"), "window", (F.col("window") - F.col("given") - 1).cast("int").alias("back"), "agree"))
+
+    def turned(states: np.ndarray, back: np.ndarray, agree: np.ndarray) -> np.ndarray:
+        """The turn of a window in each state: bit i is the turn of the window i + 1 before it."""
+        return ((1 - 2 * (states[:, None] >> back[None, :] & 1)) @ agree < 0).astype(np.int64)
+
+    def shifted(states: np.ndarray, by: int) -> np.ndarray:
+        """States ``by`` windows on; windows between that join with none are not turned."""
+        return states << by & (1 << reach) - 1 if by < reach else np.zeros_like(states)
+
+    def through(frame: pd.DataFrame, states: np.ndarray) -> tuple[list, np.ndarray]:
+        """(turned windows, of the first state; states at the end of the block)."""
+        at, found = int(frame["block"].iat[0]) * block, []
+        for window, part in frame.sort_values("window").groupby("window", sort=False):
+            states = shifted(states, int(window) - at)
+            turn = turned(states, part["back"].to_numpy(), part["agree"].to_numpy())
+            states = shifted(states, 1) | turn
+            at = int(window) + 1
+            if turn[0]:
+                found.append(int(window))
+        return found, shifted(states, (int(frame["block"].iat[0]) + 1) * block - at)
+
+    def mapped(frame: pd.DataFrame) -> pd.DataFrame:
+        _, ends = through(frame, np.arange(1 << reach))
+        return pd.DataFrame({"locus": frame["locus"].iloc[:1], "block": frame["block"].iloc[:1], "ends": [ends.tolist()]})
+
+    def folded(frame: pd.DataFrame) -> pd.DataFrame:
+        frame, state, starts, after = frame.sort_values("block"), 0, [], 0
+        for number, ends in zip(frame["block"], frame["ends"], strict=True):
+            # blocks that are missing between turn nothing
+            state = int(shifted(np.array([state]), (number - after) * block)[0])
+            starts.append(state)
+            state, after = int(ends[state]), number + 1
+        return frame[["locus", "block"]].assign(start=starts)
+
+    def gone_through(frame: pd.DataFrame) -> pd.DataFrame:
+        found, _ = through(frame, np.array([frame["start"].iat[0]], dtype=np.int64))
+        return pd.DataFrame({"locus": frame["locus"].iat[0], "given": found})
+
+    if reach <= BITS:
+        maps = blocks.groupBy("locus", "block").applyInPandas(mapped, f"locus {kind}, block long, ends array<long>")
+        starts = maps.groupBy("locus").applyInPandas(folded, f"locus {kind}, block long, start long")
+        ready = blocks.join(starts, ["locus", "block"])
+    else:
+        ready = blocks.withColumn("start", F.lit(0).cast("long"))
+    turns = ready.groupBy("locus", "block").applyInPandas(gone_through, f"locus {kind}, given int").withColumn("turn", F.lit(1))
+    h1 = F.col("value").bitwiseXOR(F.coalesce("turn", F.lit(0)))
+    return given.join(turns, ["locus", "given"], "left").select("locus", "site", h1.alias("h1"), (1 - h1).alias("h2"))
 
 
 def assign_reads(cells: DataFrame, haplotypes: DataFrame) -> DataFrame:
