@@ -54,23 +54,35 @@ _CHROME_WORDS = frozenset(
 )
 #: Words that make a class or id a layout name instead (as in "has-sidebar").
 _LAYOUT_WORDS = frozenset("has with no without layout page wrapper wrap container body".split())
+#: Words that may stand beside those in a name that rules out a part of an article or main element.
+_SHAPE_WORDS = frozenset("area bar block box button buttons col form group inner item items left link links list outer panel right section slot top bottom unit post posts articles stories".split())
 _CONTENT_WORDS = frozenset("content article post entry story articlebody main".split())
 
 
 class Block(NamedTuple):
-    """A text block, whether structure rules it out, and how strongly the page marks it as article (0 to 3)."""
+    """A text block, whether structure rules it out, and how strongly the page marks it as article (0 to 3).
+
+    ``region`` is the outermost element around it that says it is an article or main one: its number from 1 (0: none)
+    and its own mark.
+    """
 
     text: str
     chrome: bool
     mark: int
+    region: tuple[int, int] = (0, 0)
 
 
 def _judge(name: str, attrs: str, inside: bool) -> tuple[bool, int]:
-    """(rules out, mark) of an element. ``inside``: within a marked article, whose own header is part of it."""
+    """(rules out, mark) of an element. ``inside``: within an article or main element, whose own header is part of it.
+
+    There a class or id rules out only if one of its names has no words but those of chrome and of shape: "related-posts"
+    does, "related-work" and "share-of-market" do not.
+    """
     mark = 3 if name == "article" else 2 if name == "main" else 0
     chrome = name in _CHROME or (name == "header" and not inside)
     if attrs and name not in ("html", "body"):
         words: set[str] = set()
+        plain = False
         for key, a, b, c in _ATTR.findall(attrs):
             value = (a or b or c).lower()
             key = key.lower()
@@ -82,8 +94,11 @@ def _judge(name: str, attrs: str, inside: bool) -> tuple[bool, int]:
             elif key == "aria-hidden":
                 chrome |= value == "true" and name not in _INLINE
             elif key in ("class", "id"):
-                words.update(w for w in re.split(r"[^a-z0-9]+", value) if w)
-        if words & _CHROME_WORDS and not words & _LAYOUT_WORDS:
+                for one in value.split():
+                    own = {w for w in re.split(r"[^a-z0-9]+", one) if w}
+                    plain |= bool(own & _CHROME_WORDS) and all(w in _CHROME_WORDS or w in _SHAPE_WORDS or w.isdigit() for w in own)
+                    words |= own
+        if words & _CHROME_WORDS and not words & _LAYOUT_WORDS and (plain or not inside):
             chrome = True
         elif not chrome and name in ("div", "section", "td") and words & _CONTENT_WORDS:
             mark = max(mark, 1)
@@ -95,8 +110,10 @@ def blocks_of(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, int]] = []
-    state = (False, 0)
+    none = (False, 0, (0, 0))
+    stack: list[tuple[str, bool, int, tuple[int, int]]] = []
+    state = none
+    regions = 0
 
     def flush() -> None:
         if parts:
@@ -117,10 +134,10 @@ def blocks_of(page: str | None) -> list[Block]:
             elif stack[i][0] in limit:
                 break
         if last is not None:
-            if stack[-1][1:] != (stack[last - 1][1:] if last else (False, 0)):
+            if stack[-1][1:] != (stack[last - 1][1:] if last else none):
                 flush()
             del stack[last:]
-            state = stack[-1][1:] if stack else (False, 0)
+            state = stack[-1][1:] if stack else none
 
     at = 0
     endless: set[str] = set()
@@ -159,11 +176,16 @@ def blocks_of(page: str | None) -> list[Block]:
             close(*_ENDS[name], False)
         if name not in _VOID:
             chrome, mark = _judge(name, attrs, state[1] > 1)
-            new = (state[0] or chrome, max(state[1], 0 if name in _LOOSE else mark))
+            mark = 0 if name in _LOOSE else mark
+            region = state[2]
+            if mark > 1 and not region[0]:
+                region = (regions + 1, mark)
+            new = (state[0] or chrome, max(state[1], mark), region)
             if new != state:
                 flush()
             if attrs.endswith("/") and name not in ("div", "span", "p", "a"):
                 continue
+            regions = max(regions, region[0])
             stack.append((name, *new))
             state = new
     if at < len(page):
@@ -173,15 +195,22 @@ def blocks_of(page: str | None) -> list[Block]:
 
 
 def settle(blocks: list[Block], shared: set[int]) -> str:
-    """The main text: of the blocks that structure allows, those of the strongest mark that no near page shares.
+    """The main text: of the blocks that structure allows, those of the marked elements that no near page shares.
 
-    ``shared`` has numbers among the blocks that structure allows. An element that says it is the article (mark 3) guards
-    its blocks: they stay, shared or not, as articles quote each other. Main elements, content divisions and pages
-    without a mark hold template lines too, so there shared blocks are deleted.
+    ``shared`` has numbers among the blocks that structure allows. Main elements with all in them, or the articles
+    outside of them, are taken, whichever have more text (equal: main elements); on pages with neither, the blocks of
+    content divisions, else all. An article guards its blocks: they stay, shared or not, as articles quote each other.
+    Elsewhere template lines may stand, so there shared blocks are deleted.
     """
     open_ = [b for b in blocks if not b.chrome]
-    top = max((b.mark for b in open_), default=0)
-    return "\n".join(b.text for i, b in enumerate(open_) if b.mark == top and (top == 3 or i not in shared))
+    if any(b.region[0] for b in open_):
+        size = {kind: sum(len(b.text) for b in open_ if b.region[0] and (b.region[1] == 3) == kind) for kind in (True, False)}
+        outside = size[True] > size[False]
+        taken = [bool(b.region[0]) and (b.region[1] == 3) == outside for b in open_]
+    else:
+        top = max((b.mark for b in open_), default=0)
+        taken = [b.mark == top for b in open_]
+    return "\n".join(b.text for i, (b, use) in enumerate(zip(open_, taken, strict=True)) if use and (b.mark == 3 or i not in shared))
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:
@@ -310,8 +339,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """``pages`` (``page_id, url, html``) as ``page_id, url, text, n_chars``, one row each.
 
     Structure decides first: scripts, styles, menus, headers, footers, sidebars, forms, and whatever class, id or role
-    name as adverts, notices, comments and the like, are out; of the rest, the most strongly marked part stays
-    (article, then main, then a content division). Every page is aligned with the nearest different page of its host by
+    name as adverts, notices, comments and the like, are out; of the rest, main elements or the articles outside of them
+    stay, whichever have more text, or else content divisions, or else all. Every page is aligned with the nearest different page of its host by
     longest common subsequence of lines, and shared lines are deleted unless an article element guards them. Blocks are
     joined by newlines.
     Null html is empty and gives an empty text; a null or hostless url has no neighbours; repeated rows are

@@ -213,3 +213,28 @@ def test_overlapping_secrets_take_one_mark(spark):
             at = max(at, s.end)
         assert rows[i].clean == (text if text is None else out + text[at:])
     assert rows[1].clean == "[secret] end" and rows[3].clean == "é" * 5000 + "[secret] " + "ü" * 9000 + " [secret] tail"
+
+
+def test_articles_and_main_elements_together():
+    def text(page, shared=()):
+        return html_text.settle(html_text.blocks_of(page), set(shared))
+
+    assert text("<main><p>lead<article>boxed card</article><p>body</main>") == "lead\nboxed card\nbody"
+    assert text("<main><p>lead<article>boxed card</article><p>body</main>", (0, 1)) == "boxed card\nbody"
+    assert text("<article>teaser</article><main><h1>title</h1><p>the whole text</main><article>next</article>") == "title\nthe whole text"
+    assert text("<main>find</main><article>first half</article><p>between</p><article>second half</article>") == "first half\nsecond half"
+    assert text("<article><p>outer<main>inner</main></article><p>more") == "outer\ninner"
+    assert text("<article><p>outer<article>card</article><p>end</article><p>more") == "outer\ncard\nend"
+    assert text("<main></main><article>here</article>") == "here" and text("<article></article><p>here") == "here"
+
+
+def test_class_names_inside_an_article():
+    def text(page):
+        return html_text.settle(html_text.blocks_of(page), set())
+
+    for name in ("related-work", "search-results-note", "share-of-market", "menu-planning", "ad-hoc", "notice-period social-history"):
+        for kind in ("class", "id"):
+            assert text(f"<article><p>one</p><section {kind}='{name}'>two</section></article>") == "one\ntwo"
+    for name in ("related-posts", "comments", "ad", "ad-slot-3", "share-buttons", "lead sidebar", "cookie_notice", "newsletter-signup-form"):
+        assert text(f"<article><p>one</p><section class='{name}'>two</section></article>") == "one"
+    assert text("<p>one</p><div class='site-footer'>two</div>") == "one"
