@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,18 +135,80 @@ def sequences(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def sam(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     """Alignments of SAM text: named fields, 0-based ``pos``, flag columns and ``tags``."""
+    return _alignments(spark.read.text(paths if isinstance(paths, str) else list(paths)))
+
+
+def _alignments(lines: DataFrame, *kept: str) -> DataFrame:
+    """Alignments of the lines (``value``) of SAM text, with the columns ``kept``.
+
+    Fields are null where there is none or no number: Spark may work out those of a filter before it drops the headers.
+    """
     f = F.split("value", "\t")
-    rows = spark.read.text(paths if isinstance(paths, str) else list(paths)).where("value not like '@%' and value <> ''").select(f.alias("f"))
+    rows = lines.where("value not like '@%' and value <> ''").select(f.alias("f"), *kept)
     tag = F.transform(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("k"), F.substring(t, F.lit(6), F.length(t)).alias("v")))
-    flag = F.col("f")[1].cast("int")
+    flag = F.get("f", F.lit(1)).try_cast("int")
     has = lambda bit: flag.bitwiseAND(F.lit(bit)) != 0
-    star = lambda i: F.when(F.col("f")[i] != "*", F.col("f")[i])
+    star = lambda i: F.when(F.get("f", F.lit(i)) != "*", F.get("f", F.lit(i)))
     return rows.select(
-        F.col("f")[0].alias("qname"), flag.alias("flag"), star(2).alias("contig"), (F.col("f")[3].cast("long") - 1).alias("pos"), F.col("f")[4].cast("int").alias("mapq"), star(5).alias("cigar"),
-        star(9).alias("seq"), star(10).alias("qual"), has(16).alias("is_reverse"), has(256).alias("is_secondary"), has(2048).alias("is_supplementary"), F.map_from_entries(tag).alias("tags"),
+        F.get("f", F.lit(0)).alias("qname"), flag.alias("flag"), star(2).alias("contig"), (F.get("f", F.lit(3)).try_cast("long") - 1).alias("pos"), F.get("f", F.lit(4)).try_cast("int").alias("mapq"), star(5).alias("cigar"),
+        star(9).alias("seq"), star(10).alias("qual"), has(16).alias("is_reverse"), has(256).alias("is_secondary"), has(2048).alias("is_supplementary"), F.map_from_entries(tag).alias("tags"), *kept,
     )
 
 
+def alignment_index(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
+    """``path, block, length, contig, first, stop, reads``: what each block of SAM text holds of each contig.
+
+    Blocks are those that Spark reads the files in (``spark.sql.files.maxPartitionBytes``); ``first`` is the least ``pos`` of
+    their alignments there and ``stop`` the greatest end. One pass; write the table beside the files, and regions of them
+    need no other. Files need not be sorted, but only of sorted ones a region has few blocks.
+    """
+    text = spark.read.text(paths if isinstance(paths, str) else list(paths))
+    place = F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("_metadata.file_block_length").alias("length")
+    rows = _alignments(text.select("value", *place), "path", "block", "length")
+    end = F.col("pos") + reference_length("cigar")
+    return rows.groupBy("path", "block", "length", "contig").agg(F.min("pos").alias("first"), F.max(end).alias("stop"), F.count(F.lit(1)).alias("reads"))
+
+
+def _block_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines that start after the first byte of a block (of a file's first one: with it) and not beyond the byte after its last."""
+    for batch in batches:
+        for path, block, length in batch[["path", "block", "length"]].itertuples(index=False):
+            files, place = pyarrow.fs.FileSystem.from_uri(path)
+            packed = re.search(r"\.(gz|bz2|zst|lz4)$", place) is not None
+            with files.open_input_stream(place) if packed else files.open_input_file(place) as raw:
+                if block:
+                    raw.seek(block)
+                lines, at, found = io.BufferedReader(raw, 1 << 20), block, []
+                if block:
+                    at += len(lines.readline())
+                while packed or at <= block + length:
+                    line = lines.readline()
+                    if not line:
+                        break
+                    at += len(line)
+                    found.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+                    if len(found) == 10_000:
+                        yield pd.DataFrame({"value": found})
+                        found = []
+                yield pd.DataFrame({"value": found}, dtype="object")
+
+
+def indexed_region(index: DataFrame, contig: str | None = None, start: int | None = None, stop: int | None = None, unmapped: bool = False) -> DataFrame:
+    """What ``region`` gives of the alignments that ``index`` (``alignment_index``) describes, from the blocks that can hold it.
+
+    The index says which blocks have an alignment of the contig that may overlap; only these are opened, at their
+    place, one task a block. Compressed files are one block each. Files must be as they were indexed.
+    """
+    held = index if contig is None and not unmapped else index.where(F.col("contig").isNull() if unmapped else F.col("contig") == contig)
+    if stop is not None and not unmapped:
+        held = held.where(F.col("first") < stop)
+    if start is not None and not unmapped:
+        held = held.where(F.col("stop") > start)
+    blocks = held.select("path", "block", "length").distinct()
+    lines = blocks.repartition(max(1, blocks.count())).mapInPandas(_block_lines, "value string")
+    return region(_alignments(lines), contig, start, stop, unmapped)
+
+
 def region(alignments: DataFrame, contig: str | None = None, start: int | None = None, stop: int | None = None, unmapped: bool = False) -> DataFrame:
     """Alignments that overlap a region, those of a contig, all, or those without a place.
 
@@ -171,16 +235,16 @@ def vcf(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
     f = F.split("value", "\t")
     rows = spark.read.text(paths if isinstance(paths, str) else list(paths)).withColumn("path", F.input_file_name()).where("value not like '#%' and value <> ''").select(f.alias("f"), "path")
     return rows.select(
-        F.col("f")[0].alias("contig"), (F.col("f")[1].cast("long") - 1).alias("pos"), F.col("f")[2].alias("id"), F.col("f")[3].alias("ref"), F.split(F.col("f")[4], ",").alias("alts"), F.col("f")[5].alias("qual"),
-        F.col("f")[6].alias("filter"), F.col("f")[7].alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", F.lit(10), F.greatest(F.size("f") - 9, F.lit(0))).alias("samples"), "path",
+        F.get("f", F.lit(0)).alias("contig"), (F.get("f", F.lit(1)).try_cast("long") - 1).alias("pos"), F.get("f", F.lit(2)).alias("id"), F.get("f", F.lit(3)).alias("ref"), F.split(F.get("f", F.lit(4)), ",").alias("alts"), F.get("f", F.lit(5)).alias("qual"),
+        F.get("f", F.lit(6)).alias("filter"), F.get("f", F.lit(7)).alias("info"), F.get("f", F.lit(8)).alias("format"), F.slice("f", F.lit(10), F.greatest(F.size("f") - 9, F.lit(0))).alias("samples"), "path",
     )
 
 
 def gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(nodes ``id, seq``, edges ``src, dst, weight``) of a GFA file; short links are skipped, the default weight is 1."""
     rows = spark.read.text(path).select(F.split("value", "\t").alias("f"))
-    nodes = rows.where("f[0] = 'S'").select(F.col("f")[1].alias("id"), F.col("f")[2].alias("seq"))
-    links = rows.where("f[0] = 'L' and size(f) >= 6").select(F.col("f")[1].alias("src"), F.col("f")[3].alias("dst"), F.coalesce(F.regexp_extract(F.array_join("f", " "), r"RC:[if]:([0-9.]+)", 1).try_cast("double"), F.lit(1.0)).alias("weight"))
+    nodes = rows.where("f[0] = 'S'").select(F.get("f", F.lit(1)).alias("id"), F.get("f", F.lit(2)).alias("seq"))
+    links = rows.where("f[0] = 'L' and size(f) >= 6").select(F.get("f", F.lit(1)).alias("src"), F.get("f", F.lit(3)).alias("dst"), F.coalesce(F.regexp_extract(F.array_join("f", " "), r"RC:[if]:([0-9.]+)", 1).try_cast("double"), F.lit(1.0)).alias("weight"))
     known = nodes.select("id")
     return nodes, links.join(known.withColumnRenamed("id", "src"), "src", "left_semi").join(known.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst", "weight")
 
@@ -191,7 +255,7 @@ _NOTE = "struct<src:string,dst:string,pos:bigint,reads:array<string>,samples:arr
 def annotated_gfa(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(anchors ``name, seq, pos``, edges ``name, seq, src, dst, reads, samples``) of a GFA with JSON notes (``PG:J:``)."""
     rows = spark.read.text(path).where("value like 'S\\t%'").select(F.split("value", "\t").alias("f"), F.from_json(F.regexp_extract("value", r"PG:J:(\{.*\})", 1), _NOTE).alias("n"))
-    named = rows.select(F.col("f")[1].alias("name"), F.col("f")[2].alias("seq"), "n.*")
+    named = rows.select(F.get("f", F.lit(1)).alias("name"), F.get("f", F.lit(2)).alias("seq"), "n.*")
     return named.where("name like 'A%'").select("name", "seq", "pos"), named.where("name like 'E%'").select("name", "seq", "src", "dst", "reads", "samples")
 
 

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 from strandline.sources import readers as R
 from strandline.sources import writers as W
@@ -96,3 +97,30 @@ def test_unaligned_reads_and_read_groups(spark, tmp_path):
     assert [(r.seq, r.qual) for r in R.unaligned(rows).collect()] == [("AC", "II")]
     both = R.keep_order(rows, "qname").collect()
     assert {(r.qname, r.ord) for r in both} == {("r1", 0), ("r2", 1)}
+
+
+def test_region_by_index_reads_few_blocks(spark, tmp_path):
+    rng = random.Random(4)
+    rows = sorted((c, rng.randrange(1, 40_000), i) for i in range(3_000) for c in [rng.choice("abc")])
+    lines = [f"r{i}\t0\t{c}\t{p}\t60\t{rng.choice(['50M', '20M400N30M', '50M2D'])}\t*\t0\t0\t{'A' * 50}\t*" for c, p, i in rows]
+    lines += [f"u{i}\t4\t*\t0\t0\t*\t*\t0\t0\tACGT\t*" for i in range(40)]
+    folder = tmp_path / "some reads"
+    folder.mkdir()
+    (folder / "a.sam").write_text("@HD\tVN:1.6\tSO:coordinate\tGO:none\n@CO\tone two\n" + "\n".join(lines) + "\n")
+    with gzip.open(folder / "b.sam.gz", "wt") as f:
+        f.write("\n".join(lines[::60]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        R.alignment_index(spark, str(folder)).write.parquet(f"{tmp_path}/index")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    index, whole = spark.read.parquet(f"{tmp_path}/index"), R.sam(spark, str(folder))
+    blocks = index.select("path", "block").distinct().count()
+    assert blocks > 20 and index.agg({"reads": "sum"}).first()[0] == whole.count()
+    for place in ({"contig": "b", "start": 9_000, "stop": 9_500}, {"contig": "a"}, {"contig": "c", "start": 39_900}, {"contig": "b", "stop": 300}, {"unmapped": True}, {}, {"contig": "none"}):
+        got, want = R.indexed_region(index, **place), R.region(whole, **place)
+        assert sorted(r.qname for r in got.collect()) == sorted(r.qname for r in want.collect())
+    narrow = R.indexed_region(index, "b", 9_000, 9_500)
+    assert narrow.columns == whole.columns and narrow.rdd.getNumPartitions() < blocks / 5
+    assert R.indexed_region(index.limit(0), "b").count() == 0
