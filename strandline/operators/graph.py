@@ -39,16 +39,42 @@ def traverse(kmers: DataFrame, keys: Keys = ()) -> DataFrame:
     return rows.withColumn("cn_kmer", S.canonical("dst")).join(there, [*keys, "cn_kmer"], "left_semi").select(*keys, "src", "dst").distinct()
 
 
-def reachable(edges: DataFrame, roots: DataFrame, rounds: int = 10_000) -> DataFrame:
-    """``node`` that the roots reach along ``src, dst``, roots included."""
-    seen = roots.select("node").distinct().transform(cut)
-    front = seen
-    for _ in range(rounds):
-        front = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").transform(cut)
+def only_ways(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``node, head``: for each node of the edges ``src, dst`` the first one on the only way to it.
+
+    A node with one predecessor, if it is no start, hangs on that; one with none or several, and a start, is a head.
+    Pointers double each round, so rounds grow with the logarithm of the longest such way. Nodes that hang on rings without
+    a head, to which nothing leads from elsewhere, have no row.
+    """
+    into = edges.distinct().groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ins"), F.min("src").alias("before"))
+    hung = into.where("ins = 1").select("node", "before").join(starts.select("node"), "node", "left_anti")
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).union(starts.select("node")).distinct()
+    at = cut(nodes.join(hung, "node", "left").select("node", F.coalesce("before", "node").alias("head"), F.col("before").isNull().alias("done")))
+    for _ in range(at.count().bit_length() + 1):
+        if at.where("not done").isEmpty():
+            break
+        beyond = at.select(F.col("node").alias("head"), F.col("head").alias("next"), F.col("done").alias("ends"))
+        further = at.where("not done").join(beyond, "head").select("node", F.col("next").alias("head"), F.col("ends").alias("done"))
+        at = cut(at.where("done").union(further))
+    return at.where("done").select("node", "head")
+
+
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """``node`` that the roots reach along ``src, dst``, roots included.
+
+    All nodes to which one way leads are taken with its first (see only_ways), so a round goes on to the next node at which
+    ways meet, however far, and rounds grow with the number of these on the longest way.
+    """
+    starts = roots.select("node").where("node is not null").distinct().transform(cut)
+    ways = only_ways(edges, starts)
+    met = ways.where("node = head").select(F.col("node").alias("dst"))
+    jumps = edges.join(met, "dst", "left_semi").join(ways.select(F.col("node").alias("src"), "head"), "src").where("head <> dst").select("head", "dst").distinct().transform(cut)
+    seen = front = starts
+    while True:
+        front = front.join(jumps, front["node"] == jumps["head"]).select(F.col("dst").alias("node")).distinct().join(seen, "node", "left_anti").transform(cut)
         if front.isEmpty():
-            return seen
+            return ways.join(seen.select(F.col("node").alias("head")), "head", "left_semi").select("node")
         seen = seen.union(front).transform(cut)
-    return seen
 
 
 def unitigs(kmers: DataFrame, rounds: int = 40, keys: Keys = ()) -> DataFrame:

@@ -101,11 +101,20 @@ def q_seed_map(spark, d):
     return H.seed_map(V.reads(spark, d), V.bait(spark, d), 11, "doc_id", "item_id")
 
 
-def q_variant_distance(spark, d):
-    """Distances of customers by the large variants of their orders' lines, within each market segment and priority."""
+def _customer_features(spark, d, *parts):
     o, c = V.read(spark, d, "orders"), V.read(spark, d, "customer")
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").alias("grp"), "c_custkey", F.concat_ws("|", "o_orderpriority", "o_orderstatus", F.month("o_orderdate")).alias("feature"))
-    return H.variant_distances(rows, "grp", "c_custkey", "feature")
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("c_nationkey").alias("grp"), "c_custkey", F.concat_ws("|", "o_orderpriority", "o_orderstatus", *parts).alias("feature"))
+
+
+def q_variant_distance(spark, d):
+    """Distances of customers by priority, status and month of their orders, within each nation."""
+    return H.variant_distances(_customer_features(spark, d, F.month("o_orderdate")), "grp", "c_custkey", "feature")
+
+
+def q_cluster_reads(spark, d):
+    """Density clusters of all customers of each nation by priority and status of their orders."""
+    reads = V.read(spark, d, "customer").select(F.col("c_nationkey").alias("grp"), "c_custkey")
+    return H.cluster_reads(_customer_features(spark, d), reads, "grp", "c_custkey", "feature")
 
 
 def q_dedup_pairs(spark, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
@@ -9,8 +11,10 @@ from strandline.operators import anchors as A
 from strandline.operators import haplotypes as H
 from strandline.operators import kmers as K
 from strandline.operators import pileup as P
+from strandline.operators.lineage import shared_folder
 from strandline.plans import views as V
 from strandline.plans.haplotype_queries import _ANCHORS, K_ANCHOR, _anchor_parts
+from strandline.sources import readers as R
 
 K_STEP = 11
 
@@ -151,6 +155,8 @@ _EDGES = f"""{_ANCHORS}, p AS (SELECT doc_id, name, found.pos FROM found JOIN an
       e AS (SELECT s.doc_id, src, dst, substr(seq, CAST(a AS BIGINT) + 1, CAST(coalesce(b, length(seq)) - a AS BIGINT)) AS seq FROM s JOIN reads r ON s.doc_id = r.doc_id)"""
 _SCORES = "CASE WHEN q IS NULL THEN NULL ELSE chr(CAST(least(greatest(q, 33), 73) AS INTEGER)) END"
 ORACLES = {
+    "q_region_scan": """WITH a AS (SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(floor(l_quantity) AS BIGINT), CAST(round(l_discount * 100) AS INTEGER)) AS aln_id, CAST((l_partkey * 911 + l_linenumber * 37) % 100000 AS BIGINT) AS pos, CAST(floor(l_quantity) AS BIGINT) AS n, l_linenumber AS m FROM lineitem WHERE l_suppkey % 5 = 3)
+      SELECT aln_id, pos, m || 'S' || n || 'M' || (m % 3 + 1) || 'I5=2D7M' AS cigar FROM a WHERE pos < 21000 AND pos + n + 14 > 20000""",
     "q_kmer_steps": f"""{V.with_views('reads')}, o AS (SELECT least(kmer, {_RC}) AS cn, CASE WHEN kmer < {_RC} THEN after ELSE {_COMP.format('before')} END AS nxt, CASE WHEN kmer < {_RC} THEN before ELSE {_COMP.format('after')} END AS prv FROM ({V.kmers('reads', 'doc_id', K_STEP)})),
       n AS (SELECT cn, string_agg(substr(cn, 2) || nxt, ',' ORDER BY nxt) AS next, count(*) > 1 AS ahead FROM (SELECT DISTINCT cn, nxt FROM o WHERE nxt <> '') GROUP BY cn),
       p AS (SELECT cn, string_agg(prv || substr(cn, 1, {K_STEP - 1}), ',' ORDER BY prv) AS previous, string_agg({V.rc(f'(prv || substr(cn, 1, {K_STEP - 1}))')}, ',' ORDER BY {_COMP.format('prv')}) AS next_rc, count(*) > 1 AS behind FROM (SELECT DISTINCT cn, prv FROM o WHERE prv <> '') GROUP BY cn)
@@ -181,4 +187,13 @@ ORACLES = {
     "q_furthest_next": f"{_EDGES}, t AS (SELECT DISTINCT src, dst, abs(b.pos - a.pos) AS step FROM e JOIN anchors a ON src = a.name JOIN anchors b ON dst = b.name) SELECT src, dst, step FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY step DESC, dst) AS rn FROM t) WHERE rn = 1",
     "q_path_sequence": "SELECT l_orderkey, string_agg(p_name, '' ORDER BY l_linenumber, l_partkey) AS seq FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey",
 }
+def q_region_scan(spark, d):
+    """Alignments of the lines that overlap 20,000 to 21,000 of contig 3, from their sorted SAM text by its index."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+    fields = [F.col("aln_id"), F.lit(0), F.col("contig"), F.col("start") + 1, F.col("mapq"), F.col("cigar"), *map(F.lit, ("*", 0, 0, "*", "*"))]
+    V.alignments(spark, d).orderBy("contig", "start").select(F.concat_ws("\t", *fields)).write.text(folder)
+    index = R.alignment_index(spark, folder)
+    return R.indexed_region(index, "3", 20_000, 21_000).select(F.col("qname").alias("aln_id"), F.col("pos").cast("long").alias("pos"), "cigar")
+
+
 QUERIES = {k: v for k, v in globals().items() if k.startswith("q_")}

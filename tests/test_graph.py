@@ -1,3 +1,5 @@
+import random
+
 from strandline.functions import sequence as S
 from strandline.operators import graph as G
 from strandline.operators import kmers as K
@@ -107,3 +109,22 @@ def test_cleaning_removes_low_scores(spark):
     assert left == real
     fixed = {r.id: r.seq for r in G.correct_reads(reads, table, 11, "id").collect()}
     assert fixed == {0: good, 1: good}
+
+
+def test_reachable_nodes_of_long_ways_and_rings(spark):
+    rng = random.Random(8)
+    for trial in range(3):
+        n = 60
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(50)] + [(100 + i, 101 + i) for i in range(600)] + [(5, 100), (700, 7)]
+        pairs += [(1000 + i, 1000 + (i + 1) % 9) for i in range(9)] + [(1004, 1100), (2, 2)] + pairs[:5]
+        roots = [5, 2, 5000] if trial else [400]
+        want, todo = set(), list(roots)
+        while todo:
+            x = todo.pop()
+            if x not in want:
+                want.add(x)
+                todo += [b for a, b in pairs if a == x]
+        frame = spark.createDataFrame(pairs, "src int, dst int")
+        got = [r.node for r in G.reachable(frame, spark.createDataFrame([(x,) for x in [*roots, roots[0], None]], "node int")).collect()]
+        assert sorted(got) == sorted(want)
+    assert G.reachable(frame.limit(0), spark.createDataFrame([(3,)], "node int")).collect()[0].node == 3
