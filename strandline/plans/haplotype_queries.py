@@ -271,8 +271,9 @@ ORACLES = {
       e AS (SELECT s.doc_id, s.sample, src, dst, substr(seq, CAST(a AS BIGINT) + 1, CAST(coalesce(b, length(seq)) - a AS BIGINT)) AS seq FROM s JOIN reads r ON s.doc_id = r.doc_id)
       SELECT src, dst, md5(seq) AS seq_md5, count(DISTINCT doc_id) AS n_reads, string_agg(DISTINCT sample, ',' ORDER BY sample) AS samples FROM e GROUP BY src, dst, seq""",
     "q_seed_map": f"""{V.with_views('reads', 'bait')}, r AS (SELECT doc_id, pos AS rp, least(kmer, {V.rc('kmer')}) AS cn, kmer < {V.rc('kmer')} AS rf FROM ({V.kmers('reads', 'doc_id', 11)})), t AS (SELECT item_id, pos AS tp, least(kmer, {V.rc('kmer')}) AS cn, kmer < {V.rc('kmer')} AS tf FROM ({V.kmers('bait', 'item_id', 11)})),
-      q AS (SELECT cn FROM t GROUP BY cn HAVING count(*) <= 200), h AS (SELECT doc_id, item_id, CASE WHEN rf = tf THEN '+' ELSE '-' END AS strand, CASE WHEN rf = tf THEN tp - rp ELSE tp + rp END AS shift FROM r JOIN t ON r.cn = t.cn WHERE t.cn IN (SELECT cn FROM q)),
-      v AS (SELECT doc_id, item_id, strand, CAST(floor(shift / 50) AS BIGINT) AS band, count(*) AS votes FROM h GROUP BY ALL HAVING count(*) >= 3), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, item_id, strand, band) AS rn FROM v)
+      q AS (SELECT cn FROM t GROUP BY cn HAVING count(*) <= 200), h AS (SELECT doc_id, item_id, CASE WHEN rf = tf THEN '+' ELSE '-' END AS strand, CASE WHEN rf = tf THEN tp - rp ELSE tp + rp END AS shift, q.cn IS NOT NULL AS rare FROM r JOIN t ON r.cn = t.cn LEFT JOIN q ON t.cn = q.cn),
+      f AS (SELECT doc_id, item_id, strand, CAST(floor(shift / 50) AS BIGINT) AS band, count(*) AS votes FROM h WHERE rare GROUP BY ALL HAVING count(*) >= 3),
+      v AS (FROM f UNION ALL SELECT doc_id, item_id, strand, CAST(floor(shift / 50) AS BIGINT) AS band, count(*) AS votes FROM h WHERE doc_id NOT IN (SELECT doc_id FROM f) GROUP BY ALL HAVING count(*) >= 3), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, item_id, strand, band) AS rn FROM v)
       SELECT doc_id, item_id, strand, band * 50 AS "at", votes FROM b WHERE rn = 1""",
     "q_variant_distance": """WITH r AS (SELECT DISTINCT c_nationkey AS grp, c_custkey, concat_ws('|', o_orderpriority, o_orderstatus, month(o_orderdate)) AS feature FROM orders JOIN customer ON o_custkey = c_custkey), n AS (SELECT grp, c_custkey, count(*) AS n FROM r GROUP BY ALL),
       b AS (SELECT x.grp, x.c_custkey AS a, y.c_custkey AS b, count(*) AS m FROM r x JOIN r y ON x.grp = y.grp AND x.feature = y.feature AND x.c_custkey < y.c_custkey GROUP BY ALL)
