@@ -2,8 +2,11 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
 
 from strandline.operators import haplotypes as H
+from strandline.operators import intervals as I
 
 
 def _reads(spark, n=60, seed=1, letters="ACGT"):
@@ -21,3 +24,23 @@ def test_columns_are_cut_out_of_reads_without_joining_bases(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     join = next(x for x in plan.split("\n") if "Join" in x)
     assert "rightHint=(strategy=merge)" in join
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_semi_overlap_equals_all_pairs(spark, seed):
+    rng = random.Random(seed)
+    one = [(i, rng.randrange(2), a := rng.randrange(5000), a + rng.choice([0, 1, 30, 400])) for i in range(60)]
+    two = [(rng.randrange(2), a := rng.randrange(70_000) if rng.random() < 0.2 else rng.randrange(5000), a + rng.choice([0, 1, 9, 60])) for i in range(40)]
+    rows = spark.createDataFrame(one + [(99, 0, 6000, 6000)], "k int, contig int, start long, stop long")
+    regions = spark.createDataFrame(two + [(0, 5990, 6000), (0, 6000, 6010)], "contig int, start long, stop long")
+    got = {r.k for r in I.semi_overlap(rows, regions, "k").collect()}
+    assert got == {k for k, c, a, b in one if any(c == d and a < y and x < b for d, x, y in [*two, (0, 5990, 6000), (0, 6000, 6010)])}
+
+
+def test_semi_overlap_meets_merged_regions(spark, monkeypatch):
+    met = []
+    join = I.overlap_join
+    monkeypatch.setattr(I, "overlap_join", lambda a, b, *more: met.append(b.count()) or join(a, b, *more))
+    rows = spark.createDataFrame([(1, 0, 10, 50)], "k int, contig int, start long, stop long")
+    deep = spark.range(2000).select(F.lit(0).alias("contig"), (F.col("id") % 20).alias("start"), (F.col("id") % 20 + 25).alias("stop"))
+    assert I.semi_overlap(rows, deep, "k").count() == 1 and met == [1]
