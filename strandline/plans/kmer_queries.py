@@ -32,8 +32,7 @@ def q_degree_junctions(spark, d):
 def q_noise_repeats(spark, d):
     """K-mers that no read repeats."""
     r = V.reads(spark, d)
-    noise = K.repeated_within(r, SIZE, "doc_id").select("cn_kmer").distinct()
-    return K.without(K.count_kmers(r, SIZE), noise).select("cn_kmer", F.col("cov").cast("long").alias("cov"))
+    return K.without(K.count_kmers(r, SIZE), K.noise_kmers(r, SIZE, "doc_id")).select("cn_kmer", F.col("cov").cast("long").alias("cov"))
 
 
 def q_seq_stats(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators import haplotypes as H
 from strandline.operators import intervals as I
+from strandline.operators import kmers as K
 
 
 def _reads(spark, n=60, seed=1, letters="ACGT"):
@@ -44,3 +45,32 @@ def test_semi_overlap_meets_merged_regions(spark, monkeypatch):
     rows = spark.createDataFrame([(1, 0, 10, 50)], "k int, contig int, start long, stop long")
     deep = spark.range(2000).select(F.lit(0).alias("contig"), (F.col("id") % 20).alias("start"), (F.col("id") % 20 + 25).alias("stop"))
     assert I.semi_overlap(rows, deep, "k").count() == 1 and met == [1]
+
+
+@pytest.mark.parametrize("held", [5_000_000, 50])
+def test_a_task_hands_on_each_kmer_once(spark, monkeypatch, held):
+    monkeypatch.setattr(K, "HELD", held)
+    read = "ACGTTGCATTGACCAGTACCA"
+    tables = [t for _ in range(40) for t in K._count_tables(iter([K.pa.RecordBatch.from_arrays([K.pa.array([read])], ["seq"])]), 5, 0)]
+    out = list(K._held(iter(tables), K._COUNT))
+    assert sum(int(c[1].sum()) for _, c in out) == 40 * (len(read) - 4)
+    assert sum(len(c[0]) for _, c in out) <= 20 and len(out) == 1
+
+
+def test_noise_equals_repeats_of_each_read(spark, monkeypatch):
+    reads = _reads(spark)
+    for k in (3, 5, 31):
+        want = {r.cn_kmer for r in K.repeated_within(reads, k, "id").collect()}
+        for step in (1 << 20, 16):
+            monkeypatch.setattr(K, "STEP", step)
+            assert {r.cn_kmer for r in K.noise_kmers(reads, k, "id").collect()} == want
+    monkeypatch.setattr(K, "LONG", 20)
+    assert {r.cn_kmer for r in K.noise_kmers(reads, 5, "id").collect()} == {r.cn_kmer for r in K.repeated_within(reads, 5, "id").collect()}
+
+
+def test_end_distance_equals_windows(spark):
+    reads = _reads(spark)
+    for k in (3, 9):
+        rows = K.windows_of(reads, k, [])
+        want = rows.groupBy(F.least("kmer", "rc").alias("cn_kmer")).agg(F.min(F.least(F.col("pos"), F.col("n") - F.col("pos") - k)).alias("distance"))
+        assert {tuple(r) for r in K.end_distance(reads, k).collect()} == {tuple(r) for r in want.collect()}
