@@ -3,26 +3,60 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandline.functions import sequence as S
-from strandline.operators.kmers import unique_kmers, windows_of
+from strandline.operators.kmers import BAIT, PACKED, _stretches, unique_kmers, unpacked, windows_of
 from strandline.operators.lineage import cut
 
 
 def positions(reads: DataFrame, kmers: DataFrame, k: int, key: str, keep: tuple[str, ...] = (), seq: str = "seq") -> DataFrame:
-    """``kmer, key, keep, pos``: where the given k-mers (``kmer``) stand in reads."""
-    rows = windows_of(reads, k, [key, *keep], seq)
-    return rows.join(kmers.select("kmer"), "kmer", "left_semi").select("kmer", key, *keep, "pos")
+    """``kmer, key, keep, pos``: where the given k-mers (``kmer``) stand in reads.
+
+    At most BAIT k-mers of PACKED bases or fewer are broadcast as numbers and met where the reads lie, so only places found
+    leave a task; more or longer ones, and reads with other letters, are joined.
+    """
+    known: list | None = None
+    if k <= PACKED:
+        plain = kmers.where((F.length("kmer") == k) & ~F.col("kmer").rlike("[^ACGT]"))
+        known = plain.select(F.conv(F.translate("kmer", "ACGT", "0123"), 4, 10).cast("long").alias("n")).distinct().limit(BAIT + 1).toPandas()["n"].to_numpy(np.int64)
+    wide = known is None or len(known) > BAIT
+    odd = F.lit(True) if wide else F.col(seq).rlike("[^ACGT]")
+    rows = windows_of(reads.where(odd), k, [key, *keep], seq)
+    out = rows.join(kmers.select("kmer"), "kmer", "left_semi").select("kmer", key, *keep, "pos")
+    if wide:
+        return out
+    wanted = reads.sparkSession.sparkContext.broadcast(np.sort(known))
+    names = [key, *keep]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, pos, ahead, _, _, _ in _stretches(batch.column(len(names)), k) if len(wanted.value) else ():
+                spot = np.minimum(np.searchsorted(wanted.value, ahead), len(wanted.value) - 1)
+                hit = np.flatnonzero(wanted.value[spot] == ahead)
+                at = pa.array(row[hit])
+                yield pa.RecordBatch.from_arrays([pa.array(ahead[hit]), *(batch.column(c).take(at) for c in range(len(names))), pa.array(pos[hit].astype(np.int32))], ["_n", *names, "pos"])
+
+    short = reads.where(~odd & (F.length(seq) >= k)).select(*names, seq)
+    shape = T.StructType([T.StructField("_n", T.LongType()), *(short.schema[c] for c in names), T.StructField("pos", T.IntegerType())])
+    return short.mapInArrow(find, shape).select(unpacked("_n", k).alias("kmer"), *names, "pos").union(out)
 
 
 def in_every_sample(found: DataFrame, key: str, sample: str = "sample") -> DataFrame:
-    """``kmer`` that every sample of ``found`` has, in more than one read."""
+    """``kmer`` that every sample of ``found`` has, in more than one read.
+
+    Reads are more than one if the least and the greatest differ, so no set of them is made.
+    """
     samples = found.select(sample).distinct().agg(F.count(F.lit(1)).alias("all"))
-    counts = found.groupBy("kmer").agg(F.count_distinct(sample).alias("n"), F.count_distinct(key).alias("reads"))
-    return counts.join(F.broadcast(samples), F.col("n") == F.col("all")).where("reads > 1").select("kmer")
+    each = found.groupBy("kmer", sample).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+    counts = each.groupBy("kmer").agg(F.count(sample).alias("n"), (F.min("_low") < F.max("_high")).alias("several"))
+    return counts.join(F.broadcast(samples), F.col("n") == F.col("all")).where("several").select("kmer")
 
 
 def spaced(anchors: DataFrame, k: int, contig: str = "contig") -> DataFrame:

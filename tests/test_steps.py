@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from strandline.operators import anchors as A
 from strandline.operators import haplotypes as H
 from strandline.operators import intervals as I
 from strandline.operators import kmers as K
@@ -74,3 +75,19 @@ def test_end_distance_equals_windows(spark):
         rows = K.windows_of(reads, k, [])
         want = rows.groupBy(F.least("kmer", "rc").alias("cn_kmer")).agg(F.min(F.least(F.col("pos"), F.col("n") - F.col("pos") - k)).alias("distance"))
         assert {tuple(r) for r in K.end_distance(reads, k).collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_positions_equal_windows(spark, monkeypatch):
+    reads = _reads(spark)
+    wanted = K.unique_kmers(reads, 5).union(spark.createDataFrame([("CGNAC",), ("AC",)], "kmer string"))
+    want = {tuple(r) for r in K.windows_of(reads, 5, ["id", "sample"]).join(wanted, "kmer", "left_semi").select("kmer", "id", "sample", "pos").collect()}
+    for bait in (4_000_000, 3):
+        monkeypatch.setattr(A, "BAIT", bait)
+        found = A.positions(reads, wanted, 5, "id", ("sample",))
+        assert {tuple(r) for r in found.collect()} == want
+    shared = {r.kmer for r in A.in_every_sample(A.positions(reads, K.windows_of(reads, 3, []).select("kmer").distinct(), 3, "id", ("sample",)), "id").collect()}
+    by: dict = {}
+    for r in reads.collect():
+        for i in range(len(r.seq) - 2):
+            by.setdefault(r.seq[i : i + 3], set()).add((r.sample, r.id))
+    assert shared == {x for x, who in by.items() if len({s for s, _ in who}) == 3 and len({i for _, i in who if i is not None}) > 1}
