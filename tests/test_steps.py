@@ -91,3 +91,24 @@ def test_positions_equal_windows(spark, monkeypatch):
         for i in range(len(r.seq) - 2):
             by.setdefault(r.seq[i : i + 3], set()).add((r.sample, r.id))
     assert shared == {x for x, who in by.items() if len({s for s, _ in who}) == 3 and len({i for _, i in who if i is not None}) > 1}
+
+
+@pytest.mark.parametrize("bait", [4_000_000, 5])
+def test_recruits_equal_those_of_joins(spark, monkeypatch, bait):
+    monkeypatch.setattr(K, "BAIT", bait)
+    shorts = _reads(spark, seed=2)
+    longs = _reads(spark, seed=2).where("id % 2 = 0").withColumn("sample", F.when(F.col("sample") != "x", F.col("sample")))
+    theirs = K.occurrences(longs, 5, ["sample"]).select("sample", "cn_kmer").distinct()
+    want = sorted(map(tuple, K._recruited(shorts.drop("sample"), theirs, 5, "id", ("sample",), "seq").collect()), key=str)
+    for step in (1 << 20, 16):
+        monkeypatch.setattr(K, "STEP", step)
+        assert want and sorted(map(tuple, K.recruit_distinct(shorts.drop("sample"), longs, 5, "id", ("sample",)).collect()), key=str) == want
+
+
+def test_alleles_are_put_in_at_once(spark):
+    ref = spark.createDataFrame([(1, 10, "ACGTACGT"), (2, 0, "AC"), (3, 0, "AC")], "k int, start int, seq string")
+    put = spark.createDataFrame([(1, 11, "--"), (1, 12, "T"), (1, 15, "GG"), (1, 15, "AA"), (1, 17, "-"), (1, 9, "TT"), (1, 30, "A"), (2, -1, "--"), (4, 1, "G"), (3, None, "G"), (3, 1, None)], "k int, pos int, allele string")
+    found = H.haplotype_sequence(ref, put, "k")
+    assert {r.k: r.seq for r in found.collect()} == {1: "ACAAAGGGT", 3: "AC"}
+    # nothing has a row a base any more
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
