@@ -211,7 +211,8 @@ def repeat_table(haps: DataFrame, unit: str, begins: Sequence[str], ends: Sequen
     ``counted`` interruptions count as repeats too (see repeat_units). Largest sets of haplotypes come first, then fewer
     repeats, then the sequence.
     """
-    rows = haps.select("hap", S.trim_to_repeat("seq", begins, ends).alias("t")).where("t is not null").select("hap", F.col("t.repeat").alias("repeat"))
+    # explode keeps the filter from working the repeat out a second time
+    rows = haps.select("hap", F.explode(F.array(S.trim_to_repeat("seq", begins, ends)["repeat"])).alias("repeat")).where("repeat is not null")
     groups = rows.groupBy("repeat").agg(F.array_sort(F.collect_set("hap")).alias("haps"))
     out = groups.select("repeat", S.repeat_units("repeat", unit, counted).alias("n_repeats"), F.size("haps").alias("n_haps"), "haps", S.repeat_interruptions("repeat", interruptions).alias("interruptions"))
     return out.orderBy(F.desc("n_haps"), "n_repeats", "repeat")

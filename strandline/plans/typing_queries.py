@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandline.operators import haplotypes as H
 from strandline.operators import phasing as P
 from strandline.operators import typing as T
+from strandline.operators.lineage import cut
 from strandline.plans import haplotype_queries as Q
 from strandline.plans import views as V
 
@@ -64,7 +65,7 @@ def _repeats(spark, d):
 
 def q_repeat_totals(spark, d):
     """Pages by number of repeats, and interruptions over all pages."""
-    t = _repeats(spark, d)
+    t = cut(_repeats(spark, d).select("n_repeats", "n_haps", "interruptions"))
     sizes = T.repeat_histogram(t).select(F.lit("repeats").alias("kind"), F.col("n_repeats").cast("string").alias("name"), F.col("haps").cast("long").alias("n"))
     return sizes.union(T.interruption_totals(t).select(F.lit("interruption"), "interruption", F.col("n").cast("long")))
 
