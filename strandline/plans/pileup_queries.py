@@ -52,8 +52,7 @@ def q_site_filter(spark, d):
 
 def q_pileup_consensus(spark, d):
     """Commonest base in each column of each source's documents, joined."""
-    rows = V.reads(spark, d).select("sample", F.posexplode(F.split("seq", "")).alias("pos", "base"))
-    return P.column_consensus(rows, ["sample"]).select("sample", F.length("seq").alias("n"), F.md5("seq").alias("seq_md5"))
+    return P.text_consensus(V.reads(spark, d), ["sample"]).select("sample", F.length("seq").alias("n"), F.md5("seq").alias("seq_md5"))
 
 
 def q_haplotype_reads(spark, d):
