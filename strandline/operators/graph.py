@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandline.functions import sequence as S
-from strandline.operators.kmers import infer_edges, occurrences
+from strandline.operators.kmers import infer_edges, met, occurrences
 from strandline.operators.lineage import components, cut
 
 #: Most edges of a component that one task takes, and of a graph that is not split into components first.
@@ -713,7 +713,9 @@ def correct_reads(reads: DataFrame, kmers: DataFrame, k: int, key: str, least: f
     good = infer_edges(kmers.where(F.coalesce("score", F.lit(0.0)) >= least), keys).transform(cut)
     m = unitigs(good, keys=keys).transform(cut)
     scores = kmers.select(*keys, "cn_kmer", "score")
-    at = occurrences(reads, k, by).select(*by, "pos", "kmer", "cn_kmer").join(m.withColumnRenamed("node", "kmer"), [*keys, "kmer"], "left").join(scores, [*keys, "cn_kmer"], "left").transform(cut)
+    # of a read's k-mers only those of the table are rows; where others stand is told by the places left out
+    words = oriented(kmers.withColumn("edges", F.lit(0)), keys).join(scores, [*keys, "cn_kmer"]).select(*keys, F.col("node").alias("kmer"), "cn_kmer", "score").join(m.withColumnRenamed("node", "kmer"), [*keys, "kmer"], "left").transform(cut)
+    at = (occurrences(reads, k, by).select(*by, "pos", "kmer").join(words, [*keys, "kmer"]) if keys else met(reads, words, k, by)).select(*by, "pos", "cn_kmer", "score", "unitig", "offset").transform(cut)
     poor = _poor_stretches(at, by, least).transform(cut)
     # k-mers of unitigs with running sums of their logs, so that parts of unitigs cost one lookup
     order = Window.partitionBy(*keys, "unitig").orderBy("offset")
@@ -751,14 +753,18 @@ def correct_reads(reads: DataFrame, kmers: DataFrame, k: int, key: str, least: f
 
 
 def _poor_stretches(at: DataFrame, by: list[str], least: float) -> DataFrame:
-    """``by, a, z, ua, oa, uz, oz``: places and unitigs of the good k-mers around each poor stretch."""
+    """``by, a, z, ua, oa, uz, oz``: places and unitigs of the good k-mers around each poor stretch.
+
+    ``at`` holds the places of the table's k-mers alone; all others score 0.
+    """
     w = Window.partitionBy(*by).orderBy("pos")
     good = F.col("unitig").isNotNull()
     ends = at.where(good).select(*by, F.col("pos").alias("a"), F.lead("pos").over(w).alias("z"), F.col("unitig").alias("ua"), F.col("offset").alias("oa"), F.lead("unitig").over(w).alias("uz"), F.lead("offset").over(w).alias("oz"), F.lead("score").over(w).alias("end"))
     inside = at.withColumn("a", F.when(good, F.col("pos")).otherwise(F.max(F.when(good, F.col("pos"))).over(w.rowsBetween(Window.unboundedPreceding, -1)))).where("a is not null")
     s = F.coalesce("score", F.lit(0.0))
     own = inside.groupBy(*by, "a").agg(F.min(s).alias("low"), F.sum(_log(s)).alias("logs"), F.count(F.lit(1)).alias("n"))
-    geo = F.when((F.col("low") <= 0) | (F.col("end") <= 0), 0.0).otherwise(F.exp((F.col("logs") + F.log("end")) / (F.col("n") + 1)))
+    missing = F.col("n") < F.col("z") - F.col("a")
+    geo = F.when(missing | (F.col("low") <= 0) | (F.col("end") <= 0), 0.0).otherwise(F.exp((F.col("logs") + F.log("end")) / (F.col("n") + 1)))
     return ends.where("z > a + 1").join(own, [*by, "a"]).where(geo < least).select(*by, "a", "z", "ua", "oa", "uz", "oz")
 
 
