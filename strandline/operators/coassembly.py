@@ -73,7 +73,7 @@ def correct_windows(pieces: DataFrame, short: DataFrame, k: int, short_key: str,
     in the windows that the read has pieces in (of several the last; a k-mer that none has counts as 1).
     """
     keys = ("locus", "tile")
-    near = K.recruit_distinct(short, pieces, k, short_key, keys).select(*keys, short_key).join(short.select(short_key, "seq"), short_key)
+    near = K.recruit_distinct(short, pieces, k, short_key, keys, whole=True).select(*keys, "seq")
     table = scored_graph(pieces, near, k, model, threshold, keys, score).transform(cut)
     fixed = G.correct_reads(pieces, table, k, "read", keys=keys).transform(cut)
     whole = fixed.groupBy("locus", "read").agg(S.ordered_concat("tile", "seq").alias("seq"), F.sum("replaced").alias("replaced")).transform(cut)

@@ -34,3 +34,19 @@ def test_correction_makes_no_row_of_a_foreign_kmer(spark, monkeypatch):
     assert got == {"a": (true, 0), "b": (true, 1), "c": (foreign, 0), "d": (foreign[:500] + true + foreign[500:], 1)}
     # 106 places of the true k-mers, and twice 91 beside the wrong base
     assert tuple(rows[0]) == (106 + 91 + 91, 91)
+
+
+def test_recruited_reads_come_with_their_texts(spark, monkeypatch):
+    rng = random.Random(8)
+    longs = [(w, "".join(rng.choice("ACGT") for _ in range(120))) for w in range(3)]
+    shorts = [(f"s{i}", longs[i % 3][1][a : a + 50]) for i, a in enumerate(rng.randrange(70) for _ in range(12))] + [("far", "ACGT" * 12), ("twice", longs[0][1][:40]), ("twice", longs[0][1][30:70])]
+    short, long_ = spark.createDataFrame(shorts, "id string, seq string"), spark.createDataFrame(longs, "w int, seq string")
+    asked, real = [], K._recruited
+    monkeypatch.setattr(K, "_recruited", lambda rows, *more: asked.append(sorted(r.id for r in rows.collect())) or real(rows, *more))
+    got = K.recruit_distinct(short, long_, 11, "id", ("w",), whole=True)
+    joined = sorted(map(tuple, K.recruit_distinct(short, long_, 11, "id", ("w",)).join(short, "id").select(*got.columns).collect()))
+    assert sorted(map(tuple, got.collect())) == joined and [r[1] for r in joined].count("twice") == 2
+    # reads are joined with their texts only where a key has several rows
+    assert asked[0] == ["twice", "twice"]
+    monkeypatch.setattr(K, "BAIT", 0)
+    assert sorted(map(tuple, K.recruit_distinct(short, long_, 11, "id", ("w",), whole=True).collect())) == joined
